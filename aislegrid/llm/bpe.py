@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import byte_texts, slices
 
@@ -267,14 +268,19 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Token ids and the decoded text of every row of docs.
+_RESULTS = {"ids": ArrayType(IntegerType()), "decoded": StringType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
 
-    A null or empty text has no ids and an empty decoded text; rows with null or repeated ids stay as they are, one
-    result each; other columns are not read. With digests, ids and text are replaced by their SHA-256.
-    Columns: doc_id, n_tokens, then ids and decoded, or ids_sha256 and decoded_sha256.
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", results: tuple[str, ...] = ("ids", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens, and of each text what results names: token ids, the text decoded from them, or their SHA-256.
+
+    A null or empty text has no ids and an empty decoded text; rows with null or repeated ids stay as they are, one result each; columns
+    that are not named are not read.
     """
-    rest = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
+    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    schema = StructType([*fields, StructField("n_tokens", LongType()), *[StructField(r, _RESULTS[r]) for r in results]])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = _own(path)
@@ -284,12 +290,16 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 flat, counts = encoder.encode([(x or b"").decode() for x in raw[a:b]])
                 ends = np.cumsum(counts)
                 ids = [flat[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                texts = [bpe.decode(x) for x in ids]
-                if digests:
-                    more = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())]
-                else:
-                    more = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat)), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts), *more], ["doc_id", "n_tokens", *[n for n, _ in rest]])
-
-    kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
+                got = {}
+                if "ids" in results:
+                    got["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+                if "ids_sha256" in results:
+                    got["ids_sha256"] = pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string())
+                if {"decoded", "decoded_sha256"} & {*results}:
+                    texts = [bpe.decode(x) for x in ids]
+                    got["decoded"] = pa.array(texts, pa.string())
+                    got["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())
+                rest = [c[a:b] for i, c in enumerate(batch.columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(counts), *[got[r] for r in results]], names)
+
+    return rows.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HashIndex, byte_texts, slices
@@ -263,22 +263,31 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     return Identifier(KneserNey(counts), [r["lang"] for r in check], [r["text"] for r in check])
 
 
+def identification(text: Column, identifier: Identifier | None) -> Column:
+    """Struct of lang_pred, score (0 to 1), xent (nats per character) and rejected for a text column.
+
+    Null texts and texts without a letter are `und` with score 0 and rejected, as is everything without an identifier (nothing to learn from).
+    """
+    session = SparkSession.active()
+    sent = session.sparkContext.broadcast(identifier)  # bounded by the fitted sample
+    fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("xent", pa.float64()), pa.field("rejected", pa.bool_())]
+
+    def run(texts: pa.Array) -> pa.Array:
+        model, raw, out = sent.value, byte_texts(texts), []
+        for a, b in slices([len(x or b"") for x in raw], 4 * SLICE_CHARS):
+            own = [None if x is None else x.decode() for x in raw[a:b]]
+            lang, score, xent, rejected = model.predict(own) if model else (["und"] * len(own), np.zeros(len(own)), np.zeros(len(own)), np.ones(len(own), bool))
+            out.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(xent), pa.array(rejected)], fields=fields))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct(fields))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "lang_pred string, score double, xent double, rejected boolean")(text)
+
+
 def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), xent (nats per character) and rejected of every row.
+    """doc_id, lang_pred, score, xent and rejected of every row; only the text decides.
 
-    Null texts and texts without a letter are `und` with score 0 and rejected, as is everything if there is no identifier (nothing to learn from).
-    Only the text decides. Null or repeated ids give a result each; other columns are not read.
+    Null or repeated ids give a result each; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the fitted sample
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for a, b in slices([len(x or b"") for x in raw], 4 * SLICE_CHARS):
-                texts = [None if x is None else x.decode() for x in raw[a:b]]
-                lang, score, xent, rejected = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(lang, pa.string()), pa.array(score), pa.array(xent), pa.array(rejected)], ["doc_id", "lang_pred", "score", "xent", "rejected"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, xent double, rejected boolean")
+    found = identification(F.col(text_col).cast("string"), identifier)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.*")

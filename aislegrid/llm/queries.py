@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, lm_score, pii, token_files, topk, url_filter
+from . import bpe, decontaminate, language_id, lm_score, near_dedup, pii, suffix_dedup, token_files, topk, url_filter
 from .common import fold, new_path, table
 
 PII_KEY = "aislegrid-surrogates-1"
@@ -49,7 +49,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), results=("ids_sha256", "decoded_sha256"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +58,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_digest(token_files.read_token_files(spark, path))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm_score.score(docs, tokenizer_path("piece_bpe_32k.model"), fold(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_pii, op4_url_filter, op5_topk, op6_bpe, op7_token_files, op9_lm_score)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_pii, op4_url_filter, op5_topk, op6_bpe, op7_token_files, op8_suffix_dedup, op9_lm_score, op10_near_dedup)}
 
 OP4_SQL = """
 WITH u AS (
@@ -91,4 +99,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": OP4_SQL, "op5_topk": OP5_SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": OP4_SQL, "op5_topk": OP5_SQL, "op10_near_dedup": near_dedup.SQL}

@@ -1,6 +1,8 @@
-"""Registered catalog queries and their SQL."""
+"""All registered catalog queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import operations, prices  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

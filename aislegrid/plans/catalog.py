@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions, operations, prices  # noqa: F401
+from . import functions, matching, operations, prices  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -213,7 +213,7 @@ class Identifier:
         self.mean, self.spread, self.limit = np.full(k, 3.0), np.full(k, 1.0), np.full(k, 8.0)
         for i in range(k):
             x, m = h[y == i, i], n[y == i]
-            if len(x) >= 20:
+            if len(x) >= 5:
                 self.mean[i] = np.median(x)
                 self.spread[i] = max(0.05, float(np.sqrt(np.mean((x - self.mean[i]) ** 2))))
                 self.limit[i] = max(8.0, 1.5 * float(np.max(self._excess(x, m, i))))
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return None
-    check = sample.where(held_back & (F.col("spot") % (CALIBRATION * 2) == 0)).select("lang", "text").collect()
+    check = sample.where(held_back).select("lang", "text").collect()
     return Identifier(KneserNey(counts), [r["lang"] for r in check], [r["text"] for r in check])
 
 

@@ -35,6 +35,9 @@ ATTRIBUTES = {
     "form": ["powder", "liquid", "granules", "concentrate", "ready to drink", "rtd"],
     "pack": ["pack of", "multipack", "family", "value", "bundle", "single"],
 }
+# Names of large supermarket chains.
+MAJOR_CHAINS = ["othaim", "panda", "carrefour", "karfour", "danube", "tamimi", "lulu", "spinneys"]
+MAJOR_CHAINS_AR = ["العثيم", "عثيم", "بنده", "بندة", "كارفور", "الدانوب", "دانوب", "التميمي", "تميمي", "لولو", "سبينس", "سبينيس", "سبينيز"]
 # Unit and packaging words that a normalised name loses.
 UNIT_PATTERN = r"(?i)[0-9]+\.?[0-9]*\s*(g|kg|ml|l|cl|cc|oz|pcs|pack|لتر|ملل|غرام|كغ|حبة)\s?"
 PACKAGING = "pack\\s+of|multipack|bundle|value\\s+pack|family\\s+size|single|bottle|can|tin|box|carton|sachet"
@@ -183,3 +186,14 @@ def strip_html(text: Column) -> Column:
 
 def verdict_key(brand: Column, name: Column, weight: Column, gtins: Column) -> Column:
     return F.sha1(F.concat_ws("|", brand, name, weight, F.array_join(F.array_sort(gtins), ",")))
+
+
+def is_major_chain(name_en: Column, name_ar: Column) -> Column:
+    """Whether either name holds the name of a large chain."""
+    hit = lambda c, words: F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
+    return hit(name_en, MAJOR_CHAINS) | hit(name_ar, MAJOR_CHAINS_AR)
+
+
+def backfill_slug(brand: Column) -> Column:
+    """The plain SQL slug that stored rows were once given: no aliases, no folding, ampersands become hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(brand, F.lit("")))), "[^a-z0-9]+", "-"), "^-+|-+$", "")

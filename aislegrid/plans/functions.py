@@ -63,6 +63,8 @@ on_samples("str_arabic_norm", T.arabic_name, r"trim(regexp_replace(lower(transla
 on_samples("str_price_text", T.price_text, r"try_cast(regexp_extract(regexp_replace(s, '[^0-9.]', '', 'g'), '^([0-9]*\.?[0-9]+)', 1) AS double)")
 on_samples("str_strip_platform", lambda s: F.trim(F.regexp_replace(s, r"(?i)\s*(markets?city|only)$", "")), r"trim(regexp_replace(s, '(?i)\s*(markets?city|only)$', ''))")
 on_samples("str_html_strip", T.strip_html, "trim(regexp_replace(s, '<[^>]+>', '', 'g'))")
+on_samples("str_sql_norm_backfill", T.backfill_slug, "regexp_replace(regexp_replace(lower(trim(coalesce(s, ''))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
+on_samples("filter_major_chain", lambda s: T.is_major_chain(s, s), "coalesce(regexp_matches(lower(s), '" + "|".join(T.MAJOR_CHAINS + T.MAJOR_CHAINS_AR) + "'), false)")
 on_samples("str_fallback_ids", lambda s: F.concat(F.lit("SCAN-"), F.upper(F.substring(F.md5(s), 1, 8))), "'SCAN-' || upper(substr(md5(s), 1, 8))")
 on_samples("str_allergen_detect", lambda s: F.concat_ws(",", *[F.when(F.lower(s).contains(k), F.lit(k)) for k in ("milk", "nuts", "soy", "egg")]), "concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(s), '{k}') THEN '{k}' END" for k in ("milk", "nuts", "soy", "egg")) + ")")
 on_samples("str_brand_token", lambda s: F.get(F.filter(F.split(F.lower(s), " "), lambda t: (F.length(t) >= 3) & ~t.isin(T.NOISE)), F.lit(0)), "list_filter(string_split(lower(s), ' '), lambda t: length(t) >= 3 AND t NOT IN (" + ", ".join(f"'{x}'" for x in T.NOISE) + "))[1]")

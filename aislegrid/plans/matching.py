@@ -192,13 +192,22 @@ def num_match_score_linker(spark, d):
     return best.withColumn("tier", F.when(F.col("score") >= 60, "link").when(F.col("score") >= 45, "review").otherwise("discard"))
 
 
-@query("""
+ENRICHED_SQL = """
 WITH pairs AS (SELECT a.vec_id AS product_id, b.vec_id AS donor_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY cosine DESC, donor_id) AS rn FROM pairs) WHERE rn = 1)
-SELECT product_id, donor_id, round(cosine, 6) AS cosine, concat_ws(',', CASE WHEN cosine >= 0.85 THEN 'nutrition' END, CASE WHEN cosine >= 0.88 THEN 'image' END, CASE WHEN cosine >= 0.9 THEN 'name_ar' END) AS borrowed FROM best""")
+SELECT product_id, donor_id, round(cosine, 6) AS cosine, concat_ws(',', CASE WHEN cosine >= 0.85 THEN 'nutrition' END, CASE WHEN cosine >= 0.88 THEN 'image' END, CASE WHEN cosine >= 0.9 THEN 'name_ar' END) AS borrowed FROM best"""
+
+
+@query(ENRICHED_SQL)
 def pipe_enrichment(spark, d):
     v = view(spark, d, "embeddings")
     a, b = v.where("vec_id % 10 = 0").alias("a"), v.where("vec_id % 10 <> 0").alias("b")
     pairs = a.join(b, F.expr("a.label = b.label")).select(F.col("a.vec_id").alias("scan_id"), F.col("b.vec_id").alias("pool_id"), N.dot(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
     borrowed = F.concat_ws(",", *[F.when(F.col("score") >= t, F.lit(k)) for k, t in (("nutrition", 0.85), ("image", 0.88), ("name_ar", 0.9))])
     return M.best_of(pairs, -2.0).select(F.col("scan_id").alias("product_id"), F.col("pool_id").alias("donor_id"), F.round("score", 6).alias("cosine"), borrowed.alias("borrowed"))
+
+
+@query(f"SELECT field, count(*) AS n, round(avg(cosine), 4) AS avg_cosine FROM (SELECT cosine, unnest(string_split(borrowed, ',')) AS field FROM ({ENRICHED_SQL})) GROUP BY field")
+def agg_avg_cosine(spark, d):
+    rows = pipe_enrichment(spark, d).select("cosine", F.explode(F.split("borrowed", ",")).alias("field"))
+    return rows.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 4).alias("avg_cosine"))

@@ -40,14 +40,13 @@ portable("agg_top_values", "SELECT brand, count(*) AS n FROM product GROUP BY br
 portable("agg_scalar_counts", """SELECT count(*) AS total, cast(sum(CASE WHEN gtin IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS with_gtin, cast(sum(CASE WHEN gtin LIKE 'SCAN-%' THEN 1 ELSE 0 END) AS bigint) AS synthetic, cast(sum(CASE WHEN gtin IS NULL THEN 1 ELSE 0 END) AS bigint) AS without_gtin FROM product""")
 portable("agg_match_breakdown", """SELECT CASE WHEN gtin IS NULL THEN 'residual' WHEN gtin LIKE 'SCAN-%' THEN 'review' ELSE 'auto' END AS outcome, count(*) AS n FROM product GROUP BY CASE WHEN gtin IS NULL THEN 'residual' WHEN gtin LIKE 'SCAN-%' THEN 'review' ELSE 'auto' END""")
 portable("agg_queue_status", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
-portable("agg_avg_cosine", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 
 # joins
 portable("join_left_anti_isnull", "SELECT r.id, r.gtin FROM product_report r LEFT JOIN product p ON p.gtin = r.gtin WHERE p.id IS NULL")
 portable("join_left_anti_source", "SELECT p.id FROM product p LEFT JOIN product_price pp ON pp.product_id = p.id AND pp.merchant_id = 3 WHERE pp.id IS NULL")
 portable("join_in_subquery_having", "SELECT p.id, p.name_en FROM product p WHERE p.id IN (SELECT product_id FROM product_price WHERE in_stock GROUP BY product_id HAVING count(*) > 20)")
 portable("join_exists_in_agg", """
-WITH scraped AS (SELECT DISTINCT store_id FROM product_price WHERE scraped_at >= TIMESTAMP '2001-10-20 00:00:00' AND store_id IS NOT NULL)
+WITH scraped AS (SELECT DISTINCT store_id FROM product_price WHERE scraped_at >= TIMESTAMP '2001-11-03 00:00:00' AND store_id IS NOT NULL)
 SELECT s.district_slug, count(*) AS n_stores FROM store s LEFT JOIN scraped x ON x.store_id = s.id GROUP BY s.district_slug HAVING sum(CASE WHEN x.store_id IS NULL THEN 0 ELSE 1 END) = 0""")
 portable("join_exact_key", """
 WITH pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, plain_name, net_weight_value ORDER BY id) AS rn FROM product WHERE gtin LIKE '628%') x WHERE rn = 1)
@@ -88,7 +87,6 @@ portable("filter_scalar_ranges", "SELECT id, net_weight_value, nutri_score_grade
 portable("filter_synthetic_gtin", "SELECT id, gtin FROM product WHERE NOT (length(gtin) IN (8, 12, 13, 14) AND translate(gtin, '0123456789', '') = '')")
 portable("filter_url_pollution", "SELECT count(*) AS n FROM pages WHERE url LIKE '%-%-%-%' OR url NOT LIKE '%/product/%'")
 portable("filter_denylist", "SELECT id, category FROM product WHERE NOT (lower(category) LIKE '%steel%' OR lower(category) LIKE '%promo%')")
-portable("filter_major_chain", "SELECT id, name_en FROM merchant WHERE lower(name_en) LIKE '%a%' AND (lower(name_en) LIKE '%an%' OR lower(name_en) LIKE '%in%')")
 portable("filter_union_dims", "SELECT id, brand, gtin FROM product WHERE brand IN ('Brand#11', 'Brand#22') OR gtin LIKE '628000000000%' OR id % 50 = 7")
 portable("filter_pilot_city", "SELECT id, city_slug FROM store WHERE trim(lower(city_slug)) IN ('asia', 'europe') OR '*' = 'all'")
 portable("point_lookup_raw", "SELECT id, name_en, gtin FROM product WHERE gtin = '6280000000012' LIMIT 1")
@@ -120,7 +118,7 @@ portable("set_diff_allergens", """
 WITH pair AS (SELECT id AS id_a, id + 1 AS id_b FROM product WHERE id % 2 = 0)
 SELECT p.id_a, p.id_b, x.allergen_key, CASE WHEN max(CASE WHEN x.product_id = p.id_a THEN 1 ELSE 0 END) + max(CASE WHEN x.product_id = p.id_b THEN 1 ELSE 0 END) = 2 THEN 'shared' WHEN max(CASE WHEN x.product_id = p.id_a THEN 1 ELSE 0 END) = 1 THEN 'only_in_a' ELSE 'only_in_b' END AS side
 FROM pair p JOIN product_allergen x ON x.product_id = p.id_a OR x.product_id = p.id_b GROUP BY p.id_a, p.id_b, x.allergen_key""".replace("x.product_id = p.id_a OR x.product_id = p.id_b GROUP", "x.product_id - x.product_id % 2 = p.id_a GROUP"))
-portable("set_missing_stores", "SELECT s.id FROM store s WHERE s.id NOT IN (SELECT store_id FROM product_price WHERE product_id % 50 = 0 AND store_id IS NOT NULL)")
+portable("set_missing_stores", "SELECT s.id FROM store s WHERE s.id NOT IN (SELECT store_id FROM product_price WHERE product_id = 50 AND store_id IS NOT NULL)")
 portable("set_distinct_options", "SELECT DISTINCT category AS option, 'category' AS kind FROM product WHERE category <> '' UNION ALL SELECT DISTINCT brand, 'brand' FROM product WHERE brand <> ''")
 portable("set_distinct_sync_pairs", "SELECT DISTINCT p.id, p.gtin, pp.merchant_id FROM product p JOIN product_price pp ON pp.product_id = p.id WHERE pp.merchant_id = 4")
 portable("set_round_robin", """
@@ -132,7 +130,7 @@ SELECT a.page, max(na.n) = count(b.item) AND max(nb.n) = count(b.item) AS same F
 
 # pipelines over relations
 portable("pipe_zero_district", """
-WITH scraped AS (SELECT s.district_slug, count(pp.id) AS n FROM store s LEFT JOIN product_price pp ON pp.store_id = s.id AND pp.scraped_at >= TIMESTAMP '2001-10-20 00:00:00' GROUP BY s.district_slug HAVING count(pp.id) = 0)
+WITH scraped AS (SELECT s.district_slug, count(pp.id) AS n FROM store s LEFT JOIN product_price pp ON pp.store_id = s.id AND pp.scraped_at >= TIMESTAMP '2001-11-03 00:00:00' GROUP BY s.district_slug HAVING count(pp.id) = 0)
 SELECT s.id, s.district_slug FROM store s JOIN scraped z ON z.district_slug = s.district_slug WHERE s.is_active""")
 portable("pipe_similar", """
 WITH lowest AS (SELECT product_id, min(price_sar_incl_vat) AS lowest_price FROM product_price WHERE price_sar_incl_vat > 0 GROUP BY product_id),

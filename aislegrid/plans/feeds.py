@@ -266,6 +266,17 @@ def pipe_image_hash_backfill(spark, d):
     return rows.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "FAILED").otherwise(F.substring(F.md5("p_name"), 1, 16)).alias("hash"))
 
 
+@query("SELECT id, gtin, json_extract_string(payload, '$.k') AS k FROM product_report")
+def json_path_text(spark, d):
+    return view(spark, d, "product_report").select("id", "gtin", F.get_json_object("payload", "$.k").alias("k"))
+
+
+@query("SELECT gtin, count(*) AS n_reports, coalesce(max(json_extract_string(payload, '$.k')), max(json_extract_string(payload, '$.name_ar')), '') AS sample FROM product_report GROUP BY gtin")
+def agg_count_group_order(spark, d):
+    text = lambda path: F.max(F.get_json_object("payload", path))
+    return view(spark, d, "product_report").groupBy("gtin").agg(F.count("*").alias("n_reports"), F.coalesce(text("$.k"), text("$.name_ar"), F.lit("")).alias("sample"))
+
+
 # streams
 def price_rows(spark, d) -> DataFrame:
     p = view(spark, d, "product_price").where("store_id IS NOT NULL AND product_id % 20 = 0")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from .registry import portable
 
 # aggregates
-portable("agg_count_group_order", """SELECT gtin, count(*) AS n_reports, coalesce(max(payload), '') AS sample FROM product_report GROUP BY gtin""")
 portable("agg_conditional", """SELECT cast(sum(CASE WHEN in_stock THEN 1 ELSE 0 END) AS bigint) AS n_in_stock, count(promo_price_sar) AS n_promo, count(DISTINCT product_id) AS n_products, count(DISTINCT store_id) AS n_stores FROM product_price""")
 portable("agg_dupes", """
 WITH groups AS (SELECT lower(plain_name) AS name, lower(brand) AS brand, floor(net_weight_value / 10) AS weight, count(*) AS n FROM product WHERE name_en <> '' GROUP BY lower(plain_name), lower(brand), floor(net_weight_value / 10))
@@ -168,4 +167,3 @@ SELECT i.gtin, i.id FROM incoming i LEFT JOIN existing e ON e.gtin = i.gtin WHER
 portable("scan_id_keyset_copy", "SELECT p.id, p.name_en FROM product p WHERE p.id > 100 AND p.id NOT IN (SELECT id FROM product WHERE id % 4 = 0) ORDER BY p.id LIMIT 500")
 portable("stream_negative_cache", "SELECT e.event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS missed FROM events WHERE event_type = 'error' GROUP BY user_id) m ON m.user_id = e.user_id AND m.missed >= TIMESTAMP '2024-01-29 00:00:00' WHERE m.user_id IS NULL")
 portable("stream_throttle", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY ts, event_id) AS rn FROM events) x WHERE rn <= 2")
-portable("json_path_text", "SELECT id, gtin, payload FROM product_report WHERE payload LIKE '%k%'")

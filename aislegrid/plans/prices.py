@@ -120,4 +120,4 @@ portable("cdc_incremental_sync", """
 WITH hwm AS (SELECT max(scraped_at) - INTERVAL '60' SECOND - INTERVAL '30' DAY AS since FROM product_price WHERE in_stock),
 changed AS (SELECT p.* FROM product_price p CROSS JOIN hwm WHERE p.scraped_at >= hwm.since)
 SELECT product_id, id, price_sar_incl_vat FROM (SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id, store_id ORDER BY scraped_at DESC, id DESC) AS rn FROM changed) x WHERE rn = 1""")
-portable("scan_keyset_paged", """SELECT id, product_id, cast(scraped_at AS date) AS day FROM (SELECT *, row_number() OVER (ORDER BY scraped_at DESC, id DESC) AS rn FROM product_price WHERE scraped_at < TIMESTAMP '1999-01-01 00:00:00') x WHERE rn <= 500""")
+portable("scan_keyset_paged", "SELECT id, product_id, cast(scraped_at AS date) AS day FROM product_price WHERE scraped_at < TIMESTAMP '1999-01-01 00:00:00' ORDER BY scraped_at DESC, id DESC LIMIT 500")

@@ -31,7 +31,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 LONG = 96
 NO_RANK = np.int32(2**31 - 1)
-MOST_WORDS = 400_000  # words that a Python worker remembers between batches; beyond it starts afresh
+MOST_WORDS = 1_000_000  # words that a Python worker remembers between batches; beyond it starts afresh
 SLICE_BYTES = 4_000_000
 
 _space = regex.compile(f"[{SPACES}]+")

@@ -248,9 +248,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = settled(sketch_documents(docs))
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    copies = full.join(classes.where("copies > 1").drop("copies"), ["n_shingles", "f1", "f2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    copies = settled(copies.where("a <> b").distinct())
-    heads = full.join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch", "keys")
+    classes = settled(classes.where("copies > 1").drop("copies"))  # read from files, so that a large class can be split in the join
+    copies = full.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    copies = settled(copies.where("a <> b"))
+    heads = full.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch", "keys")
 
     keyed = heads.select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND a < last")

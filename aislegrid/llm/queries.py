@@ -64,7 +64,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = lm_score.score(docs, tokenizer_path("piece_bpe_32k.model"), fold(F.col("doc_id"), 7) != 2)
+    scored = lm_score.score(docs, tokenizer_path("piece_bpe_32k.model"), fold(F.col("doc_id"), 7) != 2, group_col="lang")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -396,6 +396,14 @@ def test_lm_score(spark):
         assert r.score < 0 and math.isfinite(r.score)
     key = lambda r: (r.doc_id, r.score)
     assert [r.score for r in sorted(got, key=key)] == pytest.approx([r.score for r in sorted(same, key=key)])
+    groups = frame(spark, rows).withColumn("kind", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("string")))
+    parted, most = [], lm_score.MOST_GROUPS
+    for lm_score.MOST_GROUPS in (most, 1):
+        parted.append(lm_score.score(groups, tokenizer_path("piece_bpe_32k.model"), fold(F.col("doc_id"), 7) != 2, group_col="kind").collect())
+    lm_score.MOST_GROUPS = most
+    for other in parted:
+        assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in other) == Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
+        assert all(r.score < 0 and math.isfinite(r.score) for r in other)
     nothing = lm_score.score(frame(spark, [(1, "a b"), (None, None)]), tokenizer_path("piece_bpe_32k.model"), F.lit(False)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in nothing} == {(1, 3, 0, 0), (None, 1, 0, 0)}
     assert lm_score.score(empty(spark), tokenizer_path("piece_bpe_32k.model"), F.lit(True)).count() == 0

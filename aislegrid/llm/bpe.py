@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import byte_texts, slices
+from .common import text_runs
 
 # The white space of Unicode, and the pre-token pattern of the vocabulary file.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -285,9 +285,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = _own(path)
         for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for a, b in slices([len(x or b"") for x in raw], SLICE_BYTES):
-                flat, counts = encoder.encode([(x or b"").decode() for x in raw[a:b]])
+            for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
+                flat, counts = encoder.encode([x.decode() for x in raw])
                 ends = np.cumsum(counts)
                 ids = [flat[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 got = {}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,12 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def text_runs(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows a to b of a text column and their bytes (null: empty), in runs of at most `most` bytes: one run's objects exist at a time."""
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield a, b, [x or b"" for x in byte_texts(column[a:b])]
+
+
 class HashIndex:
     """Sorted array of 64-bit hashes with a directory over its leading bits; find() gives positions, -1 for absent keys."""
 

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashIndex, byte_texts, slices
+from .common import HashIndex, byte_texts, slices, text_runs
 
 ORDER = 4
 SAMPLE_DOCS = 4_000
 CALIBRATION = 8  # one document in so many of the sample is held back from the counts
-SLICE_CHARS = 600_000
+SLICE_CHARS = 300_000
 STEP, FINISH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -273,9 +273,9 @@ def identification(text: Column, identifier: Identifier | None) -> Column:
     fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("xent", pa.float64()), pa.field("rejected", pa.bool_())]
 
     def run(texts: pa.Array) -> pa.Array:
-        model, raw, out = sent.value, byte_texts(texts), []
-        for a, b in slices([len(x or b"") for x in raw], 4 * SLICE_CHARS):
-            own = [None if x is None else x.decode() for x in raw[a:b]]
+        model, out = sent.value, []
+        for _, _, raw in text_runs(texts, SLICE_CHARS):
+            own = [x.decode() for x in raw]
             lang, score, xent, rejected = model.predict(own) if model else (["und"] * len(own), np.zeros(len(own)), np.zeros(len(own)), np.ones(len(own), bool))
             out.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(xent), pa.array(rejected)], fields=fields))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct(fields))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, settled, slices
+from .common import settled, text_runs
 from .components import components
 
 WORDS = 5
@@ -27,7 +27,7 @@ THRESHOLD = 0.75
 DOUBT = 16.0  # log likelihood ratio beyond which a pair is out
 BLOCK = 512
 BROADCAST_ROWS = 100_000
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20_241)
 _A = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -112,9 +112,8 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for a, b in slices([len(x or b"") for x in raw], SLICE_BYTES):
-                sets = shingle_sets([x or b"" for x in raw[a:b]])
+            for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
+                sets = shingle_sets(raw)
                 sketches = np.stack([registers(s) for s in sets])
                 keys = np.stack([band_keys(s) for s in sketches])
                 sums = [pa.array(np.array([int(f(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)) for f in (lambda s: s, lambda s: _mix(s ^ np.uint64(_P)))]
@@ -168,16 +167,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for a, b in slices([len(x or b"") for x in raw], SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets([x or b"" for x in raw[a:b]])], pa.binary())], ["doc_id", "hashes"])
+            for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(raw)], pa.binary())], ["doc_id", "hashes"])
 
     return texts.mapInArrow(run, "doc_id long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b that are linked, on full sets; grouped by a and a salt so that a set with many partners is sent to several tasks."""
-    fan = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
+    """Pairs a, b that are linked, on full sets; grouped by a and a salt so that a group has about BLOCK partners however many a has."""
+    large = settled(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"))
+    fan = pairs.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "a", "left")
+    fan = fan.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     hubs = fan.select("a", "part").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").alias("hub"), F.col("part").alias("hub_part"), F.col("hashes").alias("hub_hashes"))
     members = fan.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", F.col("b").alias("doc_id"), "hashes")
 

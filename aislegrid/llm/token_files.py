@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, byte_alphabet
-from .common import byte_texts, slices
+from .common import text_runs
 
 SLICE_BYTES = 4_000_000
 ORC_OPTIONS = {
@@ -57,9 +57,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _library(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for a, b in slices([len(x or b"") for x in raw], SLICE_BYTES):
-                flat, counts = encoder.encode([(x or b"").decode() for x in raw[a:b]])
+            for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
+                flat, counts = encoder.encode([x.decode() for x in raw])
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.int32)
                 ends = np.cumsum(counts + 1)
                 starts = start + ends - counts - 1

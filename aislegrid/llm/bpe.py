@@ -31,8 +31,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 LONG = 96
 NO_RANK = np.int32(2**31 - 1)
-MOST_WORDS = 1_000_000  # words that a Python worker remembers between batches; beyond it starts afresh
-SLICE_BYTES = 4_000_000
+MOST_WORDS = 300_000  # words that a Python worker remembers between batches; beyond it starts afresh
+SLICE_BYTES = 1_000_000
 
 _space = regex.compile(f"[{SPACES}]+")
 _odd_controls = regex.compile(r"[\x1c-\x1f]")

@@ -205,8 +205,8 @@ class _Numbers(dict):
 class TextEncoder:
     """Encodes texts through the distinct words of a run of texts; `merge` turns new pre-tokens into ids."""
 
-    def __init__(self, specials: dict[str, int], merge):
-        self.merge, self.specials = merge, specials
+    def __init__(self, specials: dict[str, int], merge, most_words: int = MOST_WORDS):
+        self.merge, self.specials, self.most_words = merge, specials, most_words
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.forget()
 
@@ -236,7 +236,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of ids of each text."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > self.most_words:
             self.forget()
         had = len(self.known)
         words, counts = [], np.zeros(len(texts), np.int64)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .bpe import TextEncoder, byte_alphabet
 from .common import text_runs
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 4_000_000
+MOST_WORDS = 1_000_000
 ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
@@ -44,7 +45,7 @@ def _library(path: str) -> TextEncoder:
         tokenize = tokenizer.model.tokenize
         return [np.array([t.id for t in tokenize(w.decode("latin-1").translate(letters))], np.int32) for w in words]
 
-    return TextEncoder(specials, merge)
+    return TextEncoder(specials, merge, MOST_WORDS)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:

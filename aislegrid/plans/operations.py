@@ -153,7 +153,7 @@ SELECT product_id, count(*) AS n_prices FROM moved GROUP BY product_id""")
 portable("pipe_enrich_overlay", """
 SELECT s.id, coalesce(nullif(s.nutri_score_grade, ''), c.nutri_score_grade) AS nutri_score_grade, s.nutri_score_grade IS NULL AND c.nutri_score_grade IS NOT NULL AS borrowed FROM product s LEFT JOIN product c ON c.id = s.id + 6 - s.id % 6 + 1""")
 portable("pipe_price_linker", """
-WITH target AS (SELECT * FROM product WHERE length(plain_name) >= 5 ORDER BY id LIMIT 200), offers AS (SELECT * FROM product WHERE gtin LIKE 'SCAN-%'),
+WITH target AS (SELECT * FROM product WHERE length(plain_name) >= 5), offers AS (SELECT * FROM product WHERE gtin LIKE 'SCAN-%'),
 scored AS (SELECT t.id, o.id AS offer_id, CASE WHEN t.plain_name = o.plain_name THEN 45 ELSE 10 END + CASE WHEN t.brand = o.brand THEN 20 ELSE 0 END + CASE WHEN abs(t.net_weight_value - o.net_weight_value) / t.net_weight_value <= 0.05 THEN 25 WHEN abs(t.net_weight_value - o.net_weight_value) / t.net_weight_value <= 0.15 THEN 15 ELSE 0 END + 5 AS score
   FROM target t JOIN offers o ON t.brand = o.brand AND t.id <> o.id),
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, offer_id) AS rn FROM scored)

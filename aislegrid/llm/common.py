@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,13 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. A local one only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. One of our own only where it is unset and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints/aislegrid"
-        os.makedirs(base, exist_ok=True)
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -34,10 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder: later steps read files, not the lineage, so lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written once as a table in the shared folder: later steps read its files, not the lineage, so lost executors cost no recomputation.
+
+    The tables stay until the folder is cleared, as a result that reads them may be used at any time.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(col):

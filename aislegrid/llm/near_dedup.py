@@ -1,11 +1,11 @@
 """MinHash near-dedup (operator 10) with SetSketch registers.
 
-A document's set is its distinct five-word shingles (64-bit hashes). A sketch has REGISTERS truncated minima on an exponential
-scale of base B: mergeable by maximum, and equal with a probability that grows with similarity. Documents with equal sets are one class. Class
-representatives meet through bands of register values; in each bucket all are paired with the bucket's smallest id. A pair is dropped only
-if the joint likelihood of its register comparison and sizes rules the threshold out, and is verified on the full sets otherwise. Buckets whose members
-are then still in different components are searched exactly, in blocks: all members outside the bucket's largest component against all of another component,
-so no link inside a bucket is lost and no list of all pairs is made.
+A document's set is its distinct five-word shingles, as 64-bit hashes: links are confirmed on the full sets of these hashes, and sets of equal size and two equal
+64-bit sums of hashes count as equal. A sketch has REGISTERS truncated minima on an exponential scale of base B: mergeable by maximum, and equal with a probability
+that grows with similarity. Documents with equal sets are one class. Class representatives meet through bands of register values; in each bucket all are paired
+with the bucket's smallest id. A pair is dropped only if the joint likelihood of its register comparison and sizes rules the threshold out, and is verified on the
+full sets otherwise. Buckets whose members are then still in different components are searched exactly, in blocks: all members outside the bucket's largest
+component against all of another component, so no link inside a bucket is lost and no list of all pairs is made.
 """
 
 from __future__ import annotations
@@ -99,29 +99,43 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(B)) + 400, 0, 65535).astype(np.uint16)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    rows = sketch.reshape(BANDS, -1).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for i in range(rows.shape[1]):
-        h = _mix(h * np.uint64(_P) + rows[:, i] + np.uint64(1))
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Band keys (BANDS columns) of sketches (rows)."""
+    rows = sketches.reshape(len(sketches), BANDS, -1).astype(np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    for i in range(rows.shape[2]):
+        h = _mix(h * np.uint64(_P) + rows[:, :, i] + np.uint64(1))
     return h.view(np.int64)
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, sketch and band keys."""
+    """doc_id, n_shingles, two sums over the set's hashes, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
                 sets = shingle_sets(raw)
-                sketches = np.stack([registers(s) for s in sets])
-                keys = np.stack([band_keys(s) for s in sketches])
                 sums = [pa.array(np.array([int(f(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)) for f in (lambda s: s, lambda s: _mix(s ^ np.uint64(_P)))]
-                blob = pa.array([s.tobytes() for s in sketches], pa.binary())
-                key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.array([len(s) for s in sets], np.int64)), *sums, blob, key_lists], ["doc_id", "n_shingles", "f1", "f2", "sketch", "keys"])
+                blob = pa.array([registers(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.array([len(s) for s in sets], np.int64)), *sums, blob], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+
+
+def _matrix(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _keyed(heads: DataFrame) -> DataFrame:
+    """key, doc_id for each band of heads (doc_id, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "doc_id"])
+
+    return heads.select("doc_id", "sketch").mapInArrow(run, "key long, doc_id long")
 
 
 def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,58 +156,50 @@ def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) ->
     return j[at, best], fit[at, best] - fit[:, 75:].max(1)
 
 
-def _promising(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, sketch_a, sketch_b) whose sizes allow the threshold and whose likelihood does not rule it out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-                u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, REGISTERS) for i in (4, 5))
-                ok = (np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b)) & (estimate(u, v, n_a, n_b)[1] < DOUBT)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def _is_linked(shared, n_u, n_v):
     return 100 * shared >= round(100 * THRESHOLD) * (n_u + n_v - shared)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """doc_id and the full set of each wanted document (a smallest text for a repeated id)."""
-    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+def small(df: DataFrame) -> DataFrame:
+    """A settled table marked for broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, the full set and its sketch, of the documents of wanted (doc_id): only candidates are taken up again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw in text_runs(batch.column(1), SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(raw)], pa.binary())], ["doc_id", "hashes"])
-
-    return texts.mapInArrow(run, "doc_id long, hashes binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b that are linked, on full sets; grouped by a and a salt so that a group has about BLOCK partners however many a has."""
-    large = settled(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"))
-    fan = pairs.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "a", "left")
-    fan = fan.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    hubs = fan.select("a", "part").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").alias("hub"), F.col("part").alias("hub_part"), F.col("hashes").alias("hub_hashes"))
-    members = fan.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", F.col("b").alias("doc_id"), "hashes")
-
-    def run(hub: pa.Table, others: pa.Table) -> pa.Table:
-        linked = []
-        if hub.num_rows:
-            u = np.frombuffer(hub.column("hub_hashes")[0].as_py(), np.uint64)
-            for doc, blob in zip(others.column("doc_id").to_pylist(), others.column("hashes"), strict=True):
-                v = np.frombuffer(blob.as_py(), np.uint64)
-                at = np.searchsorted(u, v)
-                if _is_linked(int((u[np.minimum(at, len(u) - 1)] == v).sum()) if len(u) else 0, len(u), len(v)):
-                    linked.append(doc)
-        a = hub.column("hub")[0].as_py() if hub.num_rows else None
+                sets = shingle_sets(raw)
+                blobs = [pa.array([f(s).tobytes() for s in sets], pa.binary()) for f in (lambda s: s, registers)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *blobs], ["doc_id", "hashes", "sketch"])
+
+    return docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary, sketch binary")
+
+
+def _linked_to_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b that are linked: by the sketches' joint likelihood, then on full sets. A group is a hub a with about BLOCK of its partners, however many it has."""
+    large = settled(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"), "hubs")
+    fan = pairs.join(small(large), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("doc_id"))
+    rows = fan.unionByName(fan.select("a", "part", F.col("a").alias("doc_id")).distinct()).join(sets, "doc_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, ids = table.column("a")[0].as_py(), np.array(table.column("doc_id").to_pylist(), np.int64)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+        sizes, sketches, linked = np.array([len(s) for s in sets], float), _matrix(table.column("sketch")), []
+        for hub in np.flatnonzero(ids == a).tolist():  # several only if an id comes with several texts
+            u, n = sets[hub], sizes[hub]
+            near = np.flatnonzero((ids != a) & (np.minimum(n, sizes) >= THRESHOLD * np.maximum(n, sizes)))
+            if len(near):
+                near = near[estimate(np.broadcast_to(sketches[hub], (len(near), REGISTERS)), sketches[near], np.full(len(near), n), sizes[near])[1] < DOUBT]
+            for i in near.tolist():
+                at = np.minimum(np.searchsorted(u, sets[i]), len(u) - 1)
+                if _is_linked(int((u[at] == sets[i]).sum()), len(u), len(sets[i])):
+                    linked.append(int(ids[i]))
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    return hubs.groupBy("hub", "hub_part").cogroup(members.groupBy("a", "part")).applyInArrow(run, "a long, b long")
+    return rows.groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
 def _searched(rows: DataFrame) -> DataFrame:
@@ -225,51 +231,56 @@ def _searched(rows: DataFrame) -> DataFrame:
 
 def _links_within(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Remaining links of buckets (key, doc_id) of three and more members in several components."""
-    named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(F.struct("n", "component")).getField("component").alias("main"), F.count("*").alias("parts")).where("n > 2 AND parts > 1")
-    rows = settled(named.join(open_keys.select("key", "n", "most", "main"), "key"))
-    if rows.isEmpty():
+    named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = settled(named, "buckets")
+    still = settled(named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 AND low < high").select("key"), "buckets")
+    if still.isEmpty():
         return None
-    rows = rows.withColumn("nm", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("nq", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"))
+    named = named.join(small(still), "key")
+    per = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = settled(per.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(F.struct("n", "component")).getField("component").alias("main")), "buckets")
+    blocks = sizes.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("nq"))
+    rows = named.join(F.broadcast(blocks) if sizes.count() <= BROADCAST_ROWS else blocks, "key")
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = rows.select("key", "doc_id", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), spot("nm").alias("mb"))
     askers = rows.where("component <> main").select("key", "doc_id", "component", F.lit(True).alias("asks"), spot("nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"))
-    return settled(_searched(members.unionByName(askers).join(sets, "doc_id")).distinct())
+    return settled(_searched(members.unionByName(askers).join(sets.select("doc_id", "hashes"), "doc_id")).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id, itself included) and kept (doc_id = component_id) of every row.
 
     Null, empty and wordless texts have an empty set and are linked with nothing. Rows with a null id are linked with nothing and kept (component_id null).
-    Rows that repeat an id share the component of the id. Empty tables give an empty result; other columns are not read.
+    Rows that repeat an id, with the same text or another, share one component. Very long texts are cut into words whole. Empty tables give an empty result;
+    other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = settled(sketch_documents(docs))
+    sketched = settled(sketch_documents(docs), "sketches")
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    classes = settled(classes.where("copies > 1").drop("copies"))  # read from files, so that a large class can be split in the join
-    copies = full.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    copies = settled(copies.where("a <> b"))
-    heads = full.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "sketch", "keys")
-
-    keyed = heads.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND a < last")
-    buckets = settled(keyed.join(shared.select("key", "a"), "key"))
-    stars = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    of = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = settled(_promising(stars.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")))
-
-    wanted = settled(buckets.select("doc_id").distinct())
-    sets = settled(_sets(docs, wanted, wanted.count()).groupBy("doc_id").agg(F.min("hashes").alias("hashes")))
-    links = settled(_verified(pairs, sets).unionByName(copies))
+    same = ["n_shingles", "f1", "f2"]
+    classes = settled(full.groupBy(*same, "sketch").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    again = settled(full.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    repeats = not again.isEmpty()
+
+    keyed = _keyed(classes.select(F.col("first").alias("doc_id"), "sketch"))
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last")
+    buckets = settled(keyed.join(shared.select("key", "a"), "key"), "buckets")
+    pairs = settled(buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    sets = _sets(docs, settled(buckets.select("doc_id").distinct(), "wanted"))
+    sets = settled(sets.distinct() if repeats else sets, "sets")
+
+    links = _linked_to_hubs(pairs, sets)
+    if repeats:  # all classes of an id belong together
+        own = full.join(small(again), "doc_id", "left_semi").join(classes.select(*same, "first"), same)
+        links = links.unionByName(own.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     labels = components(links)
     more = _links_within(buckets.select("key", "doc_id"), labels, sets)
     if more is not None and not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = sketched.select("doc_id", "n_shingles").join(labels.where("node <> component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = classes.select(*same, "first", "copies").join(labels.where("node <> component").withColumnRenamed("node", "first"), "first", "left")
+    named = named.where("copies > 1 OR component IS NOT NULL").select(*same, F.coalesce("component", "first").alias("component"))
+    rows = sketched.select("doc_id", *same).join(named, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 SQL = """

@@ -2,20 +2,22 @@
 
 One model of order 4 per language. All n-grams seen in any language share one sorted array of 64-bit hashes per order, beside a
 matrix of fully interpolated log probabilities (rows n-grams, columns languages); a second array per order holds the
-back-off weights of contexts. A text goes to the language of lowest cross-entropy per character. Texts far above the cross-entropy that
-held-back training documents of that language have are marked as rejected.
+back-off weights of contexts. A text goes to the language of lowest cross-entropy per character. A text is rejected if its cross-entropy, as a standard score that
+allows for length, is beyond a limit set by a quantile of the held-back training documents of that language.
 
 The models are fitted on a bounded sample: at most about `sample_docs` documents of each language (a hash threshold on the id,
-documented bound); every text is then scored whole.
+documented bound); every text is then scored whole. Counting and scoring of held-back texts are distributed, the sample's n-gram counts are smoothed
+in one task, and the driver gets the finished arrays and a few numbers for each held-back text.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,9 @@ from .common import HashIndex, byte_texts, slices, text_runs
 
 ORDER = 4
 SAMPLE_DOCS = 4_000
-CALIBRATION = 8  # one document in so many of the sample is held back from the counts
-SLICE_CHARS = 300_000
+CALIBRATION = 4  # one document in so many of the sample is held back from the counts
+FEW, QUANTILE, MARGIN = 200, 0.995, 1.75  # the limit of rejection: so many times this quantile of the held-back standard scores; about one in 1,000 documents like them is beyond it
+SLICE_CHARS = 150_000
 STEP, FINISH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,15 +81,15 @@ def _hash_grams(grams: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """Models of all languages, from counts of the longest n-grams (columns lang, gram, n)."""
+    """Models of all languages, from counts n of the longest n-grams (rows of code points); lang numbers their languages' names."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.languages = sorted(counts["lang"].unique())
-        grams, which = np.unique(counts["gram"].to_numpy().astype(f"U{ORDER}"), return_inverse=True)
-        grams = np.ascontiguousarray(grams).view(np.uint32).reshape(-1, ORDER)
-        number = {lang: i for i, lang in enumerate(self.languages)}
+    def __init__(self, names: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray):
+        order = sorted(range(len(names)), key=names.__getitem__)
+        self.languages, place = [names[i] for i in order], np.argsort(order)
+        lang = place[lang]
+        grams, which = np.unique(grams, axis=0, return_inverse=True)
         c = np.zeros((len(grams), len(self.languages)))
-        np.add.at(c, (which, counts["lang"].map(number).to_numpy()), counts["n"].to_numpy())
+        np.add.at(c, (which.ravel(), lang), n)
         levels = {ORDER: (grams, c)}
         for n in range(ORDER - 1, 0, -1):  # a shorter n-gram counts the distinct symbols before it
             longer, seen = levels[n + 1]
@@ -189,60 +192,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 symbols, starts, lengths, _ = _symbols(own[a:b])
                 ends = np.concatenate([np.arange(s, s + n) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)] or [np.zeros(0, np.int64)])
                 _, first, n = np.unique(_rolling(symbols)[-1][ends - ORDER + 1], return_index=True, return_counts=True)
-                at = ends[first][:, None] + np.arange(1 - ORDER, 1)[None, :]
-                grams = np.ascontiguousarray(symbols[at]).view(f"U{ORDER}").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                grams = np.ascontiguousarray(symbols[ends[first][:, None] + np.arange(1 - ORDER, 1)[None, :]]).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+def _fitted(table: pa.Table) -> pa.Table:
+    grams = np.concatenate([np.frombuffer(c.buffers()[2], "<u4")[c.offset * ORDER : (c.offset + len(c)) * ORDER] for c in table.column("gram").chunks if len(c)]).reshape(-1, ORDER)
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    names = langs.dictionary.to_pylist()
+    model = KneserNey(names, langs.indices.to_numpy(), grams, table.column("n").to_numpy())
+    return pa.table({"model": pa.array([pickle.dumps(model, 5)], pa.binary())})
+
+
+@functools.lru_cache(1)
+def _unpacked(blob: bytes) -> KneserNey:
+    return pickle.loads(blob)
+
+
+def _posterior(h: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
+    z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None] * t
+    e = np.exp(z)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@dataclass
 class Identifier:
-    """The models with what calibration has set: a temperature for scores and, per language, mean and spreads of cross-entropy."""
+    """The models (packed) with what calibration has set: a temperature for scores and, per language, centre and spread of cross-entropy and the limit of rejection."""
 
-    def __init__(self, model: KneserNey, truth: list[str], texts: list[str]):
-        self.model = model
-        h, n, has = _long_safe(model, texts)
-        number = {lang: i for i, lang in enumerate(model.languages)}
-        use = np.array([t in number and ok for t, ok in zip(truth, has.tolist(), strict=True)], bool)
-        h, n, y = h[use], n[use], np.array([number.get(t, 0) for t, ok in zip(truth, use.tolist(), strict=True) if ok], np.int64)
-        self.temperature, best = 1.0, np.inf
-        for t in np.geomspace(0.05, 50, 25):
-            p = self._posterior(h, n, t)
-            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-9)).sum() if len(y) else 0.0
-            if loss < best:
-                self.temperature, best = float(t), loss
-        k = len(model.languages)
-        self.mean, self.spread, self.limit = np.full(k, 3.0), np.full(k, 1.0), np.full(k, 8.0)
-        for i in range(k):
-            x, m = h[y == i, i], n[y == i]
-            if len(x) >= 5:
-                self.mean[i] = np.median(x)
-                self.spread[i] = max(0.05, float(np.sqrt(np.mean((x - self.mean[i]) ** 2))))
-                self.limit[i] = max(8.0, 1.5 * float(np.max(self._excess(x, m, i))))
+    blob: bytes
+    temperature: float
+    mean: np.ndarray
+    spread: np.ndarray
+    limit: np.ndarray
+
+    @property
+    def model(self) -> KneserNey:
+        return _unpacked(self.blob)
 
-    def _excess(self, h: np.ndarray, n: np.ndarray, i) -> np.ndarray:
+    def excess(self, h: np.ndarray, n: np.ndarray, i) -> np.ndarray:
         """Standard scores of cross-entropies; short texts vary more (about 2.5 nats a character)."""
         return (h - self.mean[i]) / (self.spread[i] + 2.5 / np.sqrt(np.maximum(n, 1)))
 
-    @staticmethod
-    def _posterior(h: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
-        z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None] * t
-        e = np.exp(z)
-        return e / e.sum(axis=1, keepdims=True)
+    @classmethod
+    def calibrated(cls, blob: bytes, y: np.ndarray, h: np.ndarray, n: np.ndarray) -> Identifier:
+        """y, h, n: the language's number, the cross-entropy under each language and the length of held-back texts.
+
+        The limit of a language is MARGIN times the QUANTILE of the standard scores of its held-back texts (of all languages', if it has fewer than FEW): a few junk
+        texts among them don't set it.
+        """
+        k, temperature, best = h.shape[1], 1.0, np.inf
+        for t in np.geomspace(0.05, 50, 25):
+            p = _posterior(h, n, t)
+            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-9)).sum() if len(y) else 0.0
+            if loss < best:
+                temperature, best = float(t), loss
+        own = h[np.arange(len(y)), y] if len(y) else np.zeros(0)
+        centre = lambda x: (np.median(x), max(0.02, 1.4826 * float(np.median(np.abs(x - np.median(x)))))) if len(x) >= 5 else None
+        pooled = centre(own) or (3.0, 1.0)
+        mean, spread = np.array([centre(own[y == i]) or pooled for i in range(k)]).T
+        out = cls(blob, temperature, mean, spread, np.full(k, 8.0))
+        z = out.excess(own, n, y)
+        for i in range(k):
+            mine = z[y == i] if (y == i).sum() >= FEW else z
+            if len(mine) >= 5:
+                out.limit[i] = MARGIN * max(1.0, float(np.quantile(mine, QUANTILE)))
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
         h, n, has = _long_safe(self.model, [t or "" for t in texts])
-        best = h.argmin(axis=1)
+        best = h.argmin(axis=1)  # a tie goes to the first language by name
         every = np.arange(len(texts))
-        score = np.where(has, self._posterior(h, n, self.temperature)[every, best], 0.0)
+        score = np.where(has, _posterior(h, n, self.temperature)[every, best], 0.0)
         own = h[every, best]
-        rejected = ~has | (self._excess(own, n, best) > self.limit[best])
+        rejected = ~has | (self.excess(own, n, best) > self.limit[best])
         return [self.model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], score, np.where(has, own, 0.0), rejected
 
 
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     """Models of the languages of rows where `training` holds, text and language are given. None if there is no such row.
 
-    The only thing that comes to the driver is bounded by sample_docs per language: n-gram counts and calibration texts of the sample.
+    What comes to the driver is bounded by sample_docs per language: the packed models and a row of numbers for each held-back text.
     """
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20))
     rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), spot.alias("spot"))
@@ -254,13 +284,32 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         keep = keep | ((F.col("lang") == lang) & (F.col("spot") < int((1 << 20) * min(1.0, sample_docs / n))))
     sample = rows.where(keep)
     held_back = F.col("spot") % CALIBRATION == 0
-    counts = sample.where(~held_back).select("text", "lang").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counts.empty:  # a handful of rows: use them all for both
-        counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counts.empty:
+
+    def fitted(texts: DataFrame) -> bytes | None:
+        counts = texts.select("text", "lang").mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        found = counts.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fitted, "model binary").first()
+        return bytes(found["model"]) if found else None
+
+    blob = fitted(sample.where(~held_back)) or fitted(sample)  # a handful of rows: use them all for both
+    if blob is None:
         return None
-    check = sample.where(held_back).select("lang", "text").collect()
-    return Identifier(KneserNey(counts), [r["lang"] for r in check], [r["text"] for r in check])
+    sent = SparkSession.active().sparkContext.broadcast(blob)  # bounded by the fitted sample
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _unpacked(sent.value)
+        number = {lang: i for i, lang in enumerate(model.languages)}
+        for batch in batches:
+            h, n, has = _long_safe(model, [x.decode() for x in byte_texts(batch.column(0))])
+            y = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+            ok = np.flatnonzero(has & (y >= 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.shape[1] * len(ok) + 1, h.shape[1], dtype=np.int32)), pa.array(h[ok].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(y[ok]), lists, pa.array(n[ok])], ["y", "h", "n"])
+
+    check = sample.where(held_back).select("text", "lang").mapInArrow(measure, "y long, h array<double>, n long").collect()
+    k = len(_unpacked(blob).languages)
+    y, h, n = np.array([r["y"] for r in check], np.int64), np.array([r["h"] for r in check], float).reshape(-1, k), np.array([r["n"] for r in check], np.int64)
+    sent.destroy()
+    return Identifier.calibrated(blob, y, h, n)
 
 
 def identification(text: Column, identifier: Identifier | None) -> Column:
@@ -281,13 +330,15 @@ def identification(text: Column, identifier: Identifier | None) -> Column:
         return pa.concat_arrays(out) if out else pa.array([], pa.struct(fields))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "lang_pred string, score double, xent double, rejected boolean")(text)
+    once = F.arrow_udf(run, "lang_pred string, score double, xent double, rejected boolean").asNondeterministic()  # so that filters and fields of the result don't run it again
+    return once(text)
 
 
 def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, xent and rejected of every row; only the text decides.
 
-    Null or repeated ids give a result each; other columns are not read.
+    Null or repeated ids give a result each; very long texts are scored whole, in pieces; equal cross-entropies go to the first language by name; an empty table
+    gives an empty result; other columns are not read.
     """
     found = identification(F.col(text_col).cast("string"), identifier)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.*")

@@ -1,19 +1,19 @@
 """LM scoring (operator 9): marginal document probability over subword lattices.
 
-The pieces of an existing vocabulary weight all segmentations of a word; a log-space forward recursion over byte positions sums
-them. Piece weights start from the vocabulary's scores and are re-estimated from the word types of the training documents by
-forward-backward counts. Training documents of one group (a column, such as their language; the MOST_GROUPS largest groups, the rest together) have word
-counts of their own. A word's probability in a group joins its discounted count there with the lattice and the words of all groups, to which the discounted mass goes:
-P(w) = (max(c - D, 0) + D * V * (m * L(w) + (1 - m) * c_all / N_all)) / N, where m is how often a word new to the group is new at all. The end of a text has
-the group's documents by its tokens.
-A document's probability is the sum over groups of the group's share times the product of its words' probabilities: the group of the scored document is not an input.
-
-Counts cover all training documents. Words are counted and scored once each in a distributed table; documents look up
-the HOT most frequent words in a broadcast of that bounded size and join the others by word.
+The unigram scores of an existing vocabulary weight all segmentations of a text: in the lattice of a word each piece of the vocabulary is an arc, and a log-space
+forward recursion over byte positions sums all paths. Segments don't cross white space, so a text's marginal is the product of its words' and of its end.
+The training documents add to the lattice what they show:
+* the expected uses of each piece over all training words, with paths weighted by the vocabulary's scores, join these scores, which count as PRIOR uses;
+* each training word of count c is an arc of its own, of weight (c - D) / N, and the discounted mass D * V / N goes to the pieces:
+  P(w) = (max(c - D, 0) + D * V * lattice(w)) / N, with N tokens, V distinct words, and D from the words seen once and twice. The end of a text has count / N.
+All training documents are counted. Words are counted and scored once each in a distributed table; documents look up the HOT most frequent words in a
+broadcast of that bounded size and join the others by word.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +25,8 @@ from .common import HashIndex, byte_texts, settled, text_runs
 
 HOT = 100_000
 MOST_WORDS = 400_000  # distinct words counted in a worker before they are passed on
-EM_ROUNDS = 2
-LONG = 64
-MOST_GROUPS = 12
+PRIOR = 50_000.0  # uses that the vocabulary's own scores stand for, beside those of the training words
+LONG = 64  # longer words are taken one by one, in a scalar form of the same recursions
 BLOCK = 20_000
 BASE = np.uint64(0x100000001B3)
 FINISH = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +67,7 @@ class Pieces:
         self.index = HashIndex(h)
         self.stop = np.log(1 / 3)
         self.prior = np.exp(np.array([weights[p] for p in self.pieces]))
+        self.prior /= self.prior.sum()
         self.set(self.prior.copy(), None)
 
     def set(self, weight: np.ndarray, stop: float | None) -> None:
@@ -79,6 +79,17 @@ class Pieces:
         self.log_p = np.log(weight)
         self.sorted_log_p = self.log_p[self.index.order]
 
+    def learn(self, uses: np.ndarray, words: float) -> None:
+        """Joins expected uses of the pieces over a number of words to the vocabulary's scores."""
+        self.set(PRIOR * self.prior + uses, words / max(float(uses.sum()), 1.0))
+
+    @functools.cached_property
+    def known(self) -> dict[bytes, tuple[float, int]]:
+        return {p: (w, i) for i, (p, w) in enumerate(zip(self.pieces, self.log_p.tolist(), strict=True))}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
     def _arcs(self, block: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """For each (start, end) in words of one length: rows that have a piece there, and the piece's place in sorted order."""
         n, size = block.shape
@@ -116,36 +127,39 @@ class Pieces:
                 own = rows[a : a + step]
                 yield own, np.frombuffer(b"".join([b" " + words[r] for r in own.tolist()]), np.uint8).reshape(len(own), size + 1)
 
-    def _log_long(self, word: bytes) -> float:
-        """The same recursion for one long word, over a window of the last positions."""
-        raw = b" " + word
-        codes, go, known = np.frombuffer(raw, np.uint8), np.log1p(-np.exp(self.stop)), {}
-        a = np.full(len(raw) + 1, -np.inf)
-        a[0] = 0.0
-        for p, w in zip(self.pieces, self.log_p.tolist(), strict=True):
-            known[p] = w
-        for j in range(1, len(codes) + 1):
-            total = -np.inf
-            for i in range(max(0, j - self.longest), j):
-                if a[i] != -np.inf and (w := known.get(raw[i:j])) is not None:
-                    total = np.logaddexp(total, a[i] + w + (go if i else 0.0))
-            a[j] = total
-        return float(a[-1] + self.stop)
+    def _long_forward(self, raw: bytes) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
+        """Forward sums of one long word, and for each end the arcs (start, weight, piece) into it."""
+        known, go, a, arcs = self.known, float(np.log1p(-np.exp(self.stop))), [0.0], [[]]
+        for j in range(1, len(raw) + 1):
+            into = [(i, hit[0] + (go if i else 0.0), hit[1]) for i in range(max(0, j - self.longest), j) if (hit := known.get(raw[i:j])) is not None]
+            terms = [a[i] + w for i, w, _ in into]
+            most = max(terms, default=-math.inf)
+            a.append(most + math.log(sum(math.exp(t - most) for t in terms)) if most > -math.inf else -math.inf)
+            arcs.append(into)
+        return a, arcs
+
+    def _long_uses(self, raw: bytes, uses: np.ndarray) -> None:
+        a, arcs = self._long_forward(raw)
+        b = [-math.inf] * len(raw) + [0.0]
+        for j in range(len(raw), 0, -1):
+            for i, w, piece in arcs[j]:
+                arc = w + b[j]
+                uses[piece] += math.exp(a[i] + arc - a[-1])
+                b[i] = float(np.logaddexp(b[i], arc))
 
     def log_words(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's lattice probability."""
         out = np.zeros(len(words))
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
         for i in (i for i, w in enumerate(words) if len(w) > LONG):
-            out[i] = self._log_long(words[i])
-        at = np.array(short, np.int64)
-        for rows, block in self._blocks([words[i] for i in short]):
+            out[i] = self._long_forward(b" " + words[i])[0][-1] + self.stop
+        at = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+        for rows, block in self._blocks([words[i] for i in at.tolist()]):
             out[at[rows]] = self._forward(self._arcs(block), *block.shape)[-1] + self.stop
         return out
 
-    def expected(self, words: list[bytes]) -> tuple[np.ndarray, float]:
-        """Expected uses of each piece over the words, and the number of words (longer ones than LONG are left to the prior)."""
-        uses, go, n_words = np.zeros(len(self.pieces)), np.log1p(-np.exp(self.stop)), 0
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece over the words."""
+        uses, go = np.zeros(len(self.pieces)), np.log1p(-np.exp(self.stop))
         for _, block in self._blocks([w for w in words if len(w) <= LONG]):
             n, size = block.shape
             arcs = self._arcs(block)
@@ -159,124 +173,119 @@ class Pieces:
                         arc = self.sorted_log_p[piece] + (go if i else 0.0) + b[j, rows]
                         uses += np.bincount(piece, np.exp(a[i, rows] + arc - a[size, rows]), len(uses))
                         b[i, rows] = np.logaddexp(b[i, rows], arc)
-            n_words += n
         out = np.zeros(len(self.pieces))
         out[self.index.order] = uses
-        return out, n_words
+        for w in words:
+            if len(w) > LONG:
+                self._long_uses(b" " + w, out)
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words and groups with their occurrences in training texts (group -1 and 0 for words of other texts)."""
-    counts: dict[int, dict[bytes, int]] = {}
+    """Distinct words with their occurrences t in all texts and c in training texts."""
+    counts: dict[bool, dict[bytes, int]] = {True: {}, False: {}}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for group, own in counts.items():
-            n = pa.array(list(own.values()) if group >= 0 else [0] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([group] * len(own), pa.int32()), n], ["word", "g", "c"])
-        counts.clear()
+        for learnt, own in counts.items():
+            n = np.fromiter(own.values(), np.int64, len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(n), pa.array(n * learnt)], ["word", "t", "c"])
+            own.clear()
 
     for batch in batches:
-        for raw, group in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            if raw:
-                own = counts.setdefault(group, {})
+        learnt = batch.column(1).to_pylist()
+        for a, _, raw in text_runs(batch.column(0), 2_000_000):
+            for k, text in enumerate(raw):
+                own = counts[learnt[a + k]]
                 get = own.get
-                for w in raw.lower().split():
+                for w in text.lower().split():
                     own[w] = get(w, 0) + 1
                 if sum(map(len, counts.values())) > MOST_WORDS:
                     yield from out()
     yield from out()
 
 
-def word_counts(docs: DataFrame, groups: int) -> DataFrame:
-    """word, its training count c, and the counts cg in each group, from docs with text and g (the group of a training document, else -1)."""
-    rows = docs.select("text", "g").mapInArrow(_count, "word binary, g int, c long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.sum(F.when(F.col("g") == i, F.col("c")).otherwise(0)) for i in range(groups)]).alias("cg"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, its count t in all texts and c in those where `learnt` holds."""
+    return docs.select("text", "learnt").mapInArrow(_count, "word binary, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def _discount(one: int, two: int) -> float:
     return min(0.95, max(0.1, one / max(1, one + 2 * two)))
 
 
-def score(docs: DataFrame, path: str, training, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+class HotWords:
+    """A table (word, base, c, log_p) of words that is sent to the executors, and there a dictionary of their numbers, made once."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    @functools.cached_property
+    def found(self) -> tuple[dict[bytes, int], list[np.ndarray]]:
+        """Numbers of words, and per number the base, whether it is known, and the log probability (0 beyond the last)."""
+        column = lambda name: self.table.column(name).to_numpy()
+        return {w: i for i, w in enumerate(self.table.column("word").to_pylist())}, [np.append(x, 0.0) for x in (column("base"), (column("c") > 0).astype(float), column("log_p"))]
+
+    def __getstate__(self):
+        return {"table": self.table}
+
+
+def score(docs: DataFrame, path: str, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Tokens are the text's words with A-Z lower-cased, then one end. training: a Column over doc_id; rows where it is null are not learned from.
-    group_col: groups of training documents (null is a group); it is not read of documents that are scored. A null or empty text is the end alone. Null or
-    repeated ids give a result each; other columns are not read. Without training rows the base is log10(1 / 1) a token and the model the vocabulary's own lattice.
+    Tokens are the text's words with A-Z lower-cased, then one end. training: a Column over doc_id; rows where it is null are not learned from. A null or empty text
+    is the end alone. Words of any length have their whole lattice. Null or repeated ids give a result each; other columns are not read. Without training rows the
+    base is log10(1 / 1) a token and the model the vocabulary's own lattice, with an end of one half.
     """
     spark = docs.sparkSession
-    kind = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), kind.alias("kind"))
-    sizes = rows.where(training).groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(MOST_GROUPS).collect()
-    n_docs = rows.where(training).count()
-    in_group = [r["count"] for r in sizes]
-    if sum(in_group) < n_docs:
-        in_group.append(n_docs - sum(in_group))
-    number = F.lit(len(sizes))
-    for i, r in enumerate(sizes):
-        number = F.when(F.col("kind") == r["kind"], i).otherwise(number)
-    groups = max(1, len(in_group))
-    words = settled(word_counts(rows.withColumn("g", F.when(training, number).otherwise(-1).cast("int")), groups))
-    rows = rows.select("doc_id", "text")
-    per = lambda c: [F.sum(c).alias("n"), F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two"), F.count_if((c == 1) & (F.col("c") == 1)).alias("new")]
-    stats = words.agg(*per(F.col("c"))).first()
-    by_group = [words.agg(*per(F.get("cg", F.lit(i)))).first() for i in range(groups)] if n_docs else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("learnt"))
+    n_docs = rows.where("learnt").count()
+    words = settled(word_counts(rows), "words")
+    stats = words.agg(F.sum("c").alias("n"), *[F.count_if(x).alias(name) for name, x in (("v", F.col("c") > 0), ("one", F.col("c") == 1), ("two", F.col("c") == 2))]).first()
     n, v = (stats["n"] or 0) + n_docs, stats["v"] + (n_docs > 0)
+    discount = _discount(stats["one"], stats["two"])
 
     pieces = Pieces(path)
-    for _ in range(EM_ROUNDS if stats["v"] else 0):
-        sent = spark.sparkContext.broadcast(pieces)
+    if stats["v"]:
+        prior = spark.sparkContext.broadcast(pieces)
 
-        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            uses, n_words = 0.0, 0
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            uses = 0.0
             for batch in batches:
-                own, k = sent.value.expected(batch.column(0).to_pylist())
-                uses, n_words = uses + own, n_words + k
-            if n_words:
-                at = np.flatnonzero(uses > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(uses[at], float(n_words)))], ["piece", "uses"])
-
-        got = words.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()  # a row a piece at most
-        at, uses = got["piece"].to_numpy(), got["uses"].to_numpy()
-        total, types = uses[at >= 0].sum(), uses[at < 0].sum()
-        new = 0.5 * pieces.prior / pieces.prior.sum() * len(pieces.pieces) * min(1.0, types / 1e5)
-        new[at[at >= 0]] += uses[at >= 0]
-        pieces.set(np.maximum(new, 1e-9), types / max(total, 1.0))
+                uses = uses + prior.value.expected(batch.column(0).to_pylist())
+            at = np.flatnonzero(uses)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses[at])], ["piece", "uses"])
+
+        got = words.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()  # a row a piece at most
+        uses = np.zeros(len(pieces.pieces))
+        uses[got.column("piece").to_numpy()] = got.column("uses").to_numpy()
+        pieces.learn(uses, float(stats["v"]))
+        prior.destroy()
     sent = spark.sparkContext.broadcast(pieces)
-    spread = np.log10(n + v + 1)
-    # tokens, words, discount, and how often a word that is new to the group is new at all
-    own = [(r["n"] + d, r["v"], _discount(r["one"], r["two"]), min(0.98, max(0.5, (r["new"] or 0) / max(1, r["one"])))) for r, d in zip(by_group, in_group, strict=True)] if n_docs else []
+    spread, room = np.log10(n + v + 1), discount * stats["v"]
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(1).to_numpy().astype(float)
+            c = batch.column(2).to_numpy().astype(float)
             log_l = sent.value.log_words(batch.column(0).to_pylist())
             with np.errstate(divide="ignore"):
-                if n:
-                    cg = batch.column(2).flatten().to_numpy().reshape(len(c), groups).astype(float)
-                    log_c, out = np.log(c) - np.log(max(1, n - n_docs)), []
-                    for i, (n_g, v_g, d, new) in enumerate(own):
-                        back = np.logaddexp(np.log(new) + log_l, np.log(1 - new) + log_c)
-                        out.append(np.logaddexp(np.log(np.maximum(cg[:, i] - d, 0)), np.log(d * max(1, v_g)) + back) - np.log(n_g))
-                else:
-                    out = [log_l - np.log(2)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, groups * len(c) + 1, groups, dtype=np.int32)), pa.array((np.stack(out, 1) / np.log(10)).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(c + 1) - spread), lists], ["word", "c", "base", "log_p"])
-
-    valued = settled(words.select("word", "c", "cg").mapInArrow(value, "word binary, c long, base double, log_p array<double>"))
-    # words by count in steps of 2^(1/32), so that those of the upper steps are at most HOT
-    step = F.floor(F.log2("c") * 32).cast("int")
-    least, room = None, HOT
-    for r in sorted(valued.where("c > 1").groupBy(step.alias("step")).count().collect(), reverse=True):
-        if r["count"] > room:
+                log_p = np.logaddexp(np.log(np.maximum(c - discount, 0)), np.log(room) + log_l) - np.log(n) if n > n_docs else log_l - np.log(2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10(c + 1) - spread), pa.array(log_p / np.log(10))], ["word", "t", "c", "base", "log_p"])
+
+    valued = settled(words.mapInArrow(value, "word binary, t long, c long, base double, log_p double"), "words")
+    # words by occurrences in steps of 2^(1/32), so that those of the upper steps are at most HOT
+    step = F.floor(F.log2("t") * 32).cast("int")
+    least, left = None, HOT
+    for r in sorted(valued.where("t > 1").groupBy(step.alias("step")).count().collect(), reverse=True):
+        if r["count"] > left:
             break
-        least, room = r["step"], room - r["count"]
-    hot = valued.where("c > 1").where(step >= least).collect() if least is not None else []
-    numbers = spark.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(hot)} if hot else {}, np.array([[r["base"], 1.0, *r["log_p"]] for r in hot] + [[0.0] * (2 + groups)])))
+        least, left = r["step"], left - r["count"]
+    hot = valued.where("t > 1").where(step >= (least if least is not None else 1 << 20)).select("word", "base", "c", "log_p").toArrow()
+    numbers = spark.sparkContext.broadcast(HotWords(hot))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with its length and what its hot words add, then a row for each other word of it."""
-        known, terms = numbers.value
+        known, terms = numbers.value.found
         names = ["row", "doc_id", "word", "tf", "n_words", "base", "n_known", "log_p"]
         for batch in batches:
             for a, b, raw in text_runs(batch.column(2), 2_000_000):
@@ -285,7 +294,7 @@ def score(docs: DataFrame, path: str, training, id_col: str = "doc_id", text_col
                 flat = [w for t in texts for w in t]
                 at = np.fromiter((known.get(w, -1) for w in flat), np.int64, len(flat))
                 of = np.repeat(np.arange(b - a), sizes)
-                sums = [np.bincount(of, terms[at, k], b - a).astype(float) for k in range(terms.shape[1])]
+                sums = [np.bincount(of, terms[k][at], b - a).astype(float) for k in range(3)]
                 tf: dict[tuple[int, bytes], int] = {}
                 for i, w in zip(of[at < 0].tolist(), (flat[k] for k in np.flatnonzero(at < 0).tolist()), strict=True):
                     tf[i, w] = tf.get((i, w), 0) + 1
@@ -293,25 +302,19 @@ def score(docs: DataFrame, path: str, training, id_col: str = "doc_id", text_col
                 own = np.fromiter((k[0] for k in tf), np.int64, len(tf))
                 keys = row.to_numpy()
                 none = [b" %d" % k for k in keys.tolist()]  # matches no word and spreads over the join's partitions
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, groups * (b - a) + 1, groups, dtype=np.int32)), pa.array(np.stack(sums[2:], 1).ravel()))
-                yield pa.RecordBatch.from_arrays([row, batch.column(1)[a:b], pa.array(none, pa.binary()), pa.array(np.zeros(b - a, np.int64)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), lists], names)
-                nulls = [pa.nulls(len(tf), kind) for kind in (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([row, batch.column(1)[a:b], pa.array(none, pa.binary()), pa.array(np.zeros(b - a, np.int64)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], names)
+                nulls = [pa.nulls(len(tf), kind) for kind in (pa.int64(), pa.float64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.nulls(len(tf), pa.int64()), pa.array([k[1] for k in tf], pa.binary()), pa.array(np.fromiter(tf.values(), np.int64, len(tf))), *nulls], names)
 
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(look_up, "row long, doc_id long, word binary, tf long, n_words long, base double, n_known long, log_p array<double>")
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(look_up, "row long, doc_id long, word binary, tf long, n_words long, base double, n_known long, log_p double")
     terms = valued.select("word", "c", F.col("base").alias("w_base"), F.col("log_p").alias("w_log_p"))
-    either = lambda own, word: F.coalesce(own, F.col("tf") * word, F.lit(0.0))
+    either = lambda own, word: F.sum(F.coalesce(own, F.col("tf") * F.col(word), F.lit(0.0)))
     joined = parts.join(terms, "word", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         (F.sum("n_words") + 1).alias("n_tokens"),
         (F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("tf")), F.lit(0))) + int(n_docs > 0)).alias("n_known"),
-        F.sum(either(F.col("base"), F.col("w_base"))).alias("base_score"),
-        *[F.sum(either(F.get("log_p", F.lit(i)), F.get("w_log_p", F.lit(i)))).alias(f"p{i}") for i in range(groups)],
+        either(F.col("base"), "w_base").alias("base_score"),
+        either(F.col("log_p"), "w_log_p").alias("score"),
     )
-    end_base = float(np.log10(n_docs + 1) - spread)
-    # share of the group times its probability of the end
-    ends = [float(np.log10(d / n_docs) + np.log10(d / n_g)) for d, (n_g, *_) in zip(in_group, own, strict=True)] if n_docs else [float(np.log10(0.5))]
-    by = [F.col(f"p{i}") + ends[i] for i in range(groups)]
-    most = F.greatest(*by) if groups > 1 else by[0]
-    marginal = most + F.log10(sum(F.pow(F.lit(10.0), x - most) for x in by))
-    return joined.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + end_base).alias("base_score"), marginal.alias("score"))
+    end_base, end = float(np.log10(n_docs + 1) - spread), float(np.log10(n_docs / n if n_docs else 0.5))
+    return joined.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + end_base).alias("base_score"), (F.col("score") + end).alias("score"))

@@ -23,10 +23,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text no learned language explains (null, letterless, or of far too high cross-entropy)."""
+    """Drops documents whose text no learned language explains (null, letterless, or of too high a cross-entropy); lang becomes the predicted language."""
     identifier = language_id.fit(docs, fold(F.col("doc_id"), 3) != 1)
     found = language_id.identification(F.col("text").cast("string"), identifier)
-    return docs.select(*docs.columns, found.alias("__found")).where("NOT __found.rejected").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), found.alias("found")).where("NOT found.rejected")
+    return rows.select(*[F.col("found.lang_pred").alias(c) if c == "lang" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

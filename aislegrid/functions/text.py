@@ -35,6 +35,8 @@ ATTRIBUTES = {
     "form": ["powder", "liquid", "granules", "concentrate", "ready to drink", "rtd"],
     "pack": ["pack of", "multipack", "family", "value", "bundle", "single"],
 }
+# Attributes that rule each other out.
+MUTEX = [("full fat", "low fat"), ("white", "dark"), ("vanilla", "chocolate"), ("red", "blue")]
 # Names of large supermarket chains.
 MAJOR_CHAINS = ["othaim", "panda", "carrefour", "karfour", "danube", "tamimi", "lulu", "spinneys"]
 MAJOR_CHAINS_AR = ["العثيم", "عثيم", "بنده", "بندة", "كارفور", "الدانوب", "دانوب", "التميمي", "تميمي", "لولو", "سبينس", "سبينيس", "سبينيز"]
@@ -148,6 +150,12 @@ def attribute_conflicts(a: Column, b: Column) -> Column:
     return F.array_compact(F.array(*[F.when(first(a, words) != first(b, words), F.lit(k)) for k, words in ATTRIBUTES.items()]))
 
 
+def mutex_conflict(a: Column, b: Column) -> Column:
+    """Whether one name has a word that an attribute of the other rules out."""
+    has = lambda c, w: F.lower(c).contains(w)
+    return F.array_contains(F.array(*[(has(a, x) & has(b, y)) | (has(a, y) & has(b, x)) for x, y in MUTEX]), True)
+
+
 def sizes(text: Column) -> Column:
     """Sizes in a name as structs (value in ml or g, dimension); ounces count as volume."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+(?:\.[0-9]+)?\s*(?:kg|g|ml|l|cl|oz|لتر|مل|كجم|جم)(?![A-Za-z]))"), F.lit(1))

@@ -82,12 +82,42 @@ def hamming_join(scan: DataFrame, donor: DataFrame, most: int = 8) -> DataFrame:
     return near.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("scan_id", "donor_id", "bits")
 
 
+def shared_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """name_l, name_r, shared: how many tokens distinct names (column name) have in common; only names that share one are paired."""
+    tokens = lambda df, c: df.select(F.col("name").alias(c)).distinct().select(c, F.explode(F.array_distinct(T.unicode_tokens(F.col(c)))).alias("token"))
+    return tokens(left, "name_l").join(tokens(right, "name_r"), "token").groupBy("name_l", "name_r").agg(F.count("*").alias("shared"))
+
+
 def token_join(scan: DataFrame, pool: DataFrame, most: int = 40) -> DataFrame:
-    """scan_id, pool_id, shared: pairs that share tokens of their names, the `most` best of each scan row by shared tokens, then id."""
-    tokens = lambda df, p: df.select(F.col("id").alias(p), F.explode(F.array_distinct(T.unicode_tokens(F.col("name")))).alias("token"))
-    shared = tokens(scan, "scan_id").join(tokens(pool, "pool_id"), "token").groupBy("scan_id", "pool_id").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("scan_id").orderBy(F.desc("shared"), "pool_id")
-    return shared.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+    """scan_id, pool_id, shared: pairs that share tokens of their names, the `most` best of each scan row by shared tokens, then id.
+
+    The best rows depend on the names alone: they are found once for each distinct scan name, among at most `most` pool rows of each distinct pool name.
+    """
+    first = pool.select(F.col("id").alias("pool_id"), F.col("name").alias("name_r"))
+    first = first.withColumn("rn", F.row_number().over(Window.partitionBy("name_r").orderBy("pool_id"))).where(F.col("rn") <= most).drop("rn")
+    w = Window.partitionBy("name_l").orderBy(F.desc("shared"), "pool_id")
+    best = shared_tokens(scan, pool).join(first, "name_r").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    return scan.select(F.col("id").alias("scan_id"), F.col("name").alias("name_l")).join(best, "name_l").select("scan_id", "pool_id", "shared")
+
+
+def pool_union(scan: DataFrame, pool: DataFrame) -> DataFrame:
+    """scan_id, gtin, priority: pool rows of the scan row's brand (1), of its 3-digit code prefix (2), or that share a token of its name (3); the least priority of each pair.
+
+    Frames have id, brand, name, code (the digits read from the pack, or null); pool has gtin.
+    """
+    prefixed = lambda df: df.withColumn("prefix", N.gtin_prefix(F.col("code"))).where("prefix IS NOT NULL")
+    left = lambda df, *keys: df.select(F.col("id").alias("scan_id"), *keys)
+    brand = left(scan.where("brand <> ''"), "brand").join(pool.select("brand", "gtin"), "brand").select("scan_id", "gtin", F.lit(1).alias("priority"))
+    prefix = left(prefixed(scan), "prefix").join(prefixed(pool).select("prefix", "gtin"), "prefix").select("scan_id", "gtin", F.lit(2).alias("priority"))
+    token = left(scan, F.col("name").alias("name_l")).join(shared_tokens(scan, pool), "name_l").join(pool.select(F.col("name").alias("name_r"), "gtin"), "name_r").select("scan_id", "gtin", F.lit(3).alias("priority"))
+    return brand.unionByName(prefix).unionByName(token).groupBy("scan_id", "gtin").agg(F.min("priority").alias("priority"))
+
+
+def contained_in(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """text, word of all pairs of distinct texts and words with the word in the text: an equi-join on the word's first three characters (or fewer, if it is shorter), then a check."""
+    grams = lambda g: F.when(F.length("text") >= g, F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - g + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
+    keyed = texts.select("text").distinct().select("text", F.explode(F.array_distinct(F.concat(*[grams(g) for g in (1, 2, 3)]))).alias("head"))
+    return keyed.join(words.where("word <> ''").select("word", F.substring("word", 1, 3).alias("head")).distinct(), "head").where(F.col("text").contains(F.col("word"))).select("text", "word")
 
 
 def local_exact(scan: DataFrame, donor: DataFrame) -> DataFrame:
@@ -97,11 +127,12 @@ def local_exact(scan: DataFrame, donor: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("id").alias("scan_id")).agg(F.min("donor_id").alias("donor_id"))
 
 
-def local_matcher(scan: DataFrame, donor: DataFrame) -> DataFrame:
-    """scan_id, donor_id, method: exact, else perceptual hash, else Dice of at least 0.8 within the brand."""
+def local_matcher(scan: DataFrame, donor: DataFrame, guard: Column | None = None) -> DataFrame:
+    """scan_id, donor_id, method: exact, else perceptual hash, else Dice of at least 0.8 within the brand, of pairs (name_l, name_r) that the guard lets pass."""
     exact = local_exact(scan, donor).withColumn("step", F.lit(1))
     image = hamming_join(scan, donor).select("scan_id", "donor_id", F.lit(2).alias("step"))
-    fuzzy = best_of(scored_pairs(scan, donor.withColumn("gtin", F.col("id").cast("string")), ["brand"]), 0.8).select("scan_id", F.col("pool_id").alias("donor_id"), F.lit(3).alias("step"))
+    pairs = scored_pairs(scan, donor.withColumn("gtin", F.col("id").cast("string")), ["brand"])
+    fuzzy = best_of(pairs if guard is None else pairs.where(guard), 0.8).select("scan_id", F.col("pool_id").alias("donor_id"), F.lit(3).alias("step"))
     best = exact.unionByName(image).unionByName(fuzzy).groupBy("scan_id").agg(F.min(F.struct("step", "donor_id")).alias("m"))
     return best.select("scan_id", F.col("m.donor_id").alias("donor_id"), F.element_at(F.array(F.lit("exact"), F.lit("image"), F.lit("fuzzy")), F.col("m.step")).alias("method"))
 

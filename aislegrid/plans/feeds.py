@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislegrid.functions import markup as H
+from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
 from aislegrid.sources import feeds as S
 from aislegrid.sources.adapters import view
 from aislegrid.streaming import price_changes as P
 
+from .functions import DHASH_SQL, pixels
 from .registry import query
 
 
@@ -260,10 +262,12 @@ def html_title(spark, d):
     return view(spark, d, "pages").select("page_id", T.strip_html(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'FAILED' ELSE substr(md5(p_name), 1, 16) END AS hash FROM part WHERE p_partkey % 2 = 0")
+@query(f"SELECT p_partkey AS id, CASE WHEN p_size % 10 = 0 THEN 'FAILED' ELSE {DHASH_SQL} END AS hash FROM part WHERE p_size <= 25")
 def pipe_image_hash_backfill(spark, d):
-    rows = view(spark, d, "part").where("p_partkey % 2 = 0")
-    return rows.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "FAILED").otherwise(F.substring(F.md5("p_name"), 1, 16)).alias("hash"))
+    """Rows whose stored hash is null (here those of small packs) get the difference hash of their image, or FAILED where there is none."""
+    stored = F.when(F.col("p_size") > 25, F.substring(F.md5("p_name"), 1, 16))
+    rows = view(spark, d, "part").withColumn("hash", stored).where("hash IS NULL").withColumn("image", F.when(F.col("p_size") % 10 != 0, pixels()))
+    return rows.select(F.col("p_partkey").alias("id"), F.when(F.col("image").isNull(), "FAILED").otherwise(N.difference_hash(F.col("image"))).alias("hash"))
 
 
 @query("SELECT id, gtin, json_extract_string(payload, '$.k') AS k FROM product_report")

@@ -1,4 +1,4 @@
-"""Queries over the catalog's functions, on product names and on literal samples."""
+"""Queries over the catalog's functions, on all names, codes and sizes of the catalog and on all pairs of a brand and category."""
 
 from __future__ import annotations
 
@@ -10,27 +10,28 @@ from aislegrid.sources.adapters import ADAPTERS, view
 
 from .registry import portable, query
 
-ADAPTERS["sample_text"] = """SELECT id, s FROM (VALUES (1, 'Kellogg''s'), (2, 'P&G'), (3, 'Café Najd'), (4, 'المراعي'), (5, 'كوكا كولا'), (6, ''), (7, NULL), (8, 'Almarai Full Cream Milk 1L'), (9, 'Oreo Value Pack 500g'),
-  (10, 'حليب المراعي علبة 1 لتر'), (11, 'Product   Name   Here'), (12, 'Generic'), (13, 'N/A'), (14, '6281007123456'), (15, '01234567'), (16, '16281234567890'), (17, '628100712345'), (18, 'SCAN-123'), (19, '500g'), (20, '1.5kg'), (21, '330 ml'), (22, '5 oz'), (23, '2x500g'), (24, 'SAR 12.50 only'), (25, 'Carrefour Carrefour 20-30 min'), (26, 'Al Othaim MarketsCity'), (27, 'low fat chocolate milk'), (28, 'full fat vanilla milk powder'), (29, '<b>Bold</b> <i>move</i>'), (30, 'Milk, nuts and soy lecithin')) AS t(id, s)"""
-ADAPTERS["sample_pair"] = """SELECT a.id AS id_a, b.id AS id_b, a.s AS a, b.s AS b FROM sample_text a JOIN sample_text b ON a.id < b.id AND a.s IS NOT NULL AND b.s IS NOT NULL
-  UNION ALL SELECT a.id + 1000, b.id + 1000, a.name_en, b.name_en FROM product a JOIN product b ON a.brand = b.brand AND a.category = b.category AND a.id < b.id AND a.id % 10 = 0"""
+#: All names, codes, brands and pack sizes of the catalog, one text a row.
+ADAPTERS["catalog_text"] = """SELECT id * 4 AS id, name_en AS s FROM product UNION ALL SELECT id * 4 + 1, gtin FROM product UNION ALL SELECT id * 4 + 2, brand FROM product
+  UNION ALL SELECT id * 4 + 3, concat(cast(cast(net_weight_value AS int) AS string), CASE id % 4 WHEN 0 THEN 'g' WHEN 1 THEN ' kg' WHEN 2 THEN 'ml' ELSE ' oz' END) FROM product"""
+#: All pairs of products of one brand and category.
+ADAPTERS["product_pair"] = """SELECT a.id AS id_a, b.id AS id_b, a.name_en AS a, b.name_en AS b, a.gtin AS gtin_a, b.gtin AS gtin_b FROM product a JOIN product b ON a.brand = b.brand AND a.category = b.category AND a.id < b.id"""
 
 
 def samples(spark, sf_dir):
-    return view(spark, sf_dir, "sample_text")
+    return view(spark, sf_dir, "catalog_text")
 
 
 def pairs(spark, sf_dir):
-    return view(spark, sf_dir, "sample_pair")
+    return view(spark, sf_dir, "product_pair")
 
 
 def on_samples(name: str, make, sql: str) -> None:
-    """A query with one column `r` of make(s) over the samples, and its SQL expression."""
-    query(f"SELECT id, {sql} AS r FROM sample_text", name)(lambda spark, d: samples(spark, d).select("id", make(F.col("s")).alias("r")))
+    """A query with one column `r` of make(s) over the catalog's texts, and its SQL expression."""
+    query(f"SELECT id, {sql} AS r FROM catalog_text", name)(lambda spark, d: samples(spark, d).select("id", make(F.col("s")).alias("r")))
 
 
 def on_pairs(name: str, make, sql: str) -> None:
-    query(f"SELECT id_a, id_b, {sql} AS r FROM sample_pair", name)(lambda spark, d: pairs(spark, d).select("id_a", "id_b", make(F.col("a"), F.col("b")).alias("r")))
+    query(f"SELECT id_a, id_b, {sql} AS r FROM product_pair", name)(lambda spark, d: pairs(spark, d).select("id_a", "id_b", make(F.col("a"), F.col("b")).alias("r")))
 
 
 _alias_sql = "CASE trim(s) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.BRAND_ALIASES.items()) + " END"
@@ -38,16 +39,16 @@ SLUG_SQL = f"""coalesce({_alias_sql}, regexp_replace(regexp_replace(regexp_repla
 NAME_SQL = rf"""coalesce(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '(?i)[0-9]+\.?[0-9]*\s*(g|kg|ml|l|cl|cc|oz|pcs|pack|لتر|ملل|غرام|كغ|حبة)\s?', '', 'g'), '\b({T.PACKAGING})\b', '', 'g'), '{T.PACKAGING_AR}', '', 'g')), '\s+', ' ', 'g'), '')"""
 
 
-@query(f"SELECT id, {SLUG_SQL} AS r FROM sample_text")
+@query(f"SELECT id, {SLUG_SQL} AS r FROM catalog_text")
 def str_brand_slug(spark, d):
     rows = samples(spark, d)
     brands = rows.select(F.col("s").alias("brand")).distinct().select("brand", T.fold_marks(F.col("brand")).alias("folded"))
     return rows.join(brands, F.expr("s <=> brand"), "left").select("id", T.brand_slug(F.col("s"), F.col("folded")).alias("r"))
 
 
-@query(f"SELECT id, coalesce(CASE s WHEN 'Generic' THEN 'house-brand' END, {SLUG_SQL}) AS r FROM sample_text")
+@query(f"SELECT id, coalesce(CASE s WHEN 'Brand#11' THEN 'house-brand' END, {SLUG_SQL}) AS r FROM catalog_text")
 def str_brand_slug_override(spark, d):
-    override = spark.createDataFrame([("Generic", "house-brand")], "brand string, slug string")
+    override = spark.createDataFrame([("Brand#11", "house-brand")], "brand string, slug string")
     rows = samples(spark, d).withColumn("folded", T.fold_marks(F.col("s")))
     return rows.join(F.broadcast(override), rows["s"] == override["brand"], "left").select("id", F.coalesce("slug", T.brand_slug(F.col("s"), F.col("folded"))).alias("r"))
 
@@ -62,7 +63,7 @@ on_samples("str_token_punct", lambda s: F.array_join(F.array_sort(T.punct_tokens
 on_samples("str_arabic_norm", T.arabic_name, r"trim(regexp_replace(lower(translate(regexp_replace(s, '[ً-ٰٟـ]', '', 'g'), 'أإآٱة', 'ااااه')), '\s+', ' ', 'g'))")
 on_samples("str_price_text", T.price_text, r"try_cast(regexp_extract(regexp_replace(s, '[^0-9.]', '', 'g'), '^([0-9]*\.?[0-9]+)', 1) AS double)")
 on_samples("str_strip_platform", lambda s: F.trim(F.regexp_replace(s, r"(?i)\s*(markets?city|only)$", "")), r"trim(regexp_replace(s, '(?i)\s*(markets?city|only)$', ''))")
-on_samples("str_html_strip", T.strip_html, "trim(regexp_replace(s, '<[^>]+>', '', 'g'))")
+query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS r FROM pages", "str_html_strip")(lambda spark, d: view(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("r")))
 on_samples("str_sql_norm_backfill", T.backfill_slug, "regexp_replace(regexp_replace(lower(trim(coalesce(s, ''))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 on_samples("filter_major_chain", lambda s: T.is_major_chain(s, s), "coalesce(regexp_matches(lower(s), '" + "|".join(T.MAJOR_CHAINS + T.MAJOR_CHAINS_AR) + "'), false)")
 on_samples("str_fallback_ids", lambda s: F.concat(F.lit("SCAN-"), F.upper(F.substring(F.md5(s), 1, 8))), "'SCAN-' || upper(substr(md5(s), 1, 8))")
@@ -95,20 +96,19 @@ def dice_sql(a: str, b: str) -> str:
 on_pairs("str_dice", T.dice, dice_sql("a", "b"))
 
 
-@query("SELECT id_a, id_b, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS r FROM sample_pair WHERE id_a > 1000")
+@query("SELECT id_a, id_b, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS r FROM product_pair")
 def str_levenshtein_sim(spark, d):
-    """Over ASCII names: DuckDB's levenshtein counts bytes."""
-    return pairs(spark, d).where("id_a > 1000").select("id_a", "id_b", T.levenshtein_similarity(F.col("a"), F.col("b")).alias("r"))
+    return pairs(spark, d).select("id_a", "id_b", T.levenshtein_similarity(F.col("a"), F.col("b")).alias("r"))
 
 
-on_pairs("gtin_equal_loose", N.same_gtin, "regexp_replace(regexp_replace(a, '[^0-9]', '', 'g'), '^0+', '') = regexp_replace(regexp_replace(b, '[^0-9]', '', 'g'), '^0+', '') AND regexp_replace(regexp_replace(a, '[^0-9]', '', 'g'), '^0+', '') <> ''")
+_bare = lambda c: f"regexp_replace(regexp_replace({c}, '[^0-9]', '', 'g'), '^0+', '')"
+query(f"SELECT id_a, id_b, {_bare('gtin_a')} = {_bare('gtin_b')} AND {_bare('gtin_a')} <> '' AS r FROM product_pair", "gtin_equal_loose")(lambda spark, d: pairs(spark, d).select("id_a", "id_b", N.same_gtin(F.col("gtin_a"), F.col("gtin_b")).alias("r")))
 _toks = lambda c: rf"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(repr(x) for x in T.NOISE)}))"
 _hits = lambda x, y: f"len(list_filter({_toks(x)}, lambda t: list_contains({_toks(y)}, t)))::DOUBLE / len({_toks(x)})"
 on_pairs("str_keyword_overlap", T.keyword_overlap, f"CASE WHEN len({_toks('a')}) = 0 OR len({_toks('b')}) = 0 THEN 0.0::DOUBLE WHEN len({_toks('a')}) <= len({_toks('b')}) THEN {_hits('a', 'b')} ELSE {_hits('b', 'a')} END")
 _attr = lambda c, words: "coalesce(" + ", ".join(rf"CASE WHEN regexp_matches(lower({c}), '\b{w}\b') THEN '{w}' END" for w in words) + ")"
 on_pairs("str_attr_conflict", lambda a, b: F.array_join(T.attribute_conflicts(a, b), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {_attr('a', w)} <> {_attr('b', w)} THEN '{k}' END" for k, w in T.ATTRIBUTES.items()) + ")")
-MUTEX = [("full fat", "low fat"), ("white", "dark"), ("vanilla", "chocolate"), ("red", "blue")]
-on_pairs("str_mutex_conflict", lambda a, b: F.array_contains(F.array(*[(F.lower(a).contains(x) & F.lower(b).contains(y)) | (F.lower(a).contains(y) & F.lower(b).contains(x)) for x, y in MUTEX]), True), " OR ".join(f"(contains(lower(a), '{x}') AND contains(lower(b), '{y}')) OR (contains(lower(a), '{y}') AND contains(lower(b), '{x}'))" for x, y in MUTEX))
+on_pairs("str_mutex_conflict", T.mutex_conflict, " OR ".join(f"(contains(lower(a), '{x}') AND contains(lower(b), '{y}')) OR (contains(lower(a), '{y}') AND contains(lower(b), '{x}'))" for x, y in T.MUTEX))
 on_pairs("str_verdict_key", lambda a, b: T.verdict_key(a, b, F.lit("1"), F.array(b, a)), "sha1(concat_ws('|', a, b, '1', array_to_string(list_sort([b, a]), ',')))")
 
 
@@ -225,7 +225,16 @@ def bit_hamming(spark, d):
     return part.select(F.col("p_partkey").alias("id"), N.hamming(F.substring(F.md5("p_name"), 1, 16), F.substring(F.md5("p_brand"), 1, 16)).alias("bits"))
 
 
-@query()
+_pixel = lambda i: f"(p_partkey * ({i} + 3) * 37 % 251)"
+_first = "((k // 2) * 9 + (k % 2) * 4)"
+DHASH_SQL = "array_to_string(list_transform(range(0, 16), lambda k: substr('0123456789abcdef', 1 + " + " + ".join(f"CASE WHEN {_pixel(f'{_first} + {j}')} < {_pixel(f'{_first} + {j + 1}')} THEN {8 >> j} ELSE 0 END" for j in range(4)) + ", 1)), '')"
+
+
+def pixels():
+    """A grey 9 x 8 image for each part, made of its key: the tables hold no images."""
+    return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("p_partkey") * (i + 3) * 37 % 251).cast("int"))
+
+
+@query(f"SELECT p_partkey AS id, {DHASH_SQL} AS hash FROM part")
 def bit_dhash(spark, d):
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("p_partkey") * (i + 3) * 37 % 251).cast("int"))
-    return view(spark, d, "part").select(F.col("p_partkey").alias("id"), N.difference_hash(pixels).alias("hash"))
+    return view(spark, d, "part").select(F.col("p_partkey").alias("id"), N.difference_hash(pixels()).alias("hash"))

@@ -105,7 +105,18 @@ def pipe_local_matcher(spark, d):
     return M.local_matcher(scan(spark, d), pool(spark, d))
 
 
-query(LOCAL_SQL.replace("'image'", "'hash'"), "pipe_off_matcher_script")(lambda s, d: M.local_matcher(scan(s, d), pool(s, d)).withColumn("method", F.when(F.col("method") == "image", "hash").otherwise(F.col("method"))))
+_mutex = " OR ".join(f"(contains(lower(s.name), '{x}') AND contains(lower(p.name), '{y}')) OR (contains(lower(s.name), '{y}') AND contains(lower(p.name), '{x}'))" for x, y in T.MUTEX)
+SCRIPT_SQL = LOCAL_SQL.replace("'image'", "'hash'").replace(FUZZY_SQL, block_sql("s.brand = p.brand", f"NOT ({_mutex})", "0.8"))
+
+
+@query(SCRIPT_SQL)
+def pipe_off_matcher_script(spark, d):
+    """Exact, hash, then fuzzy matching within the brand; a scan row without one takes the first word of its name. Names with words that rule each other out don't match."""
+    rows = scan(spark, d).withColumn("brand", F.coalesce(T.blank_to_null(F.col("brand")), F.substring_index("name", " ", 1)))
+    found = M.local_matcher(rows, pool(spark, d), ~T.mutex_conflict(F.col("name_l"), F.col("name_r")))
+    return found.withColumn("method", F.when(F.col("method") == "image", "hash").otherwise(F.col("method")))
+
+
 TOKEN_SQL = r"""WITH st AS (SELECT DISTINCT id AS scan_id, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM scan_row),
 pt AS (SELECT DISTINCT id AS pool_id, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM pool_row)
 SELECT scan_id, pool_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY shared DESC, pool_id) AS rn FROM (SELECT scan_id, pool_id, count(*) AS shared FROM st JOIN pt USING (token) GROUP BY ALL)) WHERE rn <= 40"""
@@ -120,25 +131,65 @@ def set_token_and(spark, d):
 
 @query("SELECT s.id AS scan_id, count(*) AS n_donors FROM scan_row s JOIN (SELECT DISTINCT name FROM pool_row WHERE length(name) > 3) p ON contains(s.name || ' ' || lower(s.category), split_part(p.name, ' ', 1)) GROUP BY s.id")
 def join_fuzzy_brand_contains(spark, d):
-    """A containment join: the few distinct first words are cut to tokens so that it stays an equi-join where words match whole, and is checked as a substring."""
-    donors = pool(spark, d).where(F.length("name") > 3).select("name").distinct().select(F.substring_index("name", " ", 1).alias("word"))
+    donors = pool(spark, d).where(F.length("name") > 3).select("name").distinct().groupBy(F.substring_index("name", " ", 1).alias("word")).agg(F.count("*").alias("n"))
     scans = scan(spark, d).select(F.col("id").alias("scan_id"), F.concat_ws(" ", "name", F.lower("category")).alias("text"))
-    texts = scans.select("text").distinct().join(donors.groupBy("word").agg(F.count("*").alias("n")), F.expr("contains(text, word)"))
-    return scans.join(texts, "text").groupBy("scan_id").agg(F.sum("n").alias("n_donors"))
+    return scans.join(M.contained_in(scans, donors).join(donors, "word"), "text").groupBy("scan_id").agg(F.sum("n").alias("n_donors"))
+
+
+ADAPTERS["coded_row"] = "SELECT id, gtin, brand, plain_name AS name, concat(lpad(cast(id * 7919 % 1000 AS string), 3, '0'), lpad(cast(id AS string), 10, '0')) AS code FROM product"
+UNION_SQL = r"""WITH s AS (SELECT * FROM coded_row WHERE gtin LIKE 'SCAN-%'), p AS (SELECT * FROM coded_row WHERE gtin LIKE '628%'),
+st AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM s),
+pt AS (SELECT DISTINCT gtin, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM p)
+SELECT scan_id, gtin, CAST(min(priority) AS INTEGER) AS priority FROM (SELECT s.id AS scan_id, p.gtin, 1 AS priority FROM s JOIN p ON s.brand = p.brand
+  UNION ALL SELECT s.id, p.gtin, 2 FROM s JOIN p ON substr(s.code, 1, 3) = substr(p.code, 1, 3) UNION ALL SELECT DISTINCT st.id, pt.gtin, 3 FROM st JOIN pt ON st.token = pt.token) GROUP BY scan_id, gtin"""
+
 
+@query(UNION_SQL)
+def join_multi_pool_union(spark, d):
+    rows = view(spark, d, "coded_row")
+    return M.pool_union(rows.where("gtin LIKE 'SCAN-%'"), rows.where("gtin LIKE '628%'"))
 
-def linker_sql(a: str, b: str) -> str:
-    return f"round({dice_sql(a, b)} * 0.5 + CASE WHEN s.category = p.category THEN 0.3 ELSE 0 END + coalesce(1 - least(1.0, abs(s.weight - p.weight) / greatest(s.weight, p.weight)), 0.5) * 0.2, 9)"
 
+ADAPTERS["graded_vector"] = "SELECT p.id, p.brand, p.category, p.nutri_score_grade AS grade, substr(c.code, 1, 3) AS prefix, e.embedding FROM product p JOIN coded_row c ON c.id = p.id JOIN embeddings e ON e.vec_id = p.id % (SELECT count(*) FROM embeddings)"
+DONOR_SQL = """WITH pairs AS (SELECT i.id AS product_id, d.id AS donor_id, round(list_sum(list_transform(range(1, len(i.embedding) + 1), lambda k: i.embedding[k]::DOUBLE * d.embedding[k]::DOUBLE))
+    / sqrt(list_sum(list_transform(i.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(d.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS cosine
+  FROM graded_vector i JOIN graded_vector d ON i.grade IS NULL AND d.grade IS NOT NULL AND (i.brand = d.brand OR i.prefix = d.prefix OR i.category = d.category))
+SELECT product_id, donor_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY cosine DESC, donor_id) AS rn FROM pairs WHERE cosine >= 0.85) WHERE rn <= 5"""
 
-COMPOSITE_SQL = f"""SELECT scan_id, pool_id, composite, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY composite DESC, pool_id) AS rn FROM (
-  SELECT s.id AS scan_id, p.id AS pool_id, {linker_sql('s.name', 'p.name')} AS composite FROM scan_row s JOIN pool_row p ON s.brand = p.brand)) WHERE rn <= 3"""
+
+@query(DONOR_SQL)
+def join_donor_candidates(spark, d):
+    """Products without a grade: graded ones of their brand, code prefix or category, the five nearest by vector, of a cosine of at least 0.85."""
+    rows = view(spark, d, "graded_vector")
+    ask, give = rows.where("grade IS NULL"), rows.where("grade IS NOT NULL")
+    pairs = None
+    for key in ("brand", "prefix", "category"):
+        own = ask.select(F.col("id").alias("product_id"), key).join(give.select(F.col("id").alias("donor_id"), key), key).select("product_id", "donor_id")
+        pairs = own if pairs is None else pairs.unionByName(own)
+    unit = lambda df, name, out: df.select(F.col("id").alias(name), F.col("embedding").alias(out))
+    pairs = pairs.distinct().join(unit(ask, "product_id", "x"), "product_id").join(unit(give, "donor_id", "y"), "donor_id")
+    norm = lambda v: N.dot(v, v)
+    cosine = F.round(N.dot(F.col("x"), F.col("y")) / F.sqrt(norm(F.col("x")) * norm(F.col("y"))), 6)
+    best = Window.partitionBy("product_id").orderBy(F.desc("cosine"), "donor_id")
+    near = pairs.select("product_id", "donor_id", cosine.alias("cosine")).where("cosine >= 0.85")
+    return near.withColumn("rn", F.row_number().over(best)).where("rn <= 5").drop("rn")
+
+
+def linker_sql(name_a: str, name_b: str, brand_a: str, brand_b: str) -> str:
+    return f"round({dice_sql(name_a, name_b)} * 0.5 + {dice_sql(brand_a, brand_b)} * 0.3 + coalesce(1 - least(1.0, abs(s.weight - p.weight) / greatest(s.weight, p.weight)), 0.5) * 0.2, 9)"
+
+
+COMPOSITE_PAIRS = f"""SELECT s.id AS scan_id, p.id AS pool_id, {linker_sql('s.name', 'p.name', 's.brand', 'p.brand')} AS composite
+  FROM scan_row s JOIN pool_row p ON s.category = p.category AND split_part(s.name, ' ', 1) = split_part(p.name, ' ', 1)"""
+COMPOSITE_SQL = f"""SELECT scan_id, pool_id, composite, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY composite DESC, pool_id) AS rn FROM ({COMPOSITE_PAIRS})) WHERE rn <= 3"""
 
 
 def _composite(spark, d):
-    s, p = scan(spark, d), pool(spark, d)
-    pairs = M.scored_pairs(s, p, ["brand"]).join(s.select(F.col("id").alias("scan_id"), F.col("category").alias("ca")), "scan_id").join(p.select(F.col("id").alias("pool_id"), F.col("category").alias("cb")), "pool_id")
-    score = F.round(F.col("score") * 0.5 + F.when(F.col("ca") == F.col("cb"), 0.3).otherwise(0.0) + N.weight_affinity(F.col("a"), F.col("b")) * 0.2, 9)
+    """Half the similarity of names, 0.3 that of brands, 0.2 the affinity of weights, for pairs that share the category and the first word of the name."""
+    keyed = lambda df: df.withColumn("word", F.substring_index("name", " ", 1))
+    s, p = keyed(scan(spark, d)), keyed(pool(spark, d))
+    pairs = M.scored_pairs(s, p, ["category", "word"]).join(s.select(F.col("id").alias("scan_id"), F.col("brand").alias("ba")), "scan_id").join(p.select(F.col("id").alias("pool_id"), F.col("brand").alias("bb")), "pool_id")
+    score = F.round(F.col("score") * 0.5 + T.dice(F.col("ba"), F.col("bb")) * 0.3 + N.weight_affinity(F.col("a"), F.col("b")) * 0.2, 9)
     return pairs.select("scan_id", "pool_id", score.alias("composite"))
 
 
@@ -148,7 +199,7 @@ def win_topk_composite(spark, d):
     return _composite(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 3")
 
 
-query(f"SELECT s.id AS scan_id, p.id AS pool_id, {linker_sql('s.name', 'p.name')} AS composite FROM scan_row s JOIN pool_row p ON s.brand = p.brand", "num_composite")(_composite)
+query(COMPOSITE_PAIRS, "num_composite")(_composite)
 
 
 @query(f"""SELECT scan_id, max(score) AS score, max(score) >= 0.45 AS kept FROM (SELECT s.id AS scan_id, round({DICE}, 9) AS score FROM scan_row s JOIN pool_row p ON s.brand = p.brand AND s.category = p.category) GROUP BY scan_id""")

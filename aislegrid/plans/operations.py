@@ -63,21 +63,9 @@ WITH local_ids AS (SELECT id, name_en AS natural_key FROM merchant), prod_ids AS
 SELECT s.id AS store_id, cast(coalesce(p.id, s.merchant_id) AS bigint) AS merchant_id FROM store s LEFT JOIN local_ids l ON l.id = s.merchant_id LEFT JOIN prod_ids p ON p.natural_key = l.natural_key""")
 portable("join_missing_ar", "SELECT p.id, p.name_en FROM product p WHERE p.gtin IS NULL AND (p.data_source = 'scan' OR EXISTS (SELECT 1 FROM product_price pp WHERE pp.product_id = p.id AND pp.merchant_id IN (1, 2)))")
 portable("join_existing_product", """
-WITH incoming AS (SELECT event_id, user_id AS hs_id, event_id % 2000 AS url_id, event_type FROM events WHERE event_id % 10 = 0)
+WITH incoming AS (SELECT event_id, user_id AS hs_id, event_id % 2000 AS url_id, event_type FROM events)
 SELECT i.event_id, coalesce(a.id, b.id) AS product_id, CASE WHEN a.id IS NOT NULL THEN 'id' WHEN b.id IS NOT NULL THEN 'url' ELSE 'new' END AS how
 FROM incoming i LEFT JOIN product a ON a.id = i.hs_id AND a.gtin IS NOT NULL LEFT JOIN product b ON b.id = i.url_id AND b.gtin LIKE '628%'""")
-portable("join_multi_pool_union", """
-WITH pool AS (SELECT * FROM product WHERE gtin LIKE '628%'), scan AS (SELECT * FROM product WHERE gtin LIKE 'SCAN-%' AND id % 20 = 1),
-candidates AS (
-  SELECT s.id AS scan_id, p.gtin, 1 AS priority FROM scan s JOIN pool p ON s.brand = p.brand AND s.net_weight_value = p.net_weight_value
-  UNION ALL SELECT s.id, p.gtin, 2 FROM scan s JOIN pool p ON s.plain_name = p.plain_name AND s.category = p.category
-  UNION ALL SELECT s.id, p.gtin, 3 FROM scan s JOIN pool p ON s.brand = p.brand AND s.category = p.category)
-SELECT scan_id, gtin, min(priority) AS priority FROM candidates GROUP BY scan_id, gtin""")
-portable("join_donor_candidates", """
-WITH incomplete AS (SELECT * FROM product WHERE nutri_score_grade IS NULL AND id % 5 = 1), donor AS (SELECT * FROM product WHERE nutri_score_grade IS NOT NULL)
-SELECT i.id AS product_id, d.id AS donor_id FROM incomplete i JOIN donor d ON d.brand = i.brand AND d.net_weight_value = i.net_weight_value
-UNION SELECT i.id, d.id FROM incomplete i JOIN donor d ON d.category = i.category AND d.plain_name = i.plain_name""")
-
 # filters
 portable("filter_ilike_multi", "SELECT id, name_en, brand FROM product WHERE name_en ILIKE '%an%' OR brand ILIKE '%#1%' OR gtin = '6280000000012' ORDER BY id LIMIT 50")
 portable("filter_prefix", "SELECT id, gtin FROM product WHERE gtin LIKE '62800000%' ORDER BY gtin LIMIT 20")
@@ -121,8 +109,8 @@ portable("set_missing_stores", "SELECT s.id FROM store s WHERE s.id NOT IN (SELE
 portable("set_distinct_options", "SELECT DISTINCT category AS option, 'category' AS kind FROM product WHERE category <> '' UNION ALL SELECT DISTINCT brand, 'brand' FROM product WHERE brand <> ''")
 portable("set_distinct_sync_pairs", "SELECT DISTINCT p.id, p.gtin, pp.merchant_id FROM product p JOIN product_price pp ON pp.product_id = p.id WHERE pp.merchant_id = 4")
 portable("set_round_robin", """
-WITH few_products AS (SELECT id AS product_id FROM product ORDER BY id LIMIT 40), few_stores AS (SELECT id AS store_id FROM store ORDER BY id LIMIT 3)
-SELECT product_id, store_id, concat('job-', cast(product_id AS string), '-', cast(store_id AS string)) AS job_id, cast(row_number() OVER (ORDER BY product_id, store_id) AS int) AS place FROM few_products CROSS JOIN few_stores""")
+WITH wanted AS (SELECT DISTINCT product_id, store_id FROM product_price WHERE store_id IS NOT NULL)
+SELECT product_id, store_id, concat('job-', cast(product_id AS string), '-', cast(store_id AS string)) AS job_id, cast(row_number() OVER (PARTITION BY product_id ORDER BY store_id) AS int) AS place FROM wanted""")
 portable("set_same_page", """
 WITH p AS (SELECT o_custkey AS page, o_orderkey % 5 AS item FROM orders), s AS (SELECT DISTINCT page, item FROM p), n AS (SELECT page, count(*) AS n FROM s GROUP BY page)
 SELECT a.page, max(na.n) = count(b.item) AND max(nb.n) = count(b.item) AS same FROM s a JOIN n na ON na.page = a.page JOIN n nb ON nb.page = a.page + 3 LEFT JOIN s b ON b.page = a.page + 3 AND b.item = a.item GROUP BY a.page""")
@@ -143,7 +131,7 @@ holder AS (SELECT gtin, min(id) AS holder_id FROM product WHERE gtin LIKE '628%'
 SELECT w.id, w.new_gtin, CASE WHEN h.holder_id IS NOT NULL THEN 'merge' WHEN f.first_id <> w.id THEN 'merge' ELSE 'assign' END AS action, coalesce(h.holder_id, f.first_id) AS winner_id, substr(w.new_gtin, 1, 3) AS gtin_prefix
 FROM wanted w JOIN first_new f ON f.new_gtin = w.new_gtin LEFT JOIN holder h ON h.gtin = w.new_gtin""")
 portable("pipe_admin_upsert", """
-WITH incoming AS (SELECT id, gtin, concat(name_en, ' new') AS name_en, brand FROM product WHERE gtin LIKE '628%' AND id % 10 = 2), stored AS (SELECT id, gtin, name_en, brand FROM product WHERE gtin LIKE '628%'),
+WITH incoming AS (SELECT id, gtin, concat(name_en, ' new') AS name_en, brand FROM product WHERE gtin LIKE '628%' AND data_source = 'scan'), stored AS (SELECT id, gtin, name_en, brand FROM product WHERE gtin LIKE '628%'),
 both_rows AS (SELECT *, 1 AS version FROM incoming UNION ALL SELECT *, 0 FROM stored)
 SELECT id, gtin, name_en, brand, version = 1 AS updated FROM (SELECT *, row_number() OVER (PARTITION BY gtin ORDER BY version DESC, id) AS rn FROM both_rows) x WHERE rn = 1""")
 portable("pipe_merge", """

@@ -12,13 +12,11 @@ KM = """6371 * 2 * atan2(sqrt(pow(sin(radians(s.lat - 24.5) / 2), 2) + cos(radia
 LATEST_STORE = """latest AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY product_id, store_id ORDER BY scraped_at DESC, id DESC) AS rn FROM product_price p WHERE store_id IS NOT NULL) x WHERE rn = 1)"""
 
 portable("win_latest_merchant_store", """
-WITH flagged AS (
-  SELECT p.*, coalesce(s.platform, 'direct') AS platform,
-    max(CASE WHEN s.platform = 'aggregator' THEN 1 ELSE 0 END) OVER (PARTITION BY p.product_id) AS has_platform_store
-  FROM product_price p LEFT JOIN store s ON p.store_id = s.id),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id, coalesce(store_id, -1) ORDER BY scraped_at DESC, id DESC) AS rn
-  FROM flagged WHERE NOT (store_id IS NULL AND has_platform_store = 1))
+WITH aggregated AS (SELECT DISTINCT pp.product_id FROM product_price pp JOIN store s ON pp.store_id = s.id WHERE s.platform = 'aggregator'),
+kept AS (
+  SELECT p.*, coalesce(s.platform, 'direct') AS platform FROM product_price p LEFT JOIN store s ON p.store_id = s.id LEFT JOIN aggregated a ON a.product_id = p.product_id
+  WHERE p.store_id IS NOT NULL OR a.product_id IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id, coalesce(store_id, -1) ORDER BY scraped_at DESC, id DESC) AS rn FROM kept)
 SELECT product_id, merchant_id, store_id, platform, price_sar_incl_vat, in_stock, cast(scraped_at AS date) AS scraped_on FROM ranked WHERE rn = 1""")
 
 portable("win_distinct_on", """
@@ -45,9 +43,11 @@ portable("win_basket_best", f"""
 WITH {LATEST_STORE},
 basket AS (SELECT id AS product_id, cast(1 + id % 3 AS double) AS quantity FROM product WHERE id % 100 < 5),
 offers AS (SELECT l.store_id, count(*) AS covered, round(sum(l.price_sar_incl_vat * b.quantity), 4) AS total FROM latest l JOIN basket b ON l.product_id = b.product_id GROUP BY l.store_id),
-full_offers AS (SELECT o.*, round({KM}, 6) AS km, max(covered) OVER () AS best FROM offers o JOIN store s ON o.store_id = s.id),
-ranked AS (SELECT *, row_number() OVER (ORDER BY total, store_id) AS by_price, row_number() OVER (ORDER BY km, total, store_id) AS by_distance FROM full_offers WHERE covered = best)
-SELECT store_id, covered, round(total, 2) AS total, round(km, 3) AS km, by_price = 1 AS cheapest, by_distance = 1 AS nearest FROM ranked WHERE by_price = 1 OR by_distance = 1""")
+full_offers AS (SELECT o.*, round({KM}, 6) AS km FROM offers o JOIN store s ON o.store_id = s.id),
+best AS (SELECT * FROM full_offers WHERE covered = (SELECT max(covered) FROM full_offers)),
+cheap AS (SELECT store_id FROM best ORDER BY total, store_id LIMIT 1), near AS (SELECT store_id FROM best ORDER BY km, total, store_id LIMIT 1),
+chosen AS (SELECT store_id, max(cheapest) AS cheapest, max(nearest) AS nearest FROM (SELECT store_id, 1 AS cheapest, 0 AS nearest FROM cheap UNION ALL SELECT store_id, 0, 1 FROM near) x GROUP BY store_id)
+SELECT b.store_id, b.covered, round(b.total, 2) AS total, round(b.km, 3) AS km, c.cheapest = 1 AS cheapest, c.nearest = 1 AS nearest FROM best b JOIN chosen c ON c.store_id = b.store_id""")
 
 portable("win_price_tier", f"""
 WITH {LATEST_STORE},

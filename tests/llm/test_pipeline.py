@@ -12,7 +12,7 @@ from aislegrid.llm import bpe, language_id, pii
 from aislegrid.llm.common import fold
 from aislegrid.llm.queries import tokenizer_path
 
-from .test_operators import brute_components, brute_containment
+from .test_operators import LUHN, brute_components, brute_containment
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -46,11 +46,12 @@ def test_texts_and_ids(spark, stages):
     before, after = ({r.doc_id: r for r in s.collect()} for s in stages[2:4])
     assert {*before} == {*after}
     personal = re.compile(r"[\w.]+@[\w.]+|\d{1,3}(?:\.\d{1,3}){3}|\d{16}|\(\d{3}\) \d{3}-\d{4}|AKIA\w{16}")
+    found = lambda text: [x for x in personal.findall(text) if not x.isdigit() or LUHN(x)]  # noqa: E731 - digits with a wrong check digit are no card
     changed = 0
     for i, r in after.items():
-        old = {*personal.findall(before[i].text)}
-        assert not old & {*personal.findall(r.text)}
-        assert len(personal.findall(before[i].text)) == len(personal.findall(r.text)) and r.n_chars == len(r.text)
+        old = {*found(before[i].text)}
+        assert not old & {*found(r.text)}
+        assert len(found(before[i].text)) == len(found(r.text)) and r.n_chars == len(r.text)
         changed += bool(old)
         if not old and not re.search(pii.HINT.replace(r"\p{L}", "A-Za-z"), before[i].text):
             assert r.text == before[i].text

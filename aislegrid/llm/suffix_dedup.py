@@ -9,6 +9,9 @@ passes over the documents, cut into chunks:
    merge-scanned against the existing levels for full-length matches, and levels of equal size merge geometrically. It returns, for each context, the windows that start in a smaller document;
 3. a chunk marks the bytes of these windows and cuts them out.
 Nothing is sampled: anchors only decide where windows meet. Frequent strings cross the exchange once a chunk, not once an occurrence.
+
+An anchor of more than HOT_ANCHOR occurrences in all chunks (a frequent phrase, of which each document may have another context) would bring all its contexts
+to one bucket. Its windows travel one by one instead, each to the bucket of its own hash: equal windows still meet, and need no further comparison.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ CONTEXT = 2 * LENGTH - K  # bytes from SPAN before an anchor to LENGTH after it
 CHUNK_BYTES, MOST_CHUNK_BYTES = 12_000_000, 128_000_000
 RUN_BYTES = 2_000_000
 BATCH = 2_500  # contexts, of up to SPAN + 1 windows each
+HOT_ANCHOR = 20_000
+SINGLE = 64  # marks a context that is one window of a hot anchor
 _MASK = np.uint64((1 << 22) - 1)
 _P = 0x9E3779B97F4A7C15
 
@@ -97,11 +102,13 @@ class Chunk:
         order = np.argsort(first, kind="stable")
         self.hash, self.at, self.first, self.n, self.doc = h[order], at[order], first[order], n[order], of[order]
 
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        """For each anchor: where its windows begin before it, how many they are, and their bytes; equal rows are equal contexts."""
+    def contexts(self, which: np.ndarray, window: np.ndarray | None = None) -> np.ndarray:
+        """For each anchor: where its windows begin before it, how many they are, and their bytes; equal rows are equal contexts. With window: that one alone."""
         out = np.zeros((len(which), CONTEXT + 2), np.uint8)
         back, n = self.at[which] - self.first[which], self.n[which]
-        out[:, 0], out[:, 1] = back + 1, n
+        if window is not None:
+            back, n = back - window, np.ones(len(which), np.int64)
+        out[:, 0], out[:, 1] = back + 1, n + (0 if window is None else SINGLE)
         columns = np.arange(CONTEXT)[None, :] - SPAN
         place = self.at[which][:, None] + columns
         keep = (columns >= -back[:, None]) & (columns < (n - back)[:, None] + LENGTH - 1)
@@ -109,10 +116,42 @@ class Chunk:
         return out
 
 
+    def sent(self, back: pa.Table, buckets: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What of this chunk is sent, by bucket of the anchors: bucket, whether they are hot, their numbers in doc_id order, the first of each distinct context, each one's context, and the contexts."""
+        bucket = _bucket_of(self.hash, buckets)
+        own = (self.hash & np.uint64(0xFFFFFFFF)) | (bucket.astype(np.uint64) << np.uint64(32))
+        for column, hot in (("hashes", False), ("hot", True)):
+            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py() or b"", np.uint32).astype(np.uint64) | np.uint64((b or 0) << 32) for b, x in zip(back.column("bucket").to_pylist(), back.column(column), strict=True))]))
+            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own) if len(wanted) else np.zeros(0, np.int64)
+            for b, places in _split_by(bucket[at]):
+                number = at[places]
+                rows = self.contexts(number)
+                first, which = _equal_contexts(rows)
+                yield b, hot, number, first, which, rows
+
+    def windows(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Single windows of the anchors numbered lead (ascending): the anchor's place in lead, the window's place in it, the first of each distinct window, and each one's window."""
+        n = self.n[lead]
+        of = np.repeat(np.arange(len(lead)), n)
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin = self.first[lead][of] + k
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[begin]).view(f"V{LENGTH}").ravel() if len(begin) else np.zeros(0, f"V{LENGTH}")
+        _, first, which = np.unique(keys.view(f"S{LENGTH}"), return_index=True, return_inverse=True)
+        return of, k, first, which.ravel()
+
+
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _window_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each single window, by a hash of its bytes."""
+    powers = np.array([pow(_P, i, 1 << 64) for i in range(rows.shape[1])], np.uint64)
+    h = np.concatenate([np.zeros(0, np.uint64), *((rows[a : a + 10_000].astype(np.uint64) * powers).sum(1, dtype=np.uint64) for a in range(0, len(rows), 10_000))])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _bucket_of(h ^ (h >> np.uint64(32)), buckets)
+
+
 def _load(table: pa.Table) -> Chunk:
     texts = table.column("text").cast(pa.large_binary()).to_pylist()
     return Chunk(table.column("doc_id").to_pylist(), [t or b"" for t in texts])
@@ -131,7 +170,7 @@ def _blob(x: np.ndarray) -> bytes:
 
 
 def _send_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Pass 1: for each chunk and bucket the distinct 32-bit remainders of anchor hashes, those of several documents apart."""
+    """Pass 1: for each chunk and bucket the distinct 32-bit remainders of anchor hashes, those of several documents apart and with their occurrences."""
 
     def run(table: pa.Table) -> pa.Table:
         c, number = _load(table), table.column("chunk")[0].as_py()
@@ -139,29 +178,41 @@ def _send_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
         h, doc = c.hash[order], c.ids[c.doc[order]] if len(order) else order
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+        times = np.diff(np.append(first, len(h))).astype(np.uint32)
         h = h[first]
-        out = [(b, _blob(np.sort(h[at[~several[at]]].astype(np.uint32))), _blob(np.sort(h[at[several[at]]].astype(np.uint32)))) for b, at in _split_by(_bucket_of(h, buckets))]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([number] * len(out), pa.int64()), "once": pa.array([x[1] for x in out], pa.binary()), "often": pa.array([x[2] for x in out], pa.binary())})
+        out = []
+        for b, at in _split_by(_bucket_of(h, buckets)):
+            many = at[several[at]]
+            out.append((b, _blob(h[at[~several[at]]].astype(np.uint32)), _blob(h[many].astype(np.uint32)), _blob(times[many])))
+        names = ("once", "often", "times")
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([number] * len(out), pa.int64())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(names, 1)})
 
-    return chunks.groupBy("chunk").applyInArrow(run, "bucket long, chunk long, once binary, often binary")
+    return chunks.groupBy("chunk").applyInArrow(run, "bucket long, chunk long, once binary, often binary, times binary")
 
 
 def _shared_hashes(sent: DataFrame) -> DataFrame:
-    """Back to each chunk: its hashes (32-bit remainders in a bucket) that several documents have."""
+    """Back to each chunk: its hashes (32-bit remainders in a bucket) that several documents have, those of hot anchors apart."""
 
     def run(table: pa.Table) -> pa.Table:
         once = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("once")]
         often = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("often")]
-        values, counts = np.unique(np.concatenate([*once, *often, *often]), return_counts=True)
-        shared = values[counts > 1]
+        times = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("times")]
+        keys = np.concatenate([*once, *often])
+        values, which = np.unique(keys, return_inverse=True)
+        weights = np.concatenate([np.ones(sum(map(len, once)), np.int64), *times])
+        of_several = np.zeros(len(values), bool)
+        of_several[which[sum(map(len, once)) :]] = True
+        total = np.bincount(which.ravel(), weights, len(values))
+        shared = of_several | (np.bincount(which.ravel(), minlength=len(values)) > 1)
+        hot = shared & (total > HOT_ANCHOR)
         out = []
         for number, a, b in zip(table.column("chunk").to_pylist(), once, often, strict=True):
             own = np.concatenate([a, b])
-            at = np.searchsorted(shared, own)
-            out.append((number, _blob(own[shared[np.minimum(at, len(shared) - 1)] == own]) if len(shared) else b""))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "bucket": table.column("bucket").combine_chunks(), "hashes": pa.array([x[1] for x in out], pa.binary())})
+            at = np.searchsorted(values, own)
+            out.append((number, _blob(own[shared[at] & ~hot[at]]), _blob(own[hot[at]])))
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "bucket": table.column("bucket").combine_chunks(), "hashes": pa.array([x[1] for x in out], pa.binary()), "hot": pa.array([x[2] for x in out], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, hashes binary, hot binary")
 
 
 def _equal_contexts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,24 +223,29 @@ def _equal_contexts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_contexts(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """Pass 2: contexts of shared anchors by bucket, once for each chunk, with the smallest doc_id and that anchor's number."""
+    """Pass 2: contexts of shared anchors by bucket, once for each chunk, with the smallest doc_id and that anchor's number; of hot anchors, windows.
+
+    A number is that of the anchor times 32, for a window of a hot anchor plus one more than its place.
+    """
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        out = []
+        out, hot_numbers, hot_docs, hot_rows = [], [], [], []
         if table.num_rows and back.num_rows:
             c = _load(table)
-            bucket = _bucket_of(c.hash, buckets)
-            full = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(back.column("bucket").to_pylist(), back.column("hashes"), strict=True)]
-            wanted = np.sort(np.concatenate(full))
-            own = (c.hash & np.uint64(0xFFFFFFFF)) | (bucket.astype(np.uint64) << np.uint64(32))
-            if len(wanted):
-                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own)
-                for b, places in _split_by(bucket[at]):
-                    number = at[places]  # anchors are in doc_id order, so the first of equal contexts has the smallest
-                    rows = c.contexts(number)
-                    first, _ = _equal_contexts(rows)
-                    first = np.sort(first)
-                    out.append((b, _blob(number[first].astype(np.int64)), _blob(c.ids[c.doc[number[first]]]), _blob(rows[first])))
+            for b, hot, number, first, _, rows in c.sent(back, buckets):
+                first = np.sort(first)  # anchors are in doc_id order, so the first of equal contexts has the smallest
+                if hot:
+                    lead = number[first]
+                    of, k, distinct, _ = c.windows(lead)
+                    distinct = np.sort(distinct)
+                    hot_numbers.append(lead[of[distinct]] * 32 + k[distinct] + 1)
+                    hot_docs.append(c.ids[c.doc[lead[of[distinct]]]])
+                    hot_rows.append(c.contexts(lead[of[distinct]], k[distinct]))
+                else:
+                    out.append((b, _blob(number[first].astype(np.int64) * 32), _blob(c.ids[c.doc[number[first]]]), _blob(rows[first])))
+            if hot_rows:
+                numbers, docs, rows = np.concatenate(hot_numbers), np.concatenate(hot_docs), np.concatenate(hot_rows)
+                out += [(b, _blob(numbers[at]), _blob(docs[at]), _blob(rows[at])) for b, at in _split_by(_window_bucket(rows, buckets))]
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64()), "anchors": pa.array([x[1] for x in out], pa.binary()), "docs": pa.array([x[2] for x in out], pa.binary()), "contexts": pa.array([x[3] for x in out], pa.binary())})
 
@@ -238,10 +294,11 @@ def _match(sent: DataFrame) -> DataFrame:
         smallest = docs[order][first][which]
         bits = np.zeros(len(order), np.uint32)
         copied = docs[order] > smallest
-        n = rows[order][:, 1].astype(np.uint32)
+        n = rows[order][:, 1].astype(np.uint32) & np.uint32(SINGLE - 1)
         every = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
         bits[copied] = every[copied].astype(np.uint32)
-        # contexts that no other context shares an anchor with have their answer
+        # single windows of hot anchors, and contexts that no other context shares an anchor with, have their answer
+        head = head[rows[order[head]][:, 1] < SINGLE]
         keys = np.ascontiguousarray(rows[order[head]][:, 2 + SPAN : 2 + SPAN + K]).view(f"S{K}").ravel()
         _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
         head = head[count[at.ravel()] > 1]
@@ -272,8 +329,8 @@ def _match(sent: DataFrame) -> DataFrame:
 
 def _cut(chunks: DataFrame, shared: DataFrame, matches: DataFrame, buckets: int, digests: bool) -> DataFrame:
     """Pass 3: the kept bytes. shared tells again which anchors were sent, to give equal contexts of a chunk their first one's answer."""
-    both = shared.select("back_chunk", "bucket", "hashes", F.lit(None).cast("binary").alias("anchors"), F.lit(None).cast("binary").alias("bits"))
-    found = matches.select(F.col("match_chunk").alias("back_chunk"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("hashes"), "anchors", "bits")
+    both = shared.select("back_chunk", "bucket", "hashes", "hot", F.lit(None).cast("binary").alias("anchors"), F.lit(None).cast("binary").alias("bits"))
+    found = matches.select(F.col("match_chunk").alias("back_chunk"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("hot"), "anchors", "bits")
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -281,18 +338,21 @@ def _cut(chunks: DataFrame, shared: DataFrame, matches: DataFrame, buckets: int,
         c = _load(table)
         cover = np.zeros(len(c.data) + 1, np.int32)
         if back.num_rows:
-            bucket = _bucket_of(c.hash, buckets)
-            is_hash = [i for i, b in enumerate(back.column("bucket").to_pylist()) if b is not None]
-            hashes, numbers = back.column("hashes"), back.column("bucket")
-            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(hashes[i].as_py(), np.uint32).astype(np.uint64) | np.uint64(numbers[i].as_py() << 32) for i in is_hash)]))
-            own = (c.hash & np.uint64(0xFFFFFFFF)) | (bucket.astype(np.uint64) << np.uint64(32))
-            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own) if len(wanted) else np.zeros(0, np.int64)
+            is_answer = np.array([b is None for b in back.column("bucket").to_pylist()])
             bits = np.zeros(len(c.hash), np.uint32)
-            for i in (i for i in range(back.num_rows) if numbers[i].as_py() is None):
-                bits[np.frombuffer(back.column("anchors")[i].as_py(), np.int64)] = np.frombuffer(back.column("bits")[i].as_py(), np.uint32)
-            for _, places in _split_by(bucket[at]):
-                number = at[places]
-                first, which = _equal_contexts(c.contexts(number))
+            answers = back.filter(pa.array(is_answer))
+            for x, y in zip(answers.column("anchors"), answers.column("bits"), strict=True):
+                number, got = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.uint32)
+                place = np.maximum(number % 32 - 1, 0)
+                np.bitwise_or.at(bits, number // 32, np.where(number % 32 > 0, (got & np.uint32(1)) << place.astype(np.uint32), got))
+            for _, hot, number, first, which, _ in c.sent(back.filter(pa.array(~is_answer)), buckets):
+                if hot:  # equal windows: the first one's answer, and later documents lose theirs
+                    leads = np.sort(number[first])
+                    of, k, distinct, window = c.windows(leads)
+                    one = distinct[window]
+                    docs = c.ids[c.doc[leads]]
+                    seen = ((bits[leads[of[one]]] >> k[one].astype(np.uint32)) & np.uint32(1) == 1) | (docs[of] > docs[of[one]])
+                    bits[leads] |= np.bincount(of, np.where(seen, 2.0**k, 0.0), len(leads)).astype(np.uint32)
                 lead = number[first][which]
                 later = c.ids[c.doc[number]] > c.ids[c.doc[lead]]
                 every = ((np.uint64(1) << c.n[number].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
@@ -328,7 +388,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = max(1, -(-total // size))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     chunks = rows.repartition(n, "chunk")
-    shared = _shared_hashes(_send_hashes(chunks, n)).where("length(hashes) > 0").withColumnRenamed("chunk", "back_chunk")
+    shared = _shared_hashes(_send_hashes(chunks, n)).where("length(hashes) + length(hot) > 0").withColumnRenamed("chunk", "back_chunk")
     matches = _match(_send_contexts(chunks, shared, n))
     out = _cut(chunks, shared, matches, n, digests)
     return out.select(F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digests else "kept"))

@@ -414,16 +414,19 @@ def brute_removed(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk", [12_000_000, 4_000])
-def test_suffix_dedup(spark, chunk):
+@pytest.mark.parametrize(("chunk", "hot"), [(12_000_000, 20_000), (4_000, 20_000), (12_000_000, 3), (4_000, 3)])
+def test_suffix_dedup(spark, chunk, hot):
     rows = corpus(11) + [(2000, "a" * 400), (2001, "b" + "a" * 120 + "c"), (2002, "ab" * 100), (2003, "x" + "ab" * 100)]
-    old = suffix_dedup.CHUNK_BYTES, suffix_dedup.MOST_CHUNK_BYTES, suffix_dedup.RUN_BYTES, suffix_dedup.BATCH
+    phrase = "the same short phrase of thirty or more bytes"
+    rows += [(3000 + i, f"{i * 7919 % 101:03d} before it {phrase} and {i % 5} after it, {i % 3}" + " and so on" * 3) for i in range(40)]
+    old = suffix_dedup.CHUNK_BYTES, suffix_dedup.MOST_CHUNK_BYTES, suffix_dedup.RUN_BYTES, suffix_dedup.BATCH, suffix_dedup.HOT_ANCHOR
+    suffix_dedup.HOT_ANCHOR = hot
     suffix_dedup.CHUNK_BYTES = suffix_dedup.MOST_CHUNK_BYTES = chunk
-    suffix_dedup.RUN_BYTES, suffix_dedup.BATCH = (1000, 7) if chunk < 10_000 else old[2:]
+    suffix_dedup.RUN_BYTES, suffix_dedup.BATCH = (1000, 7) if chunk < 10_000 else old[2:4]
     try:
         got = Counter(tuple(r)[:4] + (bytes(r.kept),) for r in suffix_dedup.without_repeats(frame(spark, rows)).collect())
     finally:
-        suffix_dedup.CHUNK_BYTES, suffix_dedup.MOST_CHUNK_BYTES, suffix_dedup.RUN_BYTES, suffix_dedup.BATCH = old
+        suffix_dedup.CHUNK_BYTES, suffix_dedup.MOST_CHUNK_BYTES, suffix_dedup.RUN_BYTES, suffix_dedup.BATCH, suffix_dedup.HOT_ANCHOR = old
     assert got == brute_removed(rows)
 
 

@@ -13,6 +13,7 @@ import functools
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -208,6 +209,7 @@ class TextEncoder:
     def __init__(self, specials: dict[str, int], merge, most_words: int = MOST_WORDS):
         self.merge, self.specials, self.most_words = merge, specials, most_words
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+        self.lead = os.path.commonprefix(list(specials))  # a quick test before the pattern
         self.forget()
 
     def forget(self) -> None:
@@ -215,7 +217,7 @@ class TextEncoder:
         self.sizes, self.flat = np.zeros(0, np.int64), [np.zeros(0, np.int32)]
 
     def _words(self, text: str) -> list[str]:
-        if self.special and "<|" in text and self.special.search(text):
+        if self.special and self.lead in text and self.special.search(text):
             out = []
             for part in self.special.split(text):
                 out += [part] if part in self.specials else words_of(normalise(part))

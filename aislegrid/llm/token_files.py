@@ -1,14 +1,14 @@
 """Token-id files (operator 7): ORC with integer run-length encoding, row indexes and Bloom filters on doc_id.
 
-Rows are range-partitioned by doc_id and each file holds one range in ascending order, so a reader can take stripes in
-parallel, prune them by their statistics, and look up single documents through the Bloom filter.
+Rows are range-partitioned by doc_id (rows of one id, or without one, by a hash of their text) and each file holds one range in ascending order. A reader
+takes stripes in parallel; read_documents prunes files' stripes and row groups by their statistics and Bloom filters.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .common import text_runs
 
 SLICE_BYTES = 4_000_000
 MOST_WORDS = 1_000_000
+BROADCAST_PARTS = 200_000
+SCHEMA = "doc_id long, ids array<int>, n_tokens int, part int, start_in_part long"
 ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
@@ -49,9 +51,9 @@ def _library(path: str) -> TextEncoder:
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes doc_id, ids, part, start_in_part as ORC under path, in ascending doc_id order over the files.
+    """Writes doc_id, ids, n_tokens, part, start_in_part as ORC under path, in ascending doc_id order over the files.
 
-    A null or empty text gives the end id alone. Null ids come first; rows with equal ids are all kept, ordered by text.
+    A null or empty text gives the end id alone. Null ids come first; rows with equal ids are all kept, ordered by a hash of their text, then by the text.
     Other columns are not read. A lost executor's tasks are written again under the same partition number.
     """
 
@@ -65,19 +67,32 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 starts = start + ends - counts - 1
                 start += int(ends[-1])
                 column = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], column, pa.array(np.full(b - a, part, np.int32)), pa.array(starts.astype(np.int64))], ["doc_id", "ids", "part", "start_in_part"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], column, pa.array((counts + 1).astype(np.int32)), pa.array(np.full(b - a, part, np.int32)), pa.array(starts.astype(np.int64))], ["doc_id", "ids", "n_tokens", "part", "start_in_part"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, "doc_id long, ids array<int>, part int, start_in_part long").write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # a hot id spreads over ranges
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, "text")
+    ordered.mapInArrow(run, SCHEMA).write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids and start (ids of all documents before), from the files alone. The broadcast side has one row a file part."""
-    rows = spark.read.schema("doc_id long, ids array<int>, part int, start_in_part long").orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.size("ids")).alias("total"))
+def _with_start(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """rows with start: the ids of all files before, by a total of one row a file that needs no ids, and of all rows before in the file."""
+    totals = all_rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", "ids", (F.col("before") + F.col("start_in_part")).alias("start"))
+    small = len(all_rows.inputFiles()) <= BROADCAST_PARTS
+    return rows.join(F.broadcast(before) if small else before, "part").select("doc_id", "ids", (F.col("before") + F.col("start_in_part")).alias("start"))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ids and start (ids of all documents before), from the files alone."""
+    rows = spark.read.schema(SCHEMA).orc(path)
+    return _with_start(rows, rows)
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
+    """doc_id, ids and start of the documents with these (few) ids: the scan skips stripes and row groups by their ranges and Bloom filters."""
+    rows = spark.read.schema(SCHEMA).orc(path)
+    return _with_start(rows.where(F.col("doc_id").isin(*doc_ids)), rows)
 
 
 def with_digest(rows: DataFrame) -> DataFrame:

@@ -312,6 +312,21 @@ def brute_url(url):
     return host, path, best and best.text, best.verdict if best else "allow"
 
 
+def test_url_rules_joined_equal_trie(spark, monkeypatch):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["a", "b", "ab", "", "en"])
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), ".".join(rng.choice("abc") for _ in range(rng.randint(1, 3))), rng.choice(["", "/"]) + "/".join(part() for _ in range(rng.randint(0, 3)))) for _ in range(150)]
+    urls = ["http://" + ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + "/" + "/".join(part() for _ in range(rng.randint(0, 4))) for _ in range(500)]
+    urls += [None, "", "a.b", "http://", "http://a", "HTTP://A.B?x", "http://a/" + "en/" * 3000, "http://.a./b"] + urls[:20]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    few = sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()), key=lambda r: r[0])
+    few_table = sorted(map(tuple, url_filter.judge_urls(pages, table).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(url_filter, "MOST_RULES", 10)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()), key=lambda r: r[0]) == few
+    assert sorted(map(tuple, url_filter.judge_urls(pages, table).collect()), key=lambda r: r[0]) == few_table
+
+
 def test_url_filter(spark):
     urls = [None, "", "nohost", "http://", "http://com/en/", "https://a.COM/en/x?q#f", "http://Example.com/en/7", "http://www.example.com/en/77/a", "http://example.com/en/8", "http://xexample.com/en/7", "ftp://b.example.net/de/8", "http://example.net/de/9", "http://net/de", "x://org/es/#a", "http://a.org?x/es/", "http://a://b.org/es/", "http://a.com:80/en/", "http://É.com/en/", "http://a.com\n/en/", "http://.com/en/", "http://com./en/"] * 2
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("x")).withColumn("host", F.lit("y"))
@@ -386,8 +401,9 @@ def test_token_files(spark, library):
     path = new_path(spark, "tokens")
     token_files.write_token_files(frame(spark, rows), path, tokenizer_path("word_bpe_49k.json"))
     got = sorted(token_files.with_digest(token_files.read_token_files(spark, path)).collect(), key=lambda r: r.start)
+    hash64 = {r.text: r.h for r in frame(spark, rows).selectExpr("text", "xxhash64(text) AS h").collect()}
     start = 0
-    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])), strict=True):
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], hash64[r[1]], r[1])), strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -398,6 +414,27 @@ def test_token_files(spark, library):
     assert token_files.with_digest(token_files.read_token_files(spark, again)).count() == 0
 
 
+def test_token_files_look_up_documents(spark):
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(spark.range(12_000).selectExpr("id * 2 AS doc_id", "concat('text ', id) AS text"), path, tokenizer_path("word_bpe_49k.json"))
+    whole = {r.doc_id: r for r in token_files.read_token_files(spark, path).collect()}
+    found = token_files.read_documents(spark, path, [40, 20_000, 41])
+    assert {r.doc_id: r for r in found.collect()} == {i: whole[i] for i in (40, 20_000)}
+    raw = spark.read.orc(path)
+
+    def rows_read(condition):
+        """Rows that the scan hands on before the filter."""
+        got = raw.where(condition).select("doc_id", "part")
+        plan = got._jdf.queryExecution().executedPlan()
+        got._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_read("doc_id % 1000000 = 40") == 12_000
+    assert 0 < rows_read("doc_id = 40") <= 1_000  # one row group, by its range
+    assert rows_read("doc_id = 41") < 1_000  # within that range, but not in the Bloom filter
+
+
 # 8 suffix-array dedup
 def brute_removed(rows):
     first, out = {}, []

@@ -107,7 +107,13 @@ _toks = lambda c: rf"list_filter(regexp_split_to_array(regexp_replace(lower({c})
 _hits = lambda x, y: f"len(list_filter({_toks(x)}, lambda t: list_contains({_toks(y)}, t)))::DOUBLE / len({_toks(x)})"
 on_pairs("str_keyword_overlap", T.keyword_overlap, f"CASE WHEN len({_toks('a')}) = 0 OR len({_toks('b')}) = 0 THEN 0.0::DOUBLE WHEN len({_toks('a')}) <= len({_toks('b')}) THEN {_hits('a', 'b')} ELSE {_hits('b', 'a')} END")
 _attr = lambda c, words: "coalesce(" + ", ".join(rf"CASE WHEN regexp_matches(lower({c}), '\b{w}\b') THEN '{w}' END" for w in words) + ")"
-on_pairs("str_attr_conflict", lambda a, b: F.array_join(T.attribute_conflicts(a, b), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {_attr('a', w)} <> {_attr('b', w)} THEN '{k}' END" for k, w in T.ATTRIBUTES.items()) + ")")
+
+
+def conflicts_sql(a: str, b: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {_attr(a, w)} <> {_attr(b, w)} THEN '{k}' END" for k, w in T.ATTRIBUTES.items()) + ")"
+
+
+on_pairs("str_attr_conflict", lambda a, b: F.array_join(T.attribute_conflicts(a, b), ","), conflicts_sql("a", "b"))
 on_pairs("str_mutex_conflict", T.mutex_conflict, " OR ".join(f"(contains(lower(a), '{x}') AND contains(lower(b), '{y}')) OR (contains(lower(a), '{y}') AND contains(lower(b), '{x}'))" for x, y in T.MUTEX))
 on_pairs("str_verdict_key", lambda a, b: T.verdict_key(a, b, F.lit("1"), F.array(b, a)), "sha1(concat_ws('|', a, b, '1', array_to_string(list_sort([b, a]), ',')))")
 

@@ -10,7 +10,7 @@ from aislegrid.functions import text as T
 from aislegrid.operators import matching as M
 from aislegrid.sources.adapters import ADAPTERS, view
 
-from .functions import dice_sql
+from .functions import conflicts_sql, dice_sql
 from .registry import query
 
 ADAPTERS["scan_row"] = "SELECT id, gtin, brand, plain_name AS name, CASE WHEN id % 4 = 1 THEN NULL ELSE net_weight_value END AS weight, category, concat(substr(md5(plain_name), 1, 15), substr('0123456789abcdef', cast(id % 16 + 1 AS int), 1)) AS hash FROM product WHERE gtin LIKE 'SCAN-%'"
@@ -53,28 +53,44 @@ def join_block_prefix(spark, d):
 
 
 STATE = "CASE WHEN nullif(a, 0) IS NOT NULL AND nullif(b, 0) IS NOT NULL THEN 'bothKnown' WHEN nullif(a, 0) IS NOT NULL OR nullif(b, 0) IS NOT NULL THEN 'oneUnknown' ELSE 'bothUnknown' END"
+# Letter for letter, so that names of the tables have an Arabic form; codes give 37 prefixes, vectors repeat.
+_full = "SELECT r.*, CASE WHEN r.id % 3 > 0 THEN translate(r.name, 'abcdefghijklmnopqrstuvwxyz', 'ابثدهفغحيجكلمنوپقرستءضطخزظ') END AS name_ar, CASE WHEN r.id % 3 = 0 THEN concat(cast(600 + r.id % 37 AS string), lpad(cast(r.id AS string), 10, '0')) END AS code, e.embedding FROM {0} r LEFT JOIN embeddings e ON e.vec_id = r.id % 499"
+ADAPTERS["scan_full"], ADAPTERS["pool_full"] = _full.format("scan_row"), _full.format("pool_row")
+_SURE = "(conflicts = '' OR score >= 0.90)"
+_REASON = "CASE WHEN conflicts <> '' THEN 'attribute_conflict:' || conflicts END AS reason"
+_BEST = "PARTITION BY scan_id ORDER BY score DESC, pool_id"
+_unit = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
 CASCADE_SQL = f"""
-WITH first_pool AS {FIRST},
-pairs AS (SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, {DICE} AS score, s.weight AS a, p.weight AS b FROM scan_row s JOIN first_pool p ON s.brand = p.brand),
-pa AS (SELECT s.id AS scan_id, p.gtin, 'A' AS match_pass, 1.0::DOUBLE AS confidence FROM scan_row s JOIN first_pool p ON s.brand = p.brand AND s.name = p.name AND s.weight = p.weight),
-pb AS (SELECT scan_id, gtin, 'B' AS match_pass, score AS confidence FROM (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS gap FROM pairs WHERE a = b AND a > 0 WINDOW w AS (PARTITION BY scan_id ORDER BY score DESC, pool_id)) WHERE rn = 1 AND score >= 0.55 AND (gap IS NULL OR gap >= 0.05)),
+WITH first_pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, name, weight ORDER BY id) AS first_rn FROM pool_full) WHERE first_rn = 1),
+pairs AS (SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, {DICE} AS score, s.weight AS a, p.weight AS b, {conflicts_sql('s.name', 'p.name')} AS conflicts FROM scan_full s JOIN first_pool p ON s.brand = p.brand),
+pa AS (SELECT s.id AS scan_id, p.gtin, 'A' AS match_pass, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS reason FROM scan_full s JOIN first_pool p ON s.brand = p.brand AND s.name = p.name AND s.weight = p.weight),
+pb AS (SELECT scan_id, gtin, 'B' AS match_pass, score AS confidence, {_REASON} FROM (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS gap FROM pairs WHERE a = b AND a > 0 WINDOW w AS ({_BEST})) WHERE rn = 1 AND score >= 0.55 AND (gap IS NULL OR gap >= 0.05) AND {_SURE}),
 ok AS (SELECT *, {STATE} AS state FROM pairs),
-pc AS (SELECT scan_id, gtin, 'C' AS match_pass, CASE WHEN state = 'oneUnknown' THEN least(score, 0.7) ELSE score END AS confidence FROM (
-  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, pool_id) AS rn FROM ok
-  WHERE (state = 'bothKnown' AND abs(a - b) <= greatest(a, b) * 0.1 AND score >= 0.70) OR (state = 'oneUnknown' AND score >= 0.80) OR (state = 'bothUnknown' AND score >= 0.85)) WHERE rn = 1),
-found AS (SELECT * FROM pa UNION ALL SELECT * FROM pb UNION ALL SELECT * FROM pc),
+pc AS (SELECT scan_id, gtin, 'C' AS match_pass, CASE WHEN state = 'oneUnknown' THEN least(score, 0.7) ELSE score END AS confidence, {_REASON} FROM (
+  SELECT *, row_number() OVER ({_BEST}) AS rn FROM ok
+  WHERE (state = 'bothKnown' AND abs(a - b) <= greatest(a, b) * 0.1 AND score >= 0.70) OR (state = 'oneUnknown' AND score >= 0.80) OR (state = 'bothUnknown' AND score >= 0.85)) WHERE rn = 1 AND {_SURE}),
+pd AS (SELECT scan_id, gtin, 'D' AS match_pass, score AS confidence, NULL::VARCHAR AS reason FROM (SELECT *, row_number() OVER ({_BEST}) AS rn FROM (
+  SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, {dice_sql('s.name_ar', 'p.name_ar')} AS score FROM scan_full s JOIN first_pool p ON s.brand = p.brand AND s.name_ar <> '' AND p.name_ar <> '')) WHERE rn = 1 AND score >= 0.75),
+pe AS (SELECT scan_id, gtin, 'E' AS match_pass, least(score, 0.6) AS confidence, NULL::VARCHAR AS reason FROM (SELECT *, row_number() OVER ({_BEST}) AS rn FROM (
+  SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, {DICE} AS score FROM scan_full s JOIN first_pool p ON substr(s.code, 1, 3) = substr(p.code, 1, 3))) WHERE rn = 1 AND score >= 0.80),
+near AS (SELECT *, row_number() OVER ({_BEST}) AS rn, score - lead(score) OVER ({_BEST}) AS gap FROM (SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, s.weight AS a, p.weight AS b, {conflicts_sql('s.name', 'p.name')} AS conflicts,
+  round(list_sum(list_transform(range(1, len(s.embedding) + 1), lambda i: s.embedding[i]::DOUBLE * p.embedding[i]::DOUBLE)) / ({_unit('s.embedding')} * {_unit('p.embedding')}), 6) AS score FROM scan_full s JOIN first_pool p ON s.brand = p.brand)),
+pg AS (SELECT scan_id, gtin, 'G' AS match_pass, CASE WHEN reason IS NULL THEN score ELSE 0.84 END AS confidence, reason FROM (
+  SELECT *, CASE WHEN a > 0 AND b > 0 AND abs(a - b) / greatest(a, b) > 0.15 THEN 'gated:weight_mismatch_major' WHEN conflicts <> '' THEN 'gated:variant_or_flavor_conflict' END AS reason
+  FROM near WHERE rn = 1 AND (score >= 0.92 OR (score >= 0.75 AND (gap IS NULL OR round(gap, 6) >= 0.05))))),
+found AS (SELECT * FROM pa UNION ALL SELECT * FROM pb UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM pd UNION ALL SELECT * FROM pe UNION ALL SELECT * FROM pg),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY match_pass, confidence, gtin) AS rn FROM found) WHERE rn = 1)
-SELECT s.id AS scan_id, b.gtin, b.match_pass, round(b.confidence, 9) AS confidence, CASE WHEN b.confidence >= 0.85 THEN 'auto' WHEN b.confidence >= 0.60 THEN 'review' ELSE 'residual' END AS disposition FROM scan_row s LEFT JOIN best b ON b.scan_id = s.id"""
+SELECT s.id AS scan_id, b.gtin, b.match_pass, round(b.confidence, 9) AS confidence, b.reason AS review_reason, CASE WHEN b.confidence >= 0.85 THEN 'auto' WHEN b.confidence >= 0.60 THEN 'review' ELSE 'residual' END AS disposition FROM scan_full s LEFT JOIN best b ON b.scan_id = s.id"""
 
 
 @query(CASCADE_SQL)
 def pipe_backfill(spark, d):
-    return M.cascade(scan(spark, d), pool(spark, d)).withColumn("confidence", F.round("confidence", 9))
+    return M.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(f"SELECT disposition, coalesce(match_pass, '-') AS match_pass, count(*) AS n FROM ({CASCADE_SQL}) GROUP BY ALL")
 def pipe_disposition(spark, d):
-    return M.cascade(scan(spark, d), pool(spark, d)).groupBy("disposition", F.coalesce("match_pass", F.lit("-")).alias("match_pass")).agg(F.count("*").alias("n"))
+    return M.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).groupBy("disposition", F.coalesce("match_pass", F.lit("-")).alias("match_pass")).agg(F.count("*").alias("n"))
 
 
 _bits = " + ".join(f"bit_count(xor(('0x' || substr(s.hash, {i}, 8))::BIGINT, ('0x' || substr(p.hash, {i}, 8))::BIGINT))" for i in (1, 9))

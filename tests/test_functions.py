@@ -171,3 +171,42 @@ def test_cascade_partitions_the_scan_set(spark):
     pool = spark.createDataFrame([(10, "6280000000010", "b", "full cream milk", 1000.0), (11, "6280000000011", "b", "oat biscuit", 200.0), (12, "6280000000012", "b", "full cream milk", 1000.0)], scan.schema)
     got = {r.scan_id: (r.gtin, r.match_pass, r.disposition) for r in M.cascade(scan, pool).collect()}
     assert got[1] == ("6280000000010", "A", "auto") and got[4][1] == "B" and got[2] == ("6280000000011", "C", "review") and got[3] == (None, None, "residual")
+
+
+def test_cascade_passes_beyond_names(spark):
+    kind = "id long, gtin string, brand string, name string, weight double, name_ar string, code string, embedding array<double>"
+    scan = spark.createDataFrame(
+        [
+            (1, "SCAN-1", "b", "milk chocolate bar", 50.0, None, None, None),  # another flavour: B and C fall through
+            (2, "SCAN-2", "b", "leban", 900.0, "لبن كامل الدسم", None, None),
+            (3, "SCAN-3", "x", "dates in syrup", 300.0, None, "6281234500001", None),
+            (4, "SCAN-4", "g", "aaaa", 100.0, None, None, [1.0, 0.0]),
+            (5, "SCAN-5", "g", "bbbb", 10.0, None, None, [1.0, 0.0]),
+            (6, "SCAN-6", "h", "cccc", None, None, None, [0.8, 0.6]),
+            (7, "SCAN-7", "h", "dddd", None, None, None, [-1.0, 0.0]),
+            (8, None, None, None, None, None, None, None),
+        ],
+        kind,
+    )
+    pool = spark.createDataFrame(
+        [
+            (20, "6280000000020", "b", "milk vanilla bar", 50.0, "لبن كامل الدسم", None, None),
+            (21, "6280000000021", "y", "dates in syrup", None, None, "6289999900001", None),
+            (22, "6280000000022", "g", "zzzz", 100.0, None, None, [2.0, 0.1]),
+            (23, "6280000000023", "h", "yyyy", None, None, None, [1.0, 0.0]),
+            (24, None, None, None, None, None, None, None),
+        ],
+        kind,
+    )
+    got = {r.scan_id: (r.gtin, r.match_pass, r.review_reason, r.disposition) for r in M.cascade(scan, pool).collect()}
+    none = (None, None, None, "residual")
+    assert got == {
+        1: none,
+        2: ("6280000000020", "D", None, "auto"),
+        3: ("6280000000021", "E", None, "review"),
+        4: ("6280000000022", "G", None, "auto"),
+        5: ("6280000000022", "G", "gated:weight_mismatch_major", "review"),
+        6: ("6280000000023", "G", None, "review"),
+        7: none,
+        8: none,
+    }

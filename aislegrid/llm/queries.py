@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, lm_score, near_dedup, pii, suffix_dedup, token_files, topk, url_filter
+from . import bpe, cover_tree, decontaminate, hard_negatives, language_id, lm_score, near_dedup, pii, quality_rules, suffix_dedup, token_files, topk, url_filter
 from .common import fold, new_path, table
 
 PII_KEY = "aislegrid-surrogates-1"
@@ -72,7 +72,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_pii, op4_url_filter, op5_topk, op6_bpe, op7_token_files, op8_suffix_dedup, op9_lm_score, op10_near_dedup)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_decontaminate, op3_pii, op4_url_filter, op5_topk, op6_bpe, op7_token_files, op8_suffix_dedup, op9_lm_score, op10_near_dedup, op11_quality_rules, op12_hard_negatives, op13_cover_tree)
+}
 
 OP4_SQL = """
 WITH u AS (
@@ -99,4 +116,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": OP4_SQL, "op5_topk": OP5_SQL, "op10_near_dedup": near_dedup.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": OP4_SQL, "op5_topk": OP5_SQL, "op10_near_dedup": near_dedup.SQL, "op11_quality_rules": quality_rules.SQL, "op12_hard_negatives": hard_negatives.SQL}

@@ -50,32 +50,33 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """Pairs doc_id, item_id, n_item, n_shared, containment with containment of at least 0.75.
 
     n_item is the item's number of distinct shingles, n_shared those found in the document. Null or wordless texts, null ids and empty tables pair with
-    nothing; rows with a repeated id are taken together by their best row; an item of fewer than five words is met by a document of just those words.
+    nothing; of rows with a repeated id, of documents or items, each pair's best one counts, whole texts each (by containment, then n_item); an item of fewer than five words is met by a document of just those words.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    asked = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    asked = asked.withColumn("strings", F.array_distinct(shingles(F.col("text"), _joined, "string"))).select("item_id", "strings", F.size("strings").alias("n")).where("n > 0")
+    asked = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().withColumn("item_row", F.monotonically_increasing_id())
+    asked = asked.withColumn("strings", F.array_distinct(shingles(F.col("text"), _joined, "string"))).select("item_row", "item_id", "strings", F.size("strings").alias("n")).where("n > 0")
     asked = settled(asked.withColumn("partition", F.floor(F.log2("n")).cast("int")).withColumn("need", F.ceil(F.col("n") * CONTAINED).cast("int")))
     n_items = asked.count()
 
-    hashed = asked.select("item_id", "n", "need", "partition", F.explode("strings").alias("s")).withColumn("h", F.xxhash64(F.split("s", " ")))
-    smallest = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "s"))
+    hashed = asked.select("item_row", "n", "need", "partition", F.explode("strings").alias("s")).withColumn("h", F.xxhash64(F.split("s", " ")))
+    smallest = F.row_number().over(Window.partitionBy("item_row").orderBy("h", "s"))
     sketch = hashed.withColumn("k", smallest).where(F.col("k") <= F.col("n") - F.col("need") + 1)
-    sketch = settled(sketch.select("h", "item_id", F.ceil(F.pow(F.lit(2.0), "partition") * CONTAINED).cast("int").alias("least")))
+    sketch = settled(sketch.select("h", "item_row", F.ceil(F.pow(F.lit(2.0), "partition") * CONTAINED).cast("int").alias("least")))
     n_sketch = sketch.count()
 
     probes = docs.select("doc_id", shingles(F.col("text"), _hashed, "bigint").alias("hs")).select("doc_id", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
-    pairs = probes.join(small(sketch, n_sketch), "h").where(F.col("size") >= F.col("least")).select("doc_id", "item_id").distinct()
+    pairs = probes.join(small(sketch, n_sketch), "h").where(F.col("size") >= F.col("least")).select("doc_id", "item_row").distinct()
     pairs = settled(pairs)
     n_pairs = pairs.count()
 
     texts = docs.join(small(pairs.select("doc_id").distinct(), n_pairs), "doc_id", "left_semi")
     texts = texts.select("doc_id", F.array_distinct(shingles(F.col("text"), _joined, "string")).alias("found"))
-    checked = texts.join(small(pairs, n_pairs), "doc_id").join(small(asked, n_items), "item_id")
+    checked = texts.join(small(pairs, n_pairs), "doc_id").join(small(asked, n_items), "item_row")
     shared = F.size(F.array_intersect("found", "strings"))
     checked = checked.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), "need", shared.cast("long").alias("n_shared")).where("n_shared >= need")
-    best = checked.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    rated = checked.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item", "n_shared")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
 
 
 SQL = """

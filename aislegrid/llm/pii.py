@@ -25,6 +25,8 @@ MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard
 FEMALE_NAMES = ["Mary", "Jane", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Emily", "Anna", "Maria", "Laura", "Helen", "Julia", "Ursula", "Monika", "Sabine", "Claire", "Sophie", "Camille", "Carmen", "Lucía", "Fatima", "Aisha"]
 
 BROADCAST_ROWS = 100_000
+#: From this attempt on a replacement gets longer with each draw, so that the forms of a short entity cannot run out.
+GROW = 8
 #: Code points that are no characters: the ends of an entity, an escape, and what the escape stands before.
 MARK, ESCAPE, SAME_MARK, SAME_ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 PARTS = "array<struct<kind:string,canonical:string,gender:string>>"
@@ -34,16 +36,17 @@ _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _latin_titles = [t for t in MALE + FEMALE + NEUTRAL if t.isascii() or "ñ" in t]
 _title = "(?:" + "|".join(sorted({*MALE, *FEMALE, *NEUTRAL, *(t.upper() for t in _latin_titles)}, key=lambda t: (-len(t), t))) + ")"
 _given = "(?:" + "|".join(MALE_NAMES + FEMALE_NAMES) + ")"
-_word, _caps = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*", r"\p{Lu}{2,}(?:-\p{Lu}{2,})*"
+# Groups that may repeat without end are possessive: the others take a stack frame a repetition.
+_word, _caps = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+(?!\p{L}))*+", r"\p{Lu}{2,}(?:-\p{Lu}{2,}(?!\p{L}))*+"
 _name_form = rf"(?<![\p{{L}}\p{{N}}])(?:{_title}\.?[ ](?:{_word}(?:[ ]{_word}){{0,2}}|{_caps}(?:[ ]{_caps}){{0,2}}|\p{{IsHan}}{{2,4}})|{_given}(?:-\p{{Lu}}\p{{Ll}}+)?[ ]{_word})(?!\p{{L}})"
-_email_form = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"
+_email_form = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++"
 _ip_form = rf"(?<![\d.])(?<!(?i:version|release|ver|v)[ .:]{{0,2}}){_octet}(?:\.{_octet}){{3}}(?!\.?\d)"
 _card_form = r"(?<![\p{L}\d])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\d])"
 _ssn_form = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _phone_form = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 _iban_form = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
 _key_word = "(?i:password|passwd|secret|token|api_key)"
-_secret_form = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_key_word}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)[^\s\"'=:]{{7,}}[^\s\"'=:.,;)\]}}]"
+_secret_form = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_key_word}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)(?=[^\s\"'=:\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^\s\"'=:]{{7,}}[^\s\"'=:.,;)\]}}]"
 ENTITY = "|".join([_name_form, _email_form, _secret_form, _ip_form, _ssn_form, _iban_form, _card_form, _phone_form])
 #: Every entity holds a digit, an at sign, an assignment, a title or a common given name; other texts are not searched further.
 HINT = rf"[0-9@]|{_key_word}|(?<!\p{{L}})(?:{_title}[. ]|{_given}[ -])"
@@ -165,12 +168,15 @@ def replacement(key: str, kind: Column, canonical: Column, gender: Column, attem
 
     def of(stream: Column) -> Column:
         kept = F.when(kind.isin("card", "phone"), F.when(F.length(canonical) > 10, F.when(kind == "card", 1).otherwise(2)).otherwise(1)).when(kind == "iban", 2).when(canonical.startswith("AKIA"), 4).otherwise(0)
-        shaped = _same_shape(canonical, stream, kept, canonical.rlike("^[0-9a-f]+$"))
+        more = F.when(attempt > GROW, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROW, F.lit(1))), lambda i: _pick("0123456789", _number(stream, i + 16))), "")).otherwise(F.lit(""))
+        shaped = F.concat(_same_shape(canonical, stream, kept, canonical.rlike("^[0-9a-f]+$")), more)
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(stream, i) % 254 + 1).cast("string")), ".")
+        groups = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.hex(_number(stream, i)))), ":"))
         han = F.transform(F.sequence(F.lit(1), F.length(canonical) + F.floor(attempt / 4).cast("int")), lambda i: _pick(_han, _number(stream, i)))
         named = lambda script: _name(kind, gender, stream, attempt, script)
         return (
             F.when(kind == "email", _email(canonical, stream, key, attempt))
-            .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(stream, i) % 254 + 1).cast("string")), "."))
+            .when(kind == "ip", F.when(attempt > GROW, groups).otherwise(octets))
             .when(kind == "han", F.array_join(han, ""))
             .when(kind.isin("given", "surname"), F.when(canonical.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(canonical.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin")))
             .when(kind == "card", let(shaped, _with_check_digit))
@@ -183,8 +189,13 @@ def replacement(key: str, kind: Column, canonical: Column, gender: Column, attem
 def _dressed(kind: Column, entity: Column, new: Column) -> Column:
     """The replacement of the canonical form in the spelling of the entity: its separators, a country code that the canonical form lacks, and its case."""
     plain = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    seen = lambda i: plain(F.substring(entity, F.lit(1), i + 1)) - (plain(entity) - F.length(new))
-    laid_out = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]") & (seen(i) > 0), F.substring(new, seen(i), F.lit(1))).otherwise(c)), "")
+
+    def layout(n: Column) -> Column:
+        seen = lambda i: plain(F.substring(entity, F.lit(1), i + 1)) - (plain(entity) - n)
+        chars = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]") & (seen(i) > 0), F.substring(new, seen(i), F.lit(1))).otherwise(c))
+        return F.concat(F.array_join(chars, ""), F.substring(new, n + 1, F.length(new)))
+
+    laid_out = let(F.length(canonical_of(kind, entity)), layout)
     own = lambda i: F.substring(new, i + 1, F.lit(1))
     cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c != F.lower(c), F.upper(own(i))).otherwise(own(i))), "")
     return F.when(kind.isin("phone", "card", "ssn", "iban"), laid_out).when((kind == "email") & (entity != F.lower(entity)) & (F.length(entity) == F.length(new)), cased).otherwise(new)
@@ -269,7 +280,7 @@ def _set_apart(entries: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten, all other columns as they are, and a last column `n_entities` (renamed if there is one already).
 
-    Null texts stay null and have 0 entities; rows with null or repeated ids are rewritten each for itself. Entities of one kind with different canonical forms never
+    A secret without a letter or digit (a mask) is no entity. Null texts stay null and have 0 entities; rows with null or repeated ids are rewritten each for itself. Entities of one kind with different canonical forms never
     share a replacement. Digits like a card number with a wrong check digit are no entity, nor is a dotted number after a word for version. Very long texts are taken
     whole. Empty tables give an empty result; columns may have any names.
     """
@@ -302,8 +313,9 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     def named(title: Column, rest: Column, news: Column) -> Column:
         """The new words between the old separators."""
-        after = lambda words, i: F.substring(rest, F.aggregate(F.slice(words, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x) + 1), F.lit(1))
-        return let(F.split(rest, "[ -]"), lambda words: F.concat(title, F.array_join(F.transform(words, lambda w, i: F.concat(cased(F.element_at(news, i + 1), w), after(words, i))), "")))
+        seps = F.regexp_extract_all(rest, F.lit("([ -])"), F.lit(1))
+        joined = lambda words, seps: F.array_join(F.transform(words, lambda w, i: F.concat(cased(F.element_at(news, i + 1), w), F.coalesce(F.get(seps, i), F.lit("")))), "")
+        return let(F.split(rest, "[ -]"), lambda words: let(seps, lambda s: F.concat(title, joined(words, s))))
 
     def written(kind: Column, entity: Column, news: Column) -> Column:
         title = F.regexp_extract(entity, rf"^({_title}\.?[ ])", 1)

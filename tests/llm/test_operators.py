@@ -640,3 +640,36 @@ def test_sketches_estimate_and_merge():
         assert guess[0] == pytest.approx(j, abs=0.15)
         assert (lacking[0] < near_dedup.DOUBT) == (j > 0.5)
         assert (np.maximum(u, v) == near_dedup.registers(np.concatenate([common, a, b]))).all()
+
+
+# rows that once hung, failed or lost results
+def test_masks_long_addresses_and_full_forms(spark, monkeypatch):
+    rows = [(1, "Password: ********** please"), (2, "mail x@" + "ab." * 100_000 + "com now"), (3, "Mr " + "Ab-" * 3_000 + "Ab came"), (4, "MR " + "AB-" * 3_000 + "AB came"), (5, "token=a******* and token=B*******")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1] == (rows[0][1], 0) and [got[i][1] for i in (2, 3, 4, 5)] == [1, 1, 1, 2]
+    assert all(got[i][0] != rows[i - 1][1] for i in (2, 3, 4, 5)) and got[2][0].startswith("mail ") and got[2][0].endswith(" now")
+    monkeypatch.setattr(pii, "GROW", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(f"token={c}*******" for c in letters)) for i in range(2)]  # all forms of that shape are real
+    rows += [(10 + i, " ".join(f"call +1 {i:02d} {j:02d}." for j in range(100))) for i in range(100)]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    secrets = re.findall(r"token=(\S+)", got[0])
+    assert got[0] == got[1] and len({*secrets}) == 26 and not {*secrets} & {f"{c}*******" for c in letters}
+    phones = [p for i in range(100) for p in re.findall(r"call (\+1[ \d]+)\.", got[10 + i])]
+    assert len(phones) == len({*phones}) == 10_000 and not {*phones} & {f"+1 {i:02d} {j:02d}" for i in range(100) for j in range(100)}
+
+
+def test_decontaminate_repeated_items(spark):
+    rng = random.Random(31)
+    items, docs = [], []
+    for i in range(30):
+        w = [f"w{i}x{j}" for j in range(44)]  # 40 shingles
+        items.append((i, " ".join(w)))
+        for k in range(6):  # exactly 30 of them
+            docs.append((100 * i + k, " ".join([*(f"a{rng.random()}" for _ in range(k)), *w[k : k + 34], "end of it"])))
+    docs += [(None, items[0][1]), (9000, items[3][1] + " word" * 400_000), (9001, None)]
+    once = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(once) == 181
+    more = [*items, *items, *items, (None, "a b c d e f"), (0, " ".join(f"w1x{j}" for j in range(44)))]  # id 0 has a second text
+    again = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(more, "item_id long, text string")).collect()}
+    assert again == once | {(d, 0, n) for d, i, n in once if i == 1}

@@ -78,3 +78,12 @@ def test_odd_documents(spark, tmp_path):
             if name != "bpe":
                 assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert bool(docs.count()) == bool(data)
+
+
+def test_near_dedup_stage_treats_rows_alike(spark):
+    text = "one text of more than five words for this test"
+    rows = [(None, text, "b"), (None, text, "b"), (7, "another text that has some words of its own", "z"), (7, "another text that has some words of its own", "a"), (7, "a second text under the same number seven here", "a")]
+    for extra in ([], [(9, "a repeated row with other words than all those", "q")] * 2):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string, source string")
+        got = sorted((r.doc_id or 0, r.text, r.source) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(DATA)).collect())
+        assert got == sorted([(0, text, "b"), (0, text, "b"), (7, rows[3][1], "a"), (7, rows[4][1], "a")] + [(i, t, s) for i, t, s in extra[:1]])

@@ -31,10 +31,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, and one of the rows that repeat an id and its text."""
-    count = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if count["n"] != count["ids"]:
-        docs = docs.dropDuplicates(["doc_id", "text"])
+    """Keeps the smallest id of each group of near-duplicates. Of rows that repeat an id and its text one stays, the first by all its columns as JSON; rows without an id all stay."""
+    ids = settled(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    row = F.struct(*docs.columns)
+    firsts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    docs = docs.join(ids, "doc_id", "left_anti").unionByName(firsts)
     return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
 
 

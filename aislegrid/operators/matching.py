@@ -1,4 +1,4 @@
-"""Entity resolution: blocked fuzzy joins, the staged cascade, perceptual-hash and token joins.
+"""Entity resolution: blocked fuzzy joins, perceptual-hash and token joins, clustering.
 
 Every join is an equi-join on a block key. Names are normalised before the join and similarity is computed once for each distinct pair of names in a
 block, then joined back.
@@ -47,57 +47,6 @@ def with_conflicts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("conflicts", F.array_join(T.attribute_conflicts(F.col("name_l"), F.col("name_r")), ","))
 
 
-def vector_pass(scan: DataFrame, pool: DataFrame, auto: float = 0.92, floor: float = 0.75, lead: float = 0.05) -> DataFrame:
-    """Pass G: nearest pool row of the brand by cosine of `embedding`, if it is at least `auto`, or at least `floor` and `lead` above the second.
-
-    A candidate whose weight differs by over 15 % or whose name has other attributes is held back for review: confidence 0.84 and the reason of the gate.
-    """
-    unit = lambda df: df.where("brand <> ''").withColumn("unit", N.l2_truncate(F.col("embedding"), 1 << 30)).where("unit IS NOT NULL")
-    left = unit(scan).select("brand", F.col("id").alias("scan_id"), F.col("name").alias("name_l"), F.col("weight").alias("a"), F.col("unit").alias("u"))
-    right = unit(pool).select("brand", F.col("id").alias("pool_id"), "gtin", F.col("name").alias("name_r"), F.col("weight").alias("b"), F.col("unit").alias("v"))
-    near = left.join(right, "brand").withColumn("score", F.round(N.dot(F.col("u"), F.col("v")), 6)).drop("u", "v")
-    best = with_conflicts(best_of(near, floor).where((F.col("score") >= auto) | F.col("gap").isNull() | (F.round("gap", 6) >= lead)))
-    apart = (F.col("a") > 0) & (F.col("b") > 0) & (F.abs(F.col("a") - F.col("b")) / F.greatest("a", "b") > 0.15)
-    reason = F.when(apart, "gated:weight_mismatch_major").when(F.col("conflicts") != "", "gated:variant_or_flavor_conflict")
-    return best.withColumn("reason", reason).select("scan_id", "gtin", F.lit("G").alias("match_pass"), F.when(F.col("reason").isNull(), F.col("score")).otherwise(0.84).alias("confidence"), "reason")
-
-
-def cascade(scan: DataFrame, pool: DataFrame) -> DataFrame:
-    """scan_id, gtin, match_pass, confidence, review_reason, disposition of every scan row, from the first pass that finds a pool row:
-
-    A exact key, B brand and weight block, C brand block, D Arabic names of the brand, E code prefix, G vectors. In B and C a best row whose name has other
-    attributes counts only from 0.90 on, with a reason; below, the next pass decides.
-
-    scan and pool have id, gtin, brand, name, weight (grams or null). D, E and G run if both frames have name_ar, scan has code (digits read from the pack;
-    pool may have it, else its gtin counts), and both have embedding. Rows with a null in what a pass compares take no part in it.
-    """
-    pool = first_of_key(pool, ["brand", "name", "weight"])
-    none = F.lit(None).cast("string").alias("reason")
-    found = scan.join(pool.select("brand", "name", "weight", F.col("gtin").alias("m")), ["brand", "name", "weight"]).select(F.col("id").alias("scan_id"), F.col("m").alias("gtin"), F.lit("A").alias("match_pass"), F.lit(1.0).alias("confidence"), none)
-    pairs = scored_pairs(scan, pool, ["brand"]).where("brand <> ''")
-    result = lambda df, letter, confidence, reason: df.select("scan_id", "gtin", F.lit(letter).alias("match_pass"), confidence.alias("confidence"), reason)
-    sure = "conflicts = '' OR score >= 0.90"
-    conflict = F.when(F.col("conflicts") != "", F.concat(F.lit("attribute_conflict:"), F.col("conflicts"))).alias("reason")
-    b = best_of(pairs.where("a = b AND a > 0"), 0.55).where("gap IS NULL OR gap >= 0.05")
-    found = found.unionByName(result(with_conflicts(b).where(sure), "B", F.col("score"), conflict))
-    state = N.weight_state(F.col("a"), F.col("b"))
-    need = F.when((state == "bothKnown") & N.weights_match_lenient(F.col("a"), F.col("b")), 0.70).when(state == "oneUnknown", 0.80).when(state == "bothUnknown", 0.85).otherwise(2.0)
-    c = with_conflicts(best_of(pairs.withColumn("state", state).where(F.col("score") >= need), 0.0)).where(sure)
-    found = found.unionByName(result(c, "C", F.when(F.col("state") == "oneUnknown", F.least("score", F.lit(0.7))).otherwise(F.col("score")), conflict))
-    if "name_ar" in scan.columns and "name_ar" in pool.columns:
-        arabic = lambda df: df.withColumn("name", F.col("name_ar")).where("name <> '' AND brand <> ''")
-        found = found.unionByName(result(best_of(scored_pairs(arabic(scan), arabic(pool), ["brand"]), 0.75), "D", F.col("score"), none))
-    prefixed = lambda df: df.withColumn("prefix", N.gtin_prefix(F.col("code") if "code" in df.columns else F.col("gtin"))).where("prefix IS NOT NULL")
-    e = best_of(scored_pairs(prefixed(scan), prefixed(pool), ["prefix"]), 0.80)
-    found = found.unionByName(result(e, "E", F.least("score", F.lit(0.6)), none))
-    if "embedding" in scan.columns and "embedding" in pool.columns:
-        found = found.unionByName(vector_pass(scan, pool))
-    first = found.groupBy("scan_id").agg(F.min(F.struct("match_pass", "confidence", "gtin", "reason")).alias("m"))
-    out = scan.select(F.col("id").alias("scan_id")).join(first, "scan_id", "left")
-    out = out.select("scan_id", *[F.col(f"m.{c}").alias(c) for c in ("gtin", "match_pass", "confidence")], F.col("m.reason").alias("review_reason"))
-    return out.withColumn("disposition", F.when(F.col("confidence") >= 0.85, "auto").when(F.col("confidence") >= 0.60, "review").otherwise("residual"))
-
-
 def hamming_join(scan: DataFrame, donor: DataFrame, most: int = 8) -> DataFrame:
     """Nearest donor by perceptual hash (id, brand, hash): two hashes at most `most` bits apart agree on one of most + 1 bands of bits, which the join uses."""
     bits = lambda c: F.concat(*[F.lpad(F.conv(F.substring(c, i, 8), 16, 2), 32, "0") for i in (1, 9)])

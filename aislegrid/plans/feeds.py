@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +10,13 @@ from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
 from aislegrid.sources import feeds as S
 from aislegrid.sources.adapters import view
+from aislegrid.sources.shared import scratch
 from aislegrid.streaming import price_changes as P
 
 from .functions import DHASH_SQL, pixels
 from .registry import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/aislegrid"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def feed_lines(spark, d) -> DataFrame:
     """Product feed lines made of the product view, with one blank and one malformed line for every hundredth product."""
     p = view(spark, d, "product")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
+from aislegrid.operators import cascade as C
 from aislegrid.operators import matching as M
 from aislegrid.sources.adapters import ADAPTERS, view
 
@@ -60,7 +61,7 @@ _SURE = "(conflicts = '' OR score >= 0.90)"
 _REASON = "CASE WHEN conflicts <> '' THEN 'attribute_conflict:' || conflicts END AS reason"
 _BEST = "PARTITION BY scan_id ORDER BY score DESC, pool_id"
 _unit = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
-CASCADE_SQL = f"""
+CASCADE_CTES = f"""
 WITH first_pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, name, weight ORDER BY id) AS first_rn FROM pool_full) WHERE first_rn = 1),
 pairs AS (SELECT s.id AS scan_id, p.id AS pool_id, p.gtin, {DICE} AS score, s.weight AS a, p.weight AS b, {conflicts_sql('s.name', 'p.name')} AS conflicts FROM scan_full s JOIN first_pool p ON s.brand = p.brand),
 pa AS (SELECT s.id AS scan_id, p.gtin, 'A' AS match_pass, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS reason FROM scan_full s JOIN first_pool p ON s.brand = p.brand AND s.name = p.name AND s.weight = p.weight),
@@ -79,18 +80,80 @@ pg AS (SELECT scan_id, gtin, 'G' AS match_pass, CASE WHEN reason IS NULL THEN sc
   SELECT *, CASE WHEN a > 0 AND b > 0 AND abs(a - b) / greatest(a, b) > 0.15 THEN 'gated:weight_mismatch_major' WHEN conflicts <> '' THEN 'gated:variant_or_flavor_conflict' END AS reason
   FROM near WHERE rn = 1 AND (score >= 0.92 OR (score >= 0.75 AND (gap IS NULL OR round(gap, 6) >= 0.05))))),
 found AS (SELECT * FROM pa UNION ALL SELECT * FROM pb UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM pd UNION ALL SELECT * FROM pe UNION ALL SELECT * FROM pg),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY match_pass, confidence, gtin) AS rn FROM found) WHERE rn = 1)
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY match_pass, confidence, gtin) AS rn FROM found) WHERE rn = 1)"""
+CASCADE_SQL = f"""{CASCADE_CTES}
 SELECT s.id AS scan_id, b.gtin, b.match_pass, round(b.confidence, 9) AS confidence, b.reason AS review_reason, CASE WHEN b.confidence >= 0.85 THEN 'auto' WHEN b.confidence >= 0.60 THEN 'review' ELSE 'residual' END AS disposition FROM scan_full s LEFT JOIN best b ON b.scan_id = s.id"""
 
 
 @query(CASCADE_SQL)
 def pipe_backfill(spark, d):
-    return M.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).withColumn("confidence", F.round("confidence", 9))
+    return C.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(f"SELECT disposition, coalesce(match_pass, '-') AS match_pass, count(*) AS n FROM ({CASCADE_SQL}) GROUP BY ALL")
 def pipe_disposition(spark, d):
-    return M.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).groupBy("disposition", F.coalesce("match_pass", F.lit("-")).alias("match_pass")).agg(F.count("*").alias("n"))
+    return C.cascade(view(spark, d, "scan_full"), view(spark, d, "pool_full")).groupBy("disposition", F.coalesce("match_pass", F.lit("-")).alias("match_pass")).agg(F.count("*").alias("n"))
+
+
+_shown = "string_agg(gtin || ':' || CAST(CAST(round(score * 10000) AS INTEGER) AS VARCHAR), ',' ORDER BY rn)"
+_three = lambda rows: f"SELECT scan_id, {_shown} AS near FROM (SELECT *, row_number() OVER ({_BEST}) AS rn FROM ({rows})) WHERE rn <= 3 GROUP BY scan_id"
+_fits = "((state = 'bothKnown' AND abs(a - b) <= greatest(a, b) * 0.1 AND score >= 0.70) OR (state = 'oneUnknown' AND score >= 0.80) OR (state = 'bothUnknown' AND score >= 0.85))"
+_first_by = lambda key, name: f"(SELECT {key} AS k, {name} AS nm, min(id) AS pool_id, arg_min(gtin, id) AS gtin FROM first_pool WHERE {name} <> '' GROUP BY ALL)"
+DIAGNOSTICS_SQL = f"""{CASCADE_CTES},
+b3 AS ({_three("SELECT * FROM pairs WHERE a = b AND a > 0 AND score >= 0.4")}),
+c3 AS ({_three(f"SELECT * FROM ok WHERE {_fits}")}),
+d3 AS ({_three(f"SELECT * FROM (SELECT s.id AS scan_id, p.pool_id, p.gtin, {dice_sql('s.name_ar', 'p.nm')} AS score FROM scan_full s JOIN {_first_by('brand', 'name_ar')} p ON s.brand = p.k AND s.name_ar <> '') WHERE score >= 0.75")}),
+e3 AS ({_three(f"SELECT * FROM (SELECT s.id AS scan_id, p.pool_id, p.gtin, {dice_sql('s.name', 'p.nm')} AS score FROM scan_full s JOIN {_first_by('substr(code, 1, 3)', 'name')} p ON substr(s.code, 1, 3) = p.k) WHERE score >= 0.80")}),
+g1 AS (SELECT scan_id, gtin || ':' || CAST(CAST(round(score * 10000) AS INTEGER) AS VARCHAR) AS near FROM near WHERE rn = 1),
+b1 AS (SELECT * FROM (SELECT *, row_number() OVER ({_BEST}) AS rn FROM pairs WHERE a = b AND a > 0 AND score >= 0.4) WHERE rn = 1),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER ({_BEST}) AS rn FROM ok WHERE {_fits}) WHERE rn = 1 AND NOT {_SURE} AND scan_id NOT IN (SELECT scan_id FROM pb)),
+lost AS (SELECT scan_id, string_agg(gtin || ':' || CAST(CAST(round(score * 10000) AS INTEGER) AS VARCHAR), ',' ORDER BY score DESC, gtin DESC) AS near FROM (SELECT scan_id, gtin, score FROM b1 UNION ALL SELECT scan_id, gtin, score FROM c1) GROUP BY scan_id),
+brand_pool AS (SELECT brand, count(*) AS n, count(*) FILTER (weight > 0) AS known FROM first_pool WHERE brand <> '' GROUP BY brand),
+fitting AS (SELECT s.id AS scan_id, bool_or(abs(s.weight - p.weight) <= greatest(s.weight, p.weight) * 0.1) AS fits FROM scan_full s JOIN first_pool p ON s.brand = p.brand AND s.weight > 0 AND p.weight > 0 GROUP BY s.id)
+SELECT s.id AS scan_id, m.match_pass, CASE WHEN m.match_pass IS NOT NULL THEN '' WHEN b1.score >= 0.55 THEN 'ambiguous_tie' WHEN s.weight > 0 AND bp.n = bp.known AND NOT coalesce(f.fits, true) THEN 'weight_mismatch_only'
+  WHEN bp.n IS NULL THEN 'no_brand_pool' WHEN NOT coalesce(s.weight > 0, false) AND coalesce(s.name_ar, '') = '' THEN 'no_weight_no_arabic' WHEN c1.conflicts IS NOT NULL THEN 'attribute_conflict:' || c1.conflicts ELSE 'all_passes_below_threshold' END AS reason_code,
+  CASE m.match_pass WHEN 'A' THEN '' WHEN 'B' THEN b3.near WHEN 'C' THEN c3.near WHEN 'D' THEN d3.near WHEN 'E' THEN e3.near WHEN 'G' THEN g1.near ELSE coalesce(lost.near, '') END AS near_misses
+FROM scan_full s LEFT JOIN best m ON m.scan_id = s.id LEFT JOIN b3 ON b3.scan_id = s.id LEFT JOIN c3 ON c3.scan_id = s.id LEFT JOIN d3 ON d3.scan_id = s.id LEFT JOIN e3 ON e3.scan_id = s.id LEFT JOIN g1 ON g1.scan_id = s.id
+LEFT JOIN b1 ON b1.scan_id = s.id LEFT JOIN c1 ON c1.scan_id = s.id LEFT JOIN lost ON lost.scan_id = s.id LEFT JOIN brand_pool bp ON bp.brand = s.brand LEFT JOIN fitting f ON f.scan_id = s.id"""
+
+
+@query(DIAGNOSTICS_SQL)
+def pipe_backfill_reasons(spark, d):
+    """Why a scan row has no match, and the candidates that came near."""
+    rows, pool_rows = view(spark, d, "scan_full"), view(spark, d, "pool_full")
+    return C.diagnostics(C.passes(rows, pool_rows), pool_rows)
+
+
+# Stored verdicts, made from the shortlists: by a digest of the row they are sure, in doubt, weak, wrong, about other candidates, failed or missing; some have an older version.
+_KIND = "CAST(conv(substr(md5(concat(brand, name, wk)), 1, 2), 16, 10) AS int) % 7"
+VERDICT_SQL = f"""{CASCADE_CTES},
+asked AS (SELECT DISTINCT s.brand, s.name, s.weight, coalesce(CAST(s.weight AS VARCHAR), '') AS wk, coalesce(substr(s.code, 1, 3), '') AS prefix FROM scan_full s LEFT JOIN best m ON m.scan_id = s.id WHERE m.match_pass IS NULL OR m.match_pass = 'G'),
+met AS (SELECT q.*, p.id AS pool_id, p.gtin, p.brand AS pool_brand, p.name AS name_r, p.weight AS b FROM asked q JOIN first_pool p ON q.brand = p.brand
+  UNION SELECT q.*, p.id, p.gtin, p.brand, p.name, p.weight FROM asked q JOIN first_pool p ON q.prefix <> '' AND q.prefix = substr(p.code, 1, 3)),
+alike AS (SELECT name, name_r, {dice_sql('name', 'name_r')} AS score FROM (SELECT DISTINCT name, name_r FROM met)),
+either AS (SELECT * FROM met JOIN alike USING (name, name_r)),
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, name, wk, prefix ORDER BY score DESC, pool_id) AS rn FROM either WHERE score >= 0.4) WHERE rn <= 10),
+lists AS (SELECT brand, name, weight, wk, prefix, list(gtin ORDER BY rn) AS gtins, CAST(('0x' || substr(md5(concat(brand, name, wk)), 1, 2)) AS INTEGER) % 7 AS kind FROM listed GROUP BY ALL),
+said AS (SELECT *, CASE kind WHEN 0 THEN gtins[1] WHEN 1 THEN gtins[-1] WHEN 2 THEN gtins[1] WHEN 3 THEN gtins[1] END AS v_gtin, CASE kind WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 WHEN 2 THEN 0.55 ELSE 0.3 END AS v FROM lists),
+judged AS (SELECT s.*, {conflicts_sql('s.name', 'c.name_r')} AS conflicts, c.b, c.pool_brand FROM said s LEFT JOIN listed c ON s.brand = c.brand AND s.name = c.name AND s.wk = c.wk AND s.prefix = c.prefix AND s.v_gtin = c.gtin),
+gated AS (SELECT *, CASE WHEN weight > 0 AND b > 0 AND abs(weight - b) / greatest(weight, b) > 0.15 THEN 'weight_mismatch_major' WHEN conflicts <> '' THEN 'variant_or_flavor_conflict' WHEN brand <> pool_brand THEN 'brand_mismatch' END AS gate FROM judged),
+stated AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN gate IS NULL THEN 'accepted' ELSE 'gated' END WHEN 1 THEN 'review' WHEN 2 THEN 'low' WHEN 3 THEN 'no_match' WHEN 4 THEN 'stale' WHEN 5 THEN 'failed' ELSE 'unasked' END AS state FROM gated)
+SELECT brand, name, wk, prefix, state, CASE WHEN kind < 3 THEN v_gtin END AS gtin, CASE WHEN state = 'gated' THEN 0.84 WHEN kind < 3 THEN v END::DOUBLE AS confidence, CASE WHEN state = 'gated' THEN 'gated:' || gate END AS review_reason FROM stated"""
+
+
+@query(VERDICT_SQL)
+def pipe_backfill_verdicts(spark, d):
+    """Pass F: what stored verdicts say about the shortlists of rows that passes A to E left over."""
+    pool_rows = view(spark, d, "pool_full")
+    lists = C.settled(C.shortlists(C.passes(view(spark, d, "scan_full"), pool_rows, vectors=False), pool_rows), "lists")
+    gtins, kind = F.transform("best", lambda x: x["gtin"]), F.expr(_KIND)
+    key = lambda g: T.verdict_key(F.col("brand"), F.col("name"), F.col("wk"), g)
+    made = lists.withColumn("kind", kind).where("kind < 6").select(
+        C.base_key().alias("base_key"), F.when(F.col("kind") == 4, key(F.array(F.lit("0")))).otherwise(key(gtins)).alias("key"), F.lit(2).alias("version"),
+        F.when(F.col("kind") == 1, F.element_at(gtins, -1)).when(F.col("kind") < 4, gtins[0]).alias("gtin"),
+        F.when(F.col("kind") == 0, 0.9).when(F.col("kind") == 1, 0.7).when(F.col("kind") == 2, 0.55).otherwise(0.3).alias("confidence"), F.when(F.col("kind") == 5, "all_providers_failed").otherwise("").alias("rationale"))
+    older = made.withColumns({"version": F.lit(1), "confidence": F.lit(0.95), "rationale": F.lit("")})
+    return C.replay(lists, made.unionByName(older))
 
 
 _bits = " + ".join(f"bit_count(xor(('0x' || substr(s.hash, {i}, 8))::BIGINT, ('0x' || substr(p.hash, {i}, 8))::BIGINT))" for i in (1, 9))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aislegrid.functions import markup as H
 from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
+from aislegrid.operators import cascade as C
 from aislegrid.operators import matching as M
 from aislegrid.sources import feeds as S
 from aislegrid.streaming import price_changes as P
@@ -169,7 +170,7 @@ def test_windowed_counts(spark, tmp_path):
 def test_cascade_partitions_the_scan_set(spark):
     scan = spark.createDataFrame([(1, "SCAN-1", "b", "full cream milk", 1000.0), (2, "SCAN-2", "b", "oat biscuits", None), (3, "SCAN-3", "zz", "alone", 5.0), (4, "SCAN-4", "b", "full cream milks", 1000.0)], "id long, gtin string, brand string, name string, weight double")
     pool = spark.createDataFrame([(10, "6280000000010", "b", "full cream milk", 1000.0), (11, "6280000000011", "b", "oat biscuit", 200.0), (12, "6280000000012", "b", "full cream milk", 1000.0)], scan.schema)
-    got = {r.scan_id: (r.gtin, r.match_pass, r.disposition) for r in M.cascade(scan, pool).collect()}
+    got = {r.scan_id: (r.gtin, r.match_pass, r.disposition) for r in C.cascade(scan, pool).collect()}
     assert got[1] == ("6280000000010", "A", "auto") and got[4][1] == "B" and got[2] == ("6280000000011", "C", "review") and got[3] == (None, None, "residual")
 
 
@@ -198,7 +199,7 @@ def test_cascade_passes_beyond_names(spark):
         ],
         kind,
     )
-    got = {r.scan_id: (r.gtin, r.match_pass, r.review_reason, r.disposition) for r in M.cascade(scan, pool).collect()}
+    got = {r.scan_id: (r.gtin, r.match_pass, r.review_reason, r.disposition) for r in C.cascade(scan, pool).collect()}
     none = (None, None, None, "residual")
     assert got == {
         1: none,

@@ -117,15 +117,3 @@ def local_matcher(scan: DataFrame, donor: DataFrame, guard: Column | None = None
     fuzzy = best_of(pairs if guard is None else pairs.where(guard), 0.8).select("scan_id", F.col("pool_id").alias("donor_id"), F.lit(3).alias("step"))
     best = exact.unionByName(image).unionByName(fuzzy).groupBy("scan_id").agg(F.min(F.struct("step", "donor_id")).alias("m"))
     return best.select("scan_id", F.col("m.donor_id").alias("donor_id"), F.element_at(F.array(F.lit("exact"), F.lit("image"), F.lit("fuzzy")), F.col("m.step")).alias("method"))
-
-
-def cluster(rows: DataFrame) -> DataFrame:
-    """row id -> cluster: rows of a brand and weight block join the first row (by id) of the block whose cleaned name is over 0.85 similar by edit distance.
-
-    A batch form of an insert-by-insert rule: every row looks at all earlier rows of its block, not only at those that founded a cluster.
-    """
-    name = F.trim(F.regexp_replace(F.lower("name"), r"\s+", " "))
-    r = rows.select("id", "brand", "weight", name.alias("n"))
-    earlier = r.select(F.col("id").alias("first_id"), "brand", "weight", F.col("n").alias("m"))
-    near = r.join(earlier, ["brand", "weight"]).where((F.col("first_id") <= F.col("id")) & (T.levenshtein_similarity(F.col("n"), F.col("m")) > 0.85))
-    return near.groupBy("id").agg(F.min("first_id").alias("cluster_id"))

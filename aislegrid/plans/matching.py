@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
 from aislegrid.operators import cascade as C
+from aislegrid.operators import clustering as G
 from aislegrid.operators import matching as M
 from aislegrid.sources.adapters import ADAPTERS, view
 
@@ -297,10 +298,19 @@ def pipe_storefront_match(spark, d):
     return best.select("scan_id", "pool_id", F.when(F.col("score") >= 0.85, "fast").when(F.col("bits") <= 6, "image").otherwise("threshold").alias("tier"))
 
 
-@query("""SELECT s.id, min(e.id) AS cluster_id FROM pool_row s JOIN pool_row e ON s.brand = e.brand AND s.weight = e.weight AND e.id <= s.id
-WHERE 1.0 - levenshtein(lower(s.name), lower(e.name))::DOUBLE / greatest(length(s.name), length(e.name)) > 0.85 GROUP BY s.id""")
+# Incoming rows of all products: every 31st is an offer, every 17th has no brand, every 13th no weight, and codes repeat.
+ADAPTERS["incoming_row"] = """SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 23 = 1 THEN concat('629', cast(id % 97 AS string)) ELSE gtin END AS gtin, CASE WHEN id % 17 = 0 THEN 'Unknown' ELSE brand END AS brand,
+  CASE WHEN id % 31 = 0 THEN concat('Special Price ', plain_name) WHEN id % 3 = 0 THEN upper(plain_name) ELSE concat(plain_name, '!') END AS name, CASE WHEN id % 13 = 0 THEN NULL ELSE net_weight_value END AS weight FROM product"""
+
+
+@query("""WITH base AS (SELECT *, lower(regexp_replace(name, '!', '')) AS n, coalesce(CAST(weight AS VARCHAR), '') AS wk, coalesce(CASE WHEN gtin IS NOT NULL THEN min(id) OVER (PARTITION BY gtin) END, id) AS holder FROM incoming_row),
+kinds AS (SELECT *, CASE WHEN name LIKE 'Special Price%' THEN 'rejected' WHEN brand = 'Unknown' AND (gtin IS NULL OR wk = '') THEN 'weak' ELSE 'compared' END AS kind FROM base WHERE holder = id),
+names AS (SELECT brand, wk, n, min(id) AS first FROM kinds WHERE kind = 'compared' GROUP BY ALL),
+led AS (SELECT a.brand, a.wk, a.n, min(b.first) AS cluster_id FROM names a JOIN names b ON a.brand = b.brand AND a.wk = b.wk AND b.first <= a.first AND 1.0 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)) > 0.85 GROUP BY ALL),
+own AS (SELECT k.id, CASE kind WHEN 'weak' THEN k.id WHEN 'compared' THEN l.cluster_id END AS cluster_id, CASE WHEN kind <> 'compared' THEN kind WHEN k.id = l.cluster_id THEN 'new' ELSE 'name' END AS how FROM kinds k LEFT JOIN led l ON k.brand = l.brand AND k.wk = l.wk AND k.n = l.n)
+SELECT * FROM own UNION ALL SELECT b.id, o.cluster_id, 'gtin' FROM base b JOIN own o ON b.holder = o.id AND b.id <> b.holder""")
 def pipe_cluster(spark, d):
-    return M.cluster(pool(spark, d))
+    return G.cluster(view(spark, d, "incoming_row"))
 
 
 @query(f"""SELECT scan_id, pool_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, pool_id) AS rn FROM (

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .registry import portable
+from pyspark.sql import functions as F
+
+from aislegrid.operators.merge import merge
+from aislegrid.sources.adapters import ADAPTERS, view
+
+from .registry import portable, query
 
 # aggregates
 portable("agg_conditional", """SELECT cast(sum(CASE WHEN in_stock THEN 1 ELSE 0 END) AS bigint) AS n_in_stock, count(promo_price_sar) AS n_promo, count(DISTINCT product_id) AS n_products, count(DISTINCT store_id) AS n_stores FROM product_price""")
@@ -134,10 +139,57 @@ portable("pipe_admin_upsert", """
 WITH incoming AS (SELECT id, gtin, concat(name_en, ' new') AS name_en, brand FROM product WHERE gtin LIKE '628%' AND data_source = 'scan'), stored AS (SELECT id, gtin, name_en, brand FROM product WHERE gtin LIKE '628%'),
 both_rows AS (SELECT *, 1 AS version FROM incoming UNION ALL SELECT *, 0 FROM stored)
 SELECT id, gtin, name_en, brand, version = 1 AS updated FROM (SELECT *, row_number() OVER (PARTITION BY gtin ORDER BY version DESC, id) AS rn FROM both_rows) x WHERE rn = 1""")
-portable("pipe_merge", """
-WITH mapping AS (SELECT id AS loser, min(id) OVER (PARTITION BY brand, plain_name, net_weight_value) AS winner FROM product),
-moved AS (SELECT coalesce(m.winner, pp.product_id) AS product_id, pp.id FROM product_price pp LEFT JOIN mapping m ON m.loser = pp.product_id AND m.loser <> m.winner)
-SELECT product_id, count(*) AS n_prices FROM moved GROUP BY product_id""")
+# Each product of a brand, name and weight is to be merged into the one before it, so that links form chains.
+ADAPTERS["merge_link"] = "SELECT loser, winner FROM (SELECT id AS loser, lag(id) OVER (PARTITION BY brand, plain_name, net_weight_value ORDER BY id) AS winner FROM product) x WHERE winner IS NOT NULL"
+ADAPTERS["product_image"] = """SELECT id * 2 AS id, id AS product_id, concat('https://img.example/', replace(plain_name, ' ', '-'), '.jpg') AS url FROM product
+  UNION ALL SELECT id * 2 + 1, id, concat('https://img.example/', cast(id AS string), '.jpg') FROM product"""
+_merged = "m AS (SELECT id AS loser, min(id) OVER (PARTITION BY brand, plain_name, net_weight_value) AS winner FROM product)"
+_children = {"prices": "product_price", "reports": "product_report", "images": "product_image", "allergens": "product_allergen", "nutrition": "nutrition_fact"}
+
+
+def _merge(spark, d, *children: str):
+    return merge(view(spark, d, "product"), view(spark, d, "merge_link"), "off_backfill_job", "same brand, name and weight", **{c: view(spark, d, _children[c]) for c in children})
+
+
+@query(f"WITH {_merged} SELECT m.winner AS product_id, count(*) AS n_prices FROM product_price p JOIN m ON m.loser = p.product_id GROUP BY m.winner")
+def pipe_merge(spark, d):
+    """Prices of all products after the merges, counted by product."""
+    return _merge(spark, d, "prices")["prices"].groupBy("product_id").agg(F.count("*").alias("n_prices"))
+
+
+@query(f"WITH {_merged} SELECT id, url, winner AS product_id FROM (SELECT i.*, m.winner, row_number() OVER (PARTITION BY m.winner, i.url ORDER BY i.product_id, i.id) AS rn FROM product_image i JOIN m ON m.loser = i.product_id) WHERE rn = 1")
+def pipe_merge_images(spark, d):
+    return _merge(spark, d, "images")["images"].select("id", "url", "product_id")
+
+
+@query(f"WITH {_merged} SELECT DISTINCT m.winner AS product_id, allergen_key FROM product_allergen a JOIN m ON m.loser = a.product_id")
+def pipe_merge_allergens(spark, d):
+    return _merge(spark, d, "allergens")["allergens"].select("product_id", "allergen_key")
+
+
+@query(f"WITH {_merged} SELECT winner AS product_id, energy_kcal, sugars_g FROM (SELECT n.*, m.winner, row_number() OVER (PARTITION BY m.winner ORDER BY n.product_id) AS rn FROM nutrition_fact n JOIN m ON m.loser = n.product_id) WHERE rn = 1")
+def pipe_merge_nutrition(spark, d):
+    return _merge(spark, d, "nutrition")["nutrition"].select("product_id", "energy_kcal", "sugars_g")
+
+
+@query(f"""WITH {_merged}, codes AS (SELECT l.gtin AS loser, min(w.gtin) AS winner FROM m JOIN product l ON l.id = m.loser JOIN product w ON w.id = m.winner WHERE l.gtin IS NOT NULL AND w.gtin IS NOT NULL AND m.loser <> m.winner GROUP BY l.gtin)
+SELECT r.id, coalesce(c.winner, r.gtin) AS gtin, r.status FROM product_report r LEFT JOIN codes c ON c.loser = r.gtin""")
+def pipe_merge_reports(spark, d):
+    return _merge(spark, d, "reports")["reports"].select("id", "gtin", "status")
+
+
+@query(f"WITH {_merged} SELECT p.id, p.gtin FROM product p JOIN m ON m.loser = p.id AND m.winner = p.id")
+def pipe_merge_products(spark, d):
+    """What is left of the products."""
+    return _merge(spark, d)["product"].select("id", "gtin")
+
+
+@query(f"""WITH {_merged} SELECT m.winner AS winner_id, m.loser AS loser_id, coalesce(w.gtin, '') AS winner_gtin, l.gtin AS loser_gtin, w.name_en AS winner_name, l.name_en AS loser_name, 'off_backfill_job' AS actor_uid
+FROM m JOIN product l ON l.id = m.loser JOIN product w ON w.id = m.winner WHERE m.loser <> m.winner""")
+def pipe_merge_log(spark, d):
+    return _merge(spark, d)["merge_log"].select("winner_id", "loser_id", "winner_gtin", "loser_gtin", "winner_name", "loser_name", "actor_uid")
+
+
 portable("pipe_enrich_overlay", """
 SELECT s.id, coalesce(nullif(s.nutri_score_grade, ''), c.nutri_score_grade) AS nutri_score_grade, s.nutri_score_grade IS NULL AND c.nutri_score_grade IS NOT NULL AS borrowed FROM product s LEFT JOIN product c ON c.id = s.id + 6 - s.id % 6 + 1""")
 portable("pipe_price_linker", """

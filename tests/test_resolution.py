@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from aislegrid.functions import text as T
 from aislegrid.operators import cascade as C
+from aislegrid.operators import clustering as G
+from aislegrid.operators import merge as M
 from aislegrid.operators import similarity, vectors
 
 
@@ -125,3 +127,96 @@ def test_aliases_widen_blocks_until_nothing_changes(spark):
     assert got[1][1] == "6280000000100" and got[20][1] == "6280000000104" and got[21][1] == "6280000000102"
     assert [got[i][0] for i in (10, 11, 12)] == ["E"] * 3 and [got[i][0] for i in (30, 31, 32)] == [None] * 3
     assert (rounds[1], rounds[20], rounds[21], rounds[10]) == (2, 1, 2, 0) and len(rows) == scan.count()
+
+
+def links(spark, rows):
+    return spark.createDataFrame(rows, "loser long, winner long")
+
+
+def test_closure_of_chains_and_cycles(spark):
+    rows = [(i, i - 1) for i in range(2, 12)]  # a chain of ten
+    rows += [(20, 21), (21, 22), (22, 20), (23, 22), (19, 23)]  # a cycle with a tail whose ids are smaller and larger
+    rows += [(30, 31), (31, 30), (40, 40), (50, 52), (50, 51), (51, None), (60, 61)]
+    got = {r.loser: r.winner for r in M.closure(links(spark, rows)).collect()}
+    assert got == {**{i: 1 for i in range(2, 12)}, 21: 20, 22: 20, 23: 20, 19: 20, 31: 30, 50: 51, 60: 61}
+    assert M.closure(links(spark, [])).count() == 0
+
+
+def test_merge_of_children(spark):
+    product = spark.createDataFrame([(1, "g1", "one"), (2, "g2", "two"), (3, None, "three"), (4, "g4", "four")], "id long, gtin string, name_en string")
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    out = M.merge(
+        product,
+        links(spark, [(3, 2), (2, 1), (9, 1)]),
+        "admin",
+        "test",
+        prices=frame([(1, 3), (2, 4), (3, None)], "id long, product_id long"),
+        reports=frame([(1, "g2"), (2, "g4"), (3, None)], "id long, gtin string"),
+        images=frame([(1, 3, "u"), (2, 2, "u"), (3, 1, "v"), (4, 2, "v"), (5, 8, "v"), (6, None, "v")], "id long, product_id long, url string"),
+        allergens=frame([(2, "milk"), (3, "milk"), (3, "nuts")], "product_id long, allergen_key string"),
+        nutrition=frame([(3, 7.0), (2, 5.0), (4, 1.0)], "product_id long, fat double"),
+    )
+    rows = lambda name, *cols: sorted((tuple(r) for r in out[name].select(*cols).collect()), key=str)
+    assert rows("product", "id") == [(1,), (4,)]
+    assert rows("prices", "id", "product_id") == [(1, 1), (2, 4), (3, None)]
+    assert rows("reports", "id", "gtin") == [(1, "g1"), (2, "g4"), (3, None)]
+    assert rows("images", "id", "product_id", "url") == [(2, 1, "u"), (3, 1, "v"), (5, 8, "v"), (6, None, "v")]
+    assert rows("allergens", "product_id", "allergen_key") == [(1, "milk"), (1, "nuts")]
+    assert rows("nutrition", "product_id", "fat") == [(1, 5.0), (4, 1.0)]
+    assert rows("merge_log", "winner_id", "loser_id", "winner_gtin", "loser_gtin", "winner_name") == [(1, 2, "g1", "g2", "one"), (1, 3, "g1", None, "one")]
+
+
+def one_by_one(rows):
+    """The clusters of rows (id, gtin, brand, name, weight) as they come in."""
+    import re
+
+    import duckdb
+
+    far = lambda x, y: duckdb.execute("SELECT levenshtein(?, ?)", [x, y]).fetchone()[0]
+    founders, holders, out = [], {}, {}
+    for i, gtin, brand, name, weight in sorted(rows):
+        if gtin in holders and gtin:
+            out[i] = (out[holders[gtin]][0], "gtin")
+            continue
+        if gtin:
+            holders[gtin] = i
+        if re.search("bundle|pack", (name or "").lower()):
+            out[i] = (None, "rejected")
+            continue
+        brand, n = (brand or "").strip(), " ".join(re.sub(r"[^A-Za-z0-9_\s]", "", (name or "").lower()).split())
+        generic = brand.lower() in ("", "generic")
+        if generic and (not weight or not gtin):
+            out[i] = (i, "weak")
+            continue
+        hit = next((f for f, b, w, m in founders if (b, w) == (brand, weight) and n and m and 1 - far(n, m) / max(len(n), len(m)) > 0.85), None)
+        out[i] = (hit, "name") if hit is not None else (i, "new")
+        if hit is None:
+            founders.append((i, brand, weight, n))
+    return out
+
+
+def test_cluster_equals_rows_one_by_one(spark):
+    rng = random.Random(8)
+    base = [f"{a} {b} drops" for a in ("sweet lemon", "sour cherries", "dark honey") for b in ("with mint", "and ginger")]
+
+    def drifted():  # one to three letters off: chains in which neighbours are similar and ends are not
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice("abcxyz")
+        return "".join(t)
+
+    rows = [(i, rng.choice([None, f"g{rng.randrange(300)}"]), rng.choice(["b", "b", "b ", "c", "", "Generic"]), drifted(), rng.choice([10.0, 10.0, None])) for i in range(300)]
+    rows += [(400, None, "b", "bundle of two", 10.0), (401, None, "b", None, 10.0), (402, None, "b", "لبن", 10.0), (403, None, "b", "لبن", 10.0), (404, None, None, "x", None), (405, "z", "b", "x", 0.0)]
+    df = spark.createDataFrame(rows, "id long, gtin string, brand string, name string, weight double").repartition(3)
+    got = {r.id: (r.cluster_id, r.how) for r in G.cluster(df).collect()}
+    assert got == one_by_one(rows)
+    assert Counter(how for _, how in got.values())["name"] > 50
+
+
+def test_cluster_of_one_large_block(spark):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(18)) for _ in range(10_500)]
+    rows = [(i, None, "b", n, 10.0) for i, n in enumerate(names)] + [(20_000 + i, None, "b", f"{names[i][:-1].upper()}!z", 10.0) for i in range(0, 10_500, 50)]
+    got = {r.id: r.cluster_id for r in G.cluster(spark.createDataFrame(rows, "id long, gtin string, brand string, name string, weight double")).collect()}
+    assert len(got) == len(rows) and all(got[20_000 + i] == i for i in range(0, 10_500, 50))
+    assert all(got[c] == c and c <= i for i, c in got.items())

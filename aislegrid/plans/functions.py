@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
+from aislegrid.operators.vectors import nearest
 from aislegrid.sources.adapters import ADAPTERS, view
 
 from .registry import portable, query
@@ -185,34 +186,38 @@ SELECT p.id, coalesce(p.nutri_score_grade, s.grade) AS grade, p.nutri_score_grad
 VECTOR_SQL = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 
 
-def vector_pairs(spark, d):
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({VECTOR_SQL}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def num_cosine(spark, d):
+    """Each vector and the one of the next id."""
     v = view(spark, d, "embeddings")
-    a, b = v.where("vec_id % 25 = 0").alias("a"), v.alias("b")
-    return a.join(b, F.expr("a.label = b.label AND a.vec_id <> b.vec_id"))
-
+    a, b = v.alias("a"), v.alias("b")
+    pairs = a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
+    return pairs.select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"), F.round(N.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({VECTOR_SQL}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id")
-def num_cosine(spark, d):
-    return vector_pairs(spark, d).select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"), F.round(N.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
+def _topk_sql(also: str = "") -> str:
+    return f"""SELECT query_id, vec_id, cosine, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rn FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round({VECTOR_SQL}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id{also})) WHERE rn <= 5"""
 
-TOPK_SQL = f"""SELECT query_id, vec_id, round(cosine, 6) AS cosine, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rn FROM (
-  SELECT a.vec_id AS query_id, b.vec_id, {VECTOR_SQL} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id)) WHERE rn <= 5"""
 
+def _cosine_topk(spark, d, by: tuple[str, ...] = ()):
+    v = view(spark, d, "embeddings")
+    return nearest(v, v, 5, by=by, apart=True, id_col="vec_id").withColumnRenamed("score", "cosine")
 
-def _cosine_topk(spark, d):
-    from pyspark.sql import Window
 
-    scored = vector_pairs(spark, d).select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"), N.dot(F.col("a.embedding"), F.col("b.embedding")).alias("cosine"))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where("place <= 5")
-    return best.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "place")
+@query(_topk_sql())
+def join_cosine_topk(spark, d):
+    """The five nearest of every vector."""
+    return _cosine_topk(spark, d)
 
 
-query(TOPK_SQL, "join_cosine_topk")(_cosine_topk)
-query(TOPK_SQL, "win_topk_cosine")(_cosine_topk)
+@query(_topk_sql(" AND a.label = b.label"))
+def win_topk_cosine(spark, d):
+    """The five nearest of every vector within its label."""
+    return _cosine_topk(spark, d, ("label",))
 
 
-@query(f"SELECT query_id, max(CASE WHEN place = 1 THEN cosine END) AS best, max(CASE WHEN place = 1 THEN cosine END) >= 0.75 AND max(CASE WHEN place = 1 THEN cosine END) - coalesce(max(CASE WHEN place = 2 THEN cosine END), -1) >= 0.05 AS dominant FROM ({TOPK_SQL}) GROUP BY query_id")
+@query(f"SELECT query_id, max(CASE WHEN place = 1 THEN cosine END) AS best, max(CASE WHEN place = 1 THEN cosine END) >= 0.75 AND max(CASE WHEN place = 1 THEN cosine END) - coalesce(max(CASE WHEN place = 2 THEN cosine END), -1) >= 0.05 AS dominant FROM ({_topk_sql()}) GROUP BY query_id")
 def num_dominant(spark, d):
     at = lambda n: F.max(F.when(F.col("place") == n, F.col("cosine")))
     return _cosine_topk(spark, d).groupBy("query_id").agg(at(1).alias("best"), ((at(1) >= 0.75) & (at(1) - F.coalesce(at(2), F.lit(-1.0)) >= 0.05)).alias("dominant"))

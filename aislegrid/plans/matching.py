@@ -9,6 +9,7 @@ from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
 from aislegrid.operators import cascade as C
 from aislegrid.operators import clustering as G
+from aislegrid.operators import enrichment as E
 from aislegrid.operators import matching as M
 from aislegrid.sources.adapters import ADAPTERS, view
 
@@ -241,18 +242,7 @@ SELECT product_id, donor_id, cosine FROM (SELECT *, row_number() OVER (PARTITION
 def join_donor_candidates(spark, d):
     """Products without a grade: graded ones of their brand, code prefix or category, the five nearest by vector, of a cosine of at least 0.85."""
     rows = view(spark, d, "graded_vector")
-    ask, give = rows.where("grade IS NULL"), rows.where("grade IS NOT NULL")
-    pairs = None
-    for key in ("brand", "prefix", "category"):
-        own = ask.select(F.col("id").alias("product_id"), key).join(give.select(F.col("id").alias("donor_id"), key), key).select("product_id", "donor_id")
-        pairs = own if pairs is None else pairs.unionByName(own)
-    unit = lambda df, name, out: df.select(F.col("id").alias(name), F.col("embedding").alias(out))
-    pairs = pairs.distinct().join(unit(ask, "product_id", "x"), "product_id").join(unit(give, "donor_id", "y"), "donor_id")
-    norm = lambda v: N.dot(v, v)
-    cosine = F.round(N.dot(F.col("x"), F.col("y")) / F.sqrt(norm(F.col("x")) * norm(F.col("y"))), 6)
-    best = Window.partitionBy("product_id").orderBy(F.desc("cosine"), "donor_id")
-    near = pairs.select("product_id", "donor_id", cosine.alias("cosine")).where("cosine >= 0.85")
-    return near.withColumn("rn", F.row_number().over(best)).where("rn <= 5").drop("rn")
+    return E.donors(rows.where("grade IS NULL"), rows.where("grade IS NOT NULL"))
 
 
 def linker_sql(name_a: str, name_b: str, brand_a: str, brand_b: str) -> str:
@@ -332,22 +322,47 @@ def num_match_score_linker(spark, d):
     return best.withColumn("tier", F.when(F.col("score") >= 60, "link").when(F.col("score") >= 45, "review").otherwise("discard"))
 
 
-ENRICHED_SQL = """
-WITH pairs AS (SELECT a.vec_id AS product_id, b.vec_id AS donor_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY cosine DESC, donor_id) AS rn FROM pairs) WHERE rn = 1)
-SELECT product_id, donor_id, round(cosine, 6) AS cosine, concat_ws(',', CASE WHEN cosine >= 0.85 THEN 'nutrition' END, CASE WHEN cosine >= 0.88 THEN 'image' END, CASE WHEN cosine >= 0.9 THEN 'name_ar' END) AS borrowed FROM best"""
+# Products with fields missing here and there.
+ADAPTERS["rich_product"] = """SELECT p.id, p.brand, p.category, substr(c.code, 1, 3) AS prefix, p.net_weight_value AS weight,
+  CASE WHEN p.id % 4 = 0 THEN '' ELSE concat('اسم ', cast(p.id AS string)) END AS name_ar, CASE WHEN p.has_nutrition THEN concat('kcal ', cast(p.id * 37 % 900 AS string)) END AS nutrition,
+  CASE WHEN p.ingredient_count > 0 THEN concat('water, ', p.plain_name) END AS ingredients, CASE WHEN p.id % 5 < 2 THEN 'gluten' END AS allergens, CASE WHEN p.id % 3 > 0 THEN concat('https://img.example/', cast(p.id AS string)) END AS image,
+  p.nutri_score_grade AS grade, CASE WHEN p.id % 6 > 1 THEN cast(p.id % 6 AS string) END AS nova, e.embedding
+  FROM product p JOIN coded_row c ON c.id = p.id JOIN embeddings e ON e.vec_id = p.id % (SELECT count(*) FROM embeddings)"""
+_gives = {f: f"d.{f} <> ''" for f in E.RULES} | {"grade": "regexp_matches(d.grade, '^[a-eA-E]$')", "nova": "regexp_matches(d.nova, '^[1-4]$')"}
+_asks = {f: f"coalesce(p.{f}, '') = ''" for f in E.RULES} | {"ingredients": "true", "name_ar": "length(coalesce(p.name_ar, '')) <= 2"}
+_SAME_WEIGHT = "abs(d.weight - p.weight) / greatest(p.weight, d.weight) <= 0.2"
+_fields = " UNION ALL ".join(
+    f"SELECT product_id, '{f}' AS field, donor_id, cosine, d.{f} AS value FROM pairs JOIN rich_product p ON p.id = product_id JOIN rich_product d ON d.id = donor_id WHERE cosine >= {least} AND {_asks[f]} AND {_gives[f]}" + " AND p.brand = d.brand" * brand + f" AND {_SAME_WEIGHT}" * weight
+    for f, (least, brand, weight) in E.RULES.items()
+)
+ENRICHED_CTES = f"""WITH met AS (SELECT DISTINCT p.id AS product_id, d.id AS donor_id, p.embedding AS x, d.embedding AS y FROM rich_product p JOIN rich_product d ON p.id <> d.id AND (p.brand = d.brand OR p.prefix = d.prefix OR p.category = d.category)),
+scored AS (SELECT product_id, donor_id, round(list_inner_product(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])) / sqrt(list_inner_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[])) * list_inner_product(CAST(y AS DOUBLE[]), CAST(y AS DOUBLE[]))), 6) AS cosine FROM met),
+pairs AS (SELECT product_id, donor_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY cosine DESC, donor_id) AS rn FROM scored WHERE cosine >= 0.85) WHERE rn <= 5),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field ORDER BY cosine DESC, donor_id) AS rn FROM ({_fields})) WHERE rn = 1)"""
+ENRICHED_SQL = f"{ENRICHED_CTES} SELECT product_id, field, donor_id, cosine, value FROM kept"
+
+
+def _enriched(spark, d):
+    rows = view(spark, d, "rich_product")
+    return E.borrow(rows.drop("embedding", "category", "prefix"), E.donors(rows, rows))
 
 
 @query(ENRICHED_SQL)
 def pipe_enrichment(spark, d):
-    v = view(spark, d, "embeddings")
-    a, b = v.where("vec_id % 10 = 0").alias("a"), v.where("vec_id % 10 <> 0").alias("b")
-    pairs = a.join(b, F.expr("a.label = b.label")).select(F.col("a.vec_id").alias("scan_id"), F.col("b.vec_id").alias("pool_id"), N.dot(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
-    borrowed = F.concat_ws(",", *[F.when(F.col("score") >= t, F.lit(k)) for k, t in (("nutrition", 0.85), ("image", 0.88), ("name_ar", 0.9))])
-    return M.best_of(pairs, -2.0).select(F.col("scan_id").alias("product_id"), F.col("pool_id").alias("donor_id"), F.round("score", 6).alias("cosine"), borrowed.alias("borrowed"))
+    """The fields that each product borrows, with their donors."""
+    return E.borrowed(_enriched(spark, d))
+
+
+_score = lambda has: "round((" + " + ".join(f"CASE WHEN {has(f)} THEN 1 ELSE 0 END" for f in E.RULES) + f") * 100.0::DOUBLE / {len(E.RULES)}, 2)"
+_own = lambda f: f"coalesce({f}, '') <> ''"
+
+
+@query(f"""{ENRICHED_CTES}, got AS (SELECT product_id, list(field) AS fields FROM kept GROUP BY product_id)
+SELECT id, {_score(_own)} AS score_before, {_score(lambda f: f"({_own(f)} OR coalesce(list_contains(fields, '{f}'), false))")} AS score_after FROM rich_product LEFT JOIN got ON product_id = id""")
+def pipe_enrichment_scores(spark, d):
+    return _enriched(spark, d).select("id", "score_before", "score_after")
 
 
-@query(f"SELECT field, count(*) AS n, round(avg(cosine), 4) AS avg_cosine FROM (SELECT cosine, unnest(string_split(borrowed, ',')) AS field FROM ({ENRICHED_SQL})) GROUP BY field")
+@query(f"SELECT field, count(*) AS n, round(avg(cosine), 4) AS avg_cosine FROM ({ENRICHED_SQL}) GROUP BY field")
 def agg_avg_cosine(spark, d):
-    rows = pipe_enrichment(spark, d).select("cosine", F.explode(F.split("borrowed", ",")).alias("field"))
-    return rows.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 4).alias("avg_cosine"))
+    return pipe_enrichment(spark, d).groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 4).alias("avg_cosine"))

@@ -11,6 +11,7 @@ from aislegrid.functions import text as T
 from aislegrid.sources import feeds as S
 from aislegrid.sources.adapters import view
 from aislegrid.sources.shared import scratch
+from aislegrid.streaming import control
 from aislegrid.streaming import price_changes as P
 
 from .functions import DHASH_SQL, pixels
@@ -295,7 +296,14 @@ CHANGES_SQL = """SELECT product_id, action, count(*) AS n FROM (SELECT product_i
 
 @query(CHANGES_SQL)
 def stream_stateful_price(spark, d):
-    return drained(spark, price_rows(spark, d), P.price_changes).groupBy("product_id", "action").agg(F.count("*").alias("n"))
+    """All price rows as a stream in two parts: the query stops in between and goes on from its checkpoint."""
+    source, out, state, check = (scratch(spark, f"prices-{x}") for x in ("in", "out", "state", "check"))
+    rows = price_rows(spark, d)
+    middle = rows.agg(F.percentile_approx(F.unix_timestamp("scraped_at"), 0.5)).first()[0] or 0
+    for part in (F.unix_timestamp("scraped_at") <= middle, F.unix_timestamp("scraped_at") > middle):
+        rows.where(part).write.mode("append").parquet(source)
+        P.write_price_changes(spark.readStream.schema(rows.schema).parquet(source), out, state, check).awaitTermination()
+    return spark.read.parquet(out).groupBy("product_id", "action").agg(F.count("*").alias("n"))
 
 
 @query(CHANGES_SQL)
@@ -346,9 +354,27 @@ def stream_dedupe_job(spark, d):
     return drained(spark, rows.unionAll(rows), P.once_each).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, user_id, errors >= 5 AS degraded FROM (SELECT event_id, user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS errors FROM events)")
-def stream_degrade(spark, d):
-    from pyspark.sql import Window
+def in_two_parts(spark, d, of) -> DataFrame:
+    """What a streaming query writes over the events: it runs over the earlier half, stops, and goes on from its checkpoint over the later one."""
+    source, out, check = (scratch(spark, f"events-{x}") for x in ("in", "out", "check"))
+    rows = view(spark, d, "events").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    middle = rows.agg(F.percentile_approx(F.unix_timestamp("ts"), 0.5)).first()[0] or 0
+    with control.rocksdb(spark):
+        for part in (F.unix_timestamp("ts") <= middle, F.unix_timestamp("ts") > middle):
+            rows.where(part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).parquet(source)
+            of(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return view(spark, d, "events").select("event_id", "user_id", (F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w) >= 5).alias("degraded"))
+@query("SELECT event_id, CAST(user_id AS BIGINT) AS user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY ts, event_id) AS rn FROM events) x WHERE rn <= 2")
+def stream_throttle(spark, d):
+    """Two events a user and day, by a budget in the stream's state."""
+    return in_two_parts(spark, d, control.throttled)
+
+
+@query("""SELECT event_id, CAST(user_id AS BIGINT) AS user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w >= 5 AS degraded
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
+def stream_degrade(spark, d):
+    """Whether a user's last fifty events hold five errors, by a ring in the stream's state."""
+    return in_two_parts(spark, d, control.degraded)

@@ -206,4 +206,3 @@ WITH existing AS (SELECT gtin FROM product WHERE gtin LIKE '628%' AND id % 2 = 0
 SELECT i.gtin, i.id FROM incoming i LEFT JOIN existing e ON e.gtin = i.gtin WHERE e.gtin IS NULL""")
 portable("scan_id_keyset_copy", "SELECT p.id, p.name_en FROM product p WHERE p.id > 100 AND p.id NOT IN (SELECT id FROM product WHERE id % 4 = 0) ORDER BY p.id LIMIT 500")
 portable("stream_negative_cache", "SELECT e.event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS missed FROM events WHERE event_type = 'error' GROUP BY user_id) m ON m.user_id = e.user_id AND m.missed >= TIMESTAMP '2024-01-29 00:00:00' WHERE m.user_id IS NULL")
-portable("stream_throttle", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY ts, event_id) AS rn FROM events) x WHERE rn <= 2")

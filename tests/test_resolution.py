@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from aislegrid.functions import text as T
 from aislegrid.operators import cascade as C
 from aislegrid.operators import clustering as G
+from aislegrid.operators import enrichment as E
 from aislegrid.operators import merge as M
 from aislegrid.operators import similarity, vectors
+from aislegrid.streaming import control
+from aislegrid.streaming import price_changes as P
 
 
 def dice(x, y):
@@ -220,3 +223,63 @@ def test_cluster_of_one_large_block(spark):
     got = {r.id: r.cluster_id for r in G.cluster(spark.createDataFrame(rows, "id long, gtin string, brand string, name string, weight double")).collect()}
     assert len(got) == len(rows) and all(got[20_000 + i] == i for i in range(0, 10_500, 50))
     assert all(got[c] == c and c <= i for i, c in got.items())
+
+
+def test_borrowing_takes_the_best_donor_of_each_field(spark):
+    kind = "id long, brand string, weight double, " + ", ".join(f"{f} string" for f in E.RULES)
+    rows = [
+        (1, "b", 100.0, "", None, "own", None, None, None, None),
+        (2, "B", 110.0, "اسم", None, None, "milk", None, "A", "2"),
+        (3, "b", 300.0, "اسم ٣", "kcal", "water", None, "u3", "B", "9"),
+        (4, "x", 100.0, "اسم ٤", "kcal", "oil", "nuts", "u4", "C", "3"),
+        (5, "b", 90.0, None, "kcal 5", None, "gluten", "", "q", "4"),
+        (6, None, None, None, None, None, None, None, None, None),
+    ]
+    pairs = [(1, 2, 0.95), (1, 3, 0.89), (1, 4, 0.91), (1, 5, 0.86), (1, 6, 0.99), (4, 1, 0.99)]
+    out = E.borrow(spark.createDataFrame(rows, kind), spark.createDataFrame(pairs, "product_id long, donor_id long, cosine double"))
+    got = {(r.product_id, r.field): (r.donor_id, r.value) for r in E.borrowed(out).collect()}
+    assert got == {(1, "name_ar"): (2, "اسم"), (1, "nutrition"): (5, "kcal 5"), (1, "ingredients"): (3, "water"), (1, "allergens"): (2, "milk"), (1, "image"): (4, "u4"), (1, "grade"): (2, "A"), (1, "nova"): (2, "2")}
+    scores = {r.id: (r.score_before, r.score_after) for r in out.collect()}
+    assert scores[1] == (14.29, 100.0) and scores[6] == (0.0, 0.0) and len(scores) == 6
+
+
+def test_price_changes_over_many_batches(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(5), 1, rng.randrange(2), float(rng.randrange(3)), i) for i in range(400)]
+    kind = "id long, product_id long, merchant_id long, store_id long, price double, t long"
+    df = spark.createDataFrame(rows, kind).withColumn("scraped_at", F.timestamp_seconds("t")).drop("t")
+    source, out, state, check = (str(tmp_path / x) for x in ("in", "out", "state", "check"))
+    for a in range(0, 400, 20):  # a batch of its own each, each time from the checkpoint
+        df.where((F.col("id") >= a) & (F.col("id") < a + 20)).coalesce(1).write.mode("append").parquet(source)
+        P.write_price_changes(spark.readStream.schema(df.schema).parquet(source), out, state, check).awaitTermination()
+    last, wanted = {}, {}
+    for i, p, m, s, price, _ in rows:
+        wanted[i] = "touch" if last.get((p, m, s)) == price else "insert"
+        last[p, m, s] = price
+    assert {r.id: r.action for r in spark.read.parquet(out).collect()} == wanted
+    assert len(list((tmp_path / "state" / "snapshot").iterdir())) == 2
+
+
+def test_budget_and_ring_go_on_after_a_stop(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted((rng.randrange(4 * 86_400), i, rng.randrange(3), rng.choice(["error", "ok", "ok"])) for i in range(600))
+    df = spark.createDataFrame([(i, u, k, t) for t, i, u, k in rows], "event_id long, user_id long, event_type string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    cuts = [0, 150, 151, 420, 600]
+    got = {}
+    for name, of in (("budget", control.throttled), ("ring", control.degraded)):
+        source, out, check = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "check"))
+        with control.rocksdb(spark):
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                ids = [i for _, i, _, _ in rows[a:b]]
+                df.where(F.col("event_id").isin(ids)).write.mode("append").parquet(source)
+                of(spark.readStream.schema(df.schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        got[name] = spark.read.parquet(out).collect()
+    used, rings, let, flags = Counter(), {}, set(), {}
+    for t, i, u, k in rows:
+        used[u, t // 86_400] += 1
+        if used[u, t // 86_400] <= control.BUDGET:
+            let.add(i)
+        rings.setdefault(u, []).append(k == "error")
+        flags[i] = sum(rings[u][-control.RING :])
+    assert {r.event_id for r in got["budget"]} == let and len(got["budget"]) == len(let)
+    assert {r.event_id: (r.errors, r.degraded) for r in got["ring"]} == {i: (n, n >= control.MOST_ERRORS) for i, n in flags.items()}

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .registry import portable
+from pyspark.sql import functions as F
+
+from aislegrid.sources.adapters import view
+from aislegrid.sources.shared import scratch
+from aislegrid.sources.sync import current, sync
+
+from .registry import portable, query, with_views
 
 AS_OF = "TIMESTAMP '2001-06-01 00:00:00'"
 #: Great-circle kilometres from a fixed shopper's place.
@@ -39,7 +45,7 @@ near AS (SELECT l.product_id, s.merchant_id, l.store_id, l.price_sar_incl_vat, r
 SELECT product_id, merchant_id, store_id, price_sar_incl_vat, round(km, 3) AS km FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id ORDER BY km, price_sar_incl_vat, store_id) AS rn FROM near) x WHERE rn = 1""")
 
-portable("win_basket_best", f"""
+BASKET_SQL = f"""
 WITH {LATEST_STORE},
 basket AS (SELECT id AS product_id, cast(1 + id % 3 AS double) AS quantity FROM product WHERE id % 100 < 5),
 offers AS (SELECT l.store_id, count(*) AS covered, round(sum(l.price_sar_incl_vat * b.quantity), 4) AS total FROM latest l JOIN basket b ON l.product_id = b.product_id GROUP BY l.store_id),
@@ -47,7 +53,25 @@ full_offers AS (SELECT o.*, round({KM}, 6) AS km FROM offers o JOIN store s ON o
 best AS (SELECT * FROM full_offers WHERE covered = (SELECT max(covered) FROM full_offers)),
 cheap AS (SELECT store_id FROM best ORDER BY total, store_id LIMIT 1), near AS (SELECT store_id FROM best ORDER BY km, total, store_id LIMIT 1),
 chosen AS (SELECT store_id, max(cheapest) AS cheapest, max(nearest) AS nearest FROM (SELECT store_id, 1 AS cheapest, 0 AS nearest FROM cheap UNION ALL SELECT store_id, 0, 1 FROM near) x GROUP BY store_id)
-SELECT b.store_id, b.covered, round(b.total, 2) AS total, round(b.km, 3) AS km, c.cheapest = 1 AS cheapest, c.nearest = 1 AS nearest FROM best b JOIN chosen c ON c.store_id = b.store_id""")
+SELECT b.store_id, b.covered, round(b.total, 2) AS total, round(b.km, 3) AS km, c.cheapest = 1 AS cheapest, c.nearest = 1 AS nearest FROM best b JOIN chosen c ON c.store_id = b.store_id"""
+_OFFERS_SQL = f"""
+WITH {LATEST_STORE},
+basket AS (SELECT id AS product_id, cast(1 + id % 3 AS double) AS quantity FROM product WHERE id % 100 < 5),
+offers AS (SELECT l.store_id, count(*) AS covered, round(sum(l.price_sar_incl_vat * b.quantity), 4) AS total FROM latest l JOIN basket b ON l.product_id = b.product_id GROUP BY l.store_id)
+SELECT o.*, round({KM}, 6) AS km FROM offers o JOIN store s ON o.store_id = s.id"""
+
+
+@query(BASKET_SQL)
+def win_basket_best(spark, d):
+    """Of the stores that have the most of a basket the cheapest and the nearest, in one aggregate over the stores' offers."""
+    offers = spark.sql(with_views(_OFFERS_SQL, d))
+    row = F.struct("store_id", "covered", "total", "km")
+    best = lambda *order: F.max_by(row, F.struct("covered", *[(-F.col(c)).alias(c) for c in order]))
+    both = offers.agg(best("total", "store_id").alias("cheap"), best("km", "total", "store_id").alias("near"))
+    cases = F.array(F.struct(F.col("cheap").alias("o"), F.lit(True).alias("cheapest"), F.lit(False).alias("nearest")), F.struct(F.col("near").alias("o"), F.lit(False).alias("cheapest"), F.lit(True).alias("nearest")))
+    rows = both.select(F.explode(cases).alias("x")).where("x.o IS NOT NULL").groupBy("x.o").agg(F.max("x.cheapest").alias("cheapest"), F.max("x.nearest").alias("nearest"))
+    return rows.select("o.store_id", "o.covered", F.round("o.total", 2).alias("total"), F.round("o.km", 3).alias("km"), "cheapest", "nearest")
+
 
 portable("win_price_tier", f"""
 WITH {LATEST_STORE},
@@ -116,8 +140,17 @@ portable("agg_error_ring", """SELECT event_id, cast(sum(CASE WHEN event_type = '
   sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) >= 5 AS degraded FROM events""")
 portable("agg_latency_avg5", """SELECT event_id, round(greatest(3000, least(6000, CASE WHEN count(value) OVER w < 2 THEN 6000 ELSE avg(value * 50) OVER w * 2 END)), 4) AS delay_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 portable("agg_max_watermark", "SELECT cast(max(scraped_at) AS date) AS high_water FROM product_price")
-portable("cdc_incremental_sync", """
-WITH hwm AS (SELECT max(scraped_at) - INTERVAL '60' SECOND - INTERVAL '30' DAY AS since FROM product_price WHERE in_stock),
-changed AS (SELECT p.* FROM product_price p CROSS JOIN hwm WHERE p.scraped_at >= hwm.since)
-SELECT product_id, id, price_sar_incl_vat FROM (SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id, store_id ORDER BY scraped_at DESC, id DESC) AS rn FROM changed) x WHERE rn = 1""")
+
+
+@query("""SELECT product_id, merchant_id, store_id, id, price_sar_incl_vat FROM (SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id, store_id ORDER BY scraped_at DESC, id DESC) AS rn FROM product_price WHERE store_id IS NOT NULL) x WHERE rn = 1""")
+def cdc_incremental_sync(spark, d):
+    """A copy of the last prices of all keys, made in two runs: one over the earlier half of the rows, one over what has come since, with an overlap."""
+    rows = view(spark, d, "product_price").where("store_id IS NOT NULL").select("id", "product_id", "merchant_id", "store_id", "price_sar_incl_vat", F.col("scraped_at").cast("timestamp").alias("scraped_at"))
+    target, keys = scratch(spark, "sync"), ["product_id", "merchant_id", "store_id"]
+    middle = rows.agg(F.percentile_approx(F.unix_timestamp("scraped_at"), 0.5)).first()[0] or 0
+    sync(rows.where(F.unix_timestamp("scraped_at") <= middle), target, keys)
+    sync(rows, target, keys)
+    return current(spark, f"{target}/rows", rows.schema).select(*keys, "id", "price_sar_incl_vat")
+
+
 portable("scan_keyset_paged", "SELECT id, product_id, cast(scraped_at AS date) AS day FROM product_price WHERE scraped_at < TIMESTAMP '1999-01-01 00:00:00' ORDER BY scraped_at DESC, id DESC LIMIT 500")

@@ -13,6 +13,7 @@ from aislegrid.operators import clustering as G
 from aislegrid.operators import enrichment as E
 from aislegrid.operators import merge as M
 from aislegrid.operators import similarity, vectors
+from aislegrid.sources.sync import current, sync
 from aislegrid.streaming import control
 from aislegrid.streaming import price_changes as P
 
@@ -283,3 +284,23 @@ def test_budget_and_ring_go_on_after_a_stop(spark, tmp_path):
         flags[i] = sum(rings[u][-control.RING :])
     assert {r.event_id for r in got["budget"]} == let and len(got["budget"]) == len(let)
     assert {r.event_id: (r.errors, r.degraded) for r in got["ring"]} == {i: (n, n >= control.MOST_ERRORS) for i, n in flags.items()}
+
+
+def test_sync_in_pages_with_overlap_and_children(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(12), float(rng.randrange(9)), 1000 + 40 * (i // 3)) for i in range(120)]
+    frame = lambda rs: spark.createDataFrame(rs, "id long, product_id long, price double, t long").withColumn("scraped_at", F.timestamp_seconds("t")).drop("t")
+    kids = spark.createDataFrame([(p, k) for p in range(14) for k in range(2)], "product_id long, line int")
+    target, children = str(tmp_path / "t"), {"lines": (kids, "product_id", ["product_id", "line"])}
+    last = lambda rs: {p: (t, i, price) for i, p, price, t in sorted(rs, key=lambda r: (r[3], r[0]))}
+    stored = lambda: {r.product_id: (int(r.scraped_at.timestamp()), r.id, r.price) for r in current(spark, f"{target}/rows", frame(rows).schema).collect()}
+    assert sync(frame(rows), target, ["product_id"], page=50, children=children) == 50
+    assert stored() == last(rows[:50])
+    late = (500, 3, 77.0, rows[49][3] - 20)  # written later with a time before the mark, within the overlap
+    some = rows + [late, (501, 2, 1.0, 10)]  # the last is too old to be seen
+    assert sync(frame(some), target, ["product_id"], page=50, children=children) == 50
+    assert stored() == last(rows[:100] + [late])
+    assert sync(frame(some), target, ["product_id"], children=children) == 20 and sync(frame(some), target, ["product_id"]) == 0
+    assert stored() == last(rows + [late])
+    got = current(spark, f"{target}/lines", kids.schema).collect()
+    assert sorted((r.product_id, r.line) for r in got) == sorted((p, k) for p in last(rows) for k in range(2))

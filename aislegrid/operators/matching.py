@@ -82,17 +82,30 @@ def token_join(scan: DataFrame, pool: DataFrame, most: int = 40) -> DataFrame:
     return scan.select(F.col("id").alias("scan_id"), F.col("name").alias("name_l")).join(best, "name_l").select("scan_id", "pool_id", "shared")
 
 
-def pool_union(scan: DataFrame, pool: DataFrame) -> DataFrame:
-    """scan_id, gtin, priority: pool rows of the scan row's brand (1), of its 3-digit code prefix (2), or that share a token of its name (3); the least priority of each pair.
+def firsts(pool: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, gtin: the first `most` different codes of each key."""
+    codes = pool.select(*keys, "gtin").distinct()
+    return codes.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("gtin"))).where(F.col("rn") <= most).drop("rn")
 
-    Frames have id, brand, name, code (the digits read from the pack, or null); pool has gtin.
+
+def pool_union(scan: DataFrame, pool: DataFrame, most: int = 40) -> DataFrame:
+    """scan_id, gtin, priority: pool codes of the scan row's brand (1), of its 3-digit code prefix (2), or that share a token of its name (3), each with its least priority; the first
+    `most` of each scan row by priority and code.
+
+    Frames have id, brand, name, code (the digits read from the pack, or null); pool has gtin. Each pool's first codes are taken once for each brand, prefix and distinct name: as many as
+    can be left after those of the pools before it are out, so blocks are never paired row by row.
     """
     prefixed = lambda df: df.withColumn("prefix", N.gtin_prefix(F.col("code"))).where("prefix IS NOT NULL")
     left = lambda df, *keys: df.select(F.col("id").alias("scan_id"), *keys)
-    brand = left(scan.where("brand <> ''"), "brand").join(pool.select("brand", "gtin"), "brand").select("scan_id", "gtin", F.lit(1).alias("priority"))
-    prefix = left(prefixed(scan), "prefix").join(prefixed(pool).select("prefix", "gtin"), "prefix").select("scan_id", "gtin", F.lit(2).alias("priority"))
-    token = left(scan, F.col("name").alias("name_l")).join(shared_tokens(scan, pool), "name_l").join(pool.select(F.col("name").alias("name_r"), "gtin"), "name_r").select("scan_id", "gtin", F.lit(3).alias("priority"))
-    return brand.unionByName(prefix).unionByName(token).groupBy("scan_id", "gtin").agg(F.min("priority").alias("priority"))
+    found = lambda df, p: df.select("scan_id", "gtin", F.lit(p).alias("priority"))
+    brand = found(left(scan.where("brand <> ''"), "brand").join(firsts(pool, ["brand"], most), "brand"), 1)
+    prefix = found(left(prefixed(scan), "prefix").join(firsts(prefixed(pool), ["prefix"], 2 * most), "prefix"), 2)
+    of_name = firsts(pool.withColumnRenamed("name", "name_r"), ["name_r"], 3 * most)
+    of_names = firsts(shared_tokens(scan, pool).join(of_name, "name_r"), ["name_l"], 3 * most)
+    token = found(left(scan, F.col("name").alias("name_l")).join(of_names, "name_l"), 3)
+    both = brand.unionByName(prefix).unionByName(token).groupBy("scan_id", "gtin").agg(F.min("priority").alias("priority"))
+    w = Window.partitionBy("scan_id").orderBy("priority", "gtin")
+    return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
 def contained_in(texts: DataFrame, words: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from aislegrid.operators import cascade as C
 from aislegrid.operators import clustering as G
 from aislegrid.operators import enrichment as E
 from aislegrid.operators import matching as M
+from aislegrid.operators.similarity import similar_names
 from aislegrid.sources.adapters import ADAPTERS, view
 
 from .functions import conflicts_sql, dice_sql
@@ -221,8 +222,8 @@ ADAPTERS["coded_row"] = "SELECT id, gtin, brand, plain_name AS name, concat(lpad
 UNION_SQL = r"""WITH s AS (SELECT * FROM coded_row WHERE gtin LIKE 'SCAN-%'), p AS (SELECT * FROM coded_row WHERE gtin LIKE '628%'),
 st AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM s),
 pt AS (SELECT DISTINCT gtin, unnest(list_filter(regexp_extract_all(lower(name), '(\p{L}+|\p{N}+)'), lambda t: length(t) >= 2)) AS token FROM p)
-SELECT scan_id, gtin, CAST(min(priority) AS INTEGER) AS priority FROM (SELECT s.id AS scan_id, p.gtin, 1 AS priority FROM s JOIN p ON s.brand = p.brand
-  UNION ALL SELECT s.id, p.gtin, 2 FROM s JOIN p ON substr(s.code, 1, 3) = substr(p.code, 1, 3) UNION ALL SELECT DISTINCT st.id, pt.gtin, 3 FROM st JOIN pt ON st.token = pt.token) GROUP BY scan_id, gtin"""
+SELECT scan_id, gtin, priority FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY priority, gtin) AS rn FROM (SELECT scan_id, gtin, CAST(min(priority) AS INTEGER) AS priority FROM (SELECT s.id AS scan_id, p.gtin, 1 AS priority FROM s JOIN p ON s.brand = p.brand
+  UNION ALL SELECT s.id, p.gtin, 2 FROM s JOIN p ON substr(s.code, 1, 3) = substr(p.code, 1, 3) UNION ALL SELECT DISTINCT st.id, pt.gtin, 3 FROM st JOIN pt ON st.token = pt.token) GROUP BY scan_id, gtin)) WHERE rn <= 40"""
 
 
 @query(UNION_SQL)
@@ -279,11 +280,15 @@ def pipe_verify_gtin(spark, d):
 
 
 @query(f"""SELECT scan_id, pool_id, CASE WHEN score >= 0.85 THEN 'fast' WHEN bits <= 6 THEN 'image' ELSE 'threshold' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, bits, pool_id) AS rn FROM (
-  SELECT s.id AS scan_id, p.id AS pool_id, {DICE} AS score, {_bits} AS bits FROM scan_row s JOIN pool_row p ON s.brand = p.brand) WHERE score >= 0.50) WHERE rn = 1""")
+  SELECT s.id AS scan_id, p.id AS pool_id, {DICE} AS score, {_bits} AS bits FROM scan_row s JOIN pool_row p ON s.brand = p.brand AND coalesce(abs(s.weight - p.weight) <= greatest(s.weight, p.weight) * 0.1, true)) WHERE score >= 0.50) WHERE rn = 1""")
 def pipe_storefront_match(spark, d):
+    """Names of a brand that are half alike, without those whose sizes differ by over a tenth; the best by name, image hash and id."""
     s, p = scan(spark, d), pool(spark, d)
-    pairs = M.scored_pairs(s, p, ["brand"]).where("score >= 0.5").join(s.select(F.col("id").alias("scan_id"), F.col("hash").alias("h1")), "scan_id").join(p.select(F.col("id").alias("pool_id"), F.col("hash").alias("h2")), "pool_id")
-    pairs = pairs.withColumn("bits", N.hamming(F.col("h1"), F.col("h2")))
+    sized = lambda name, w: F.concat_ws(" ", name, F.concat(F.col(w).cast("int").cast("string"), F.lit("g")))
+    left = s.select(F.col("id").alias("scan_id"), "brand", F.col("name").alias("name_l"), F.col("weight").alias("a"), F.col("hash").alias("h1"))
+    right = p.select(F.col("id").alias("pool_id"), "brand", F.col("name").alias("name_r"), F.col("weight").alias("b"), F.col("hash").alias("h2"))
+    pairs = left.join(similar_names(s, p, ["brand"], 0.5), ["brand", "name_l"]).join(right, ["brand", "name_r"])
+    pairs = pairs.where(T.size_guard(sized(F.col("name_l"), "a"), sized(F.col("name_r"), "b"))).withColumn("bits", N.hamming(F.col("h1"), F.col("h2")))
     best = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), "bits", "pool_id"))).where("rn = 1")
     return best.select("scan_id", "pool_id", F.when(F.col("score") >= 0.85, "fast").when(F.col("bits") <= 6, "image").otherwise("threshold").alias("tier"))
 

@@ -11,11 +11,13 @@ QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 2_000, 8_000, 256
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """The vectors as rows; shorter ones are filled with zeros."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), at] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import settled
 from .topk import quantised
 
 CHUNK, LEAF, BROADCAST_ROWS = 8_192, 16, 100_000
+#: Chunks with their trees take some MB each, so that few go into one Arrow batch.
+CHUNKS_A_BATCH, BATCH = 4, "spark.sql.execution.arrow.maxRecordsPerBatch"
 TREE = "struct<points:array<int>,begin:array<int>,end:array<int>,centre:array<int>,radius:array<double>,child:array<int>,children:array<int>>"
 
 
@@ -152,10 +155,11 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
     books = [np.ascontiguousarray(filled[:, i * width : (i + 1) * width]) for i in range(parts)]
     kind = dict(rows.dtypes)["label"]
     trees = settled(kept.mapInArrow(_planter(parts, width, length), f"vec_ids array<bigint>, labels array<{kind}>, v array<bigint>, trees array<{TREE}>"), "trees")
-    for _ in range(rounds):
-        books = _next(trees, books, width)
+    with _few_chunks(spark):
+        for _ in range(rounds):
+            books = _next(trees, books, width)
+        coded = settled(trees.mapInArrow(_coder(books, width), f"vec_id long, label {kind}, code string, error long"), "codes")
     digest = hashlib.sha256(",".join(str(int(x)) for book in books for x in book.ravel()).encode()).hexdigest()
-    coded = settled(trees.mapInArrow(_coder(books, width), f"vec_id long, label {kind}, code string, error long"), "codes")
     odd = rows.where(F.size("v") != length).select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
     coded = coded.unionByName(odd)
     by_label = settled(coded.groupBy("label").agg(F.sum("error").alias("label_error")), "labels").withColumnRenamed("label", "l")
@@ -163,6 +167,17 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
     return coded.join(by_label, F.col("label").eqNullSafe(F.col("l")), "left").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+@contextmanager
+def _few_chunks(spark):
+    """Jobs that run inside read CHUNKS_A_BATCH chunks a batch."""
+    old = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, CHUNKS_A_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, old)
+
+
 def _planter(parts: int, width: int, length: int):
     """Chunks of a partition's rows with their trees."""
 

@@ -6,7 +6,7 @@ passes over the documents, cut into chunks:
 1. a chunk sends the (short) hashes of its anchors to buckets; a bucket returns those that more than one document has;
 2. a chunk sends the contexts of these anchors, equal ones once with their smallest doc_id, to buckets;
    a bucket keeps a logarithmic family of suffix arrays: the windows (suffixes cut at LENGTH bytes) of a batch of contexts, in doc_id order, get a sorted array, are
-   merge-scanned against the existing levels for full-length matches, and levels of equal size merge geometrically. It returns, for each context, the windows that start in a smaller document;
+   probed by binary search against the existing levels for full-length matches, and levels of equal size merge geometrically. It returns, for each context, the windows that start in a smaller document;
 3. a chunk marks the bytes of these windows and cuts them out.
 Nothing is sampled: anchors only decide where windows meet. Frequent strings cross the exchange once a chunk, not once an occurrence.
 

@@ -51,6 +51,21 @@ def grams_search(text: Column) -> Column:
     return F.when(unit.isin("kg", "l", "liter", "liters"), n * 1000).when(unit == "mg", n / 1000).otherwise(n)
 
 
+def measure(text: Column) -> tuple[Column, Column]:
+    """Value and unit (g or ml) of the first size in a text; 0 and null where there is none."""
+    pattern = r"([0-9]+\.?[0-9]*)\s*(g|kg|l|ml|cc|cl)"
+    n, unit = F.regexp_extract(F.lower(text), pattern, 1).try_cast("double"), F.regexp_extract(F.lower(text), pattern, 2)
+    value = F.when(unit.isin("kg", "l"), n * 1000).when(unit == "cl", n * 10).otherwise(n)
+    return F.coalesce(value, F.lit(0.0)), F.when(unit.isin("g", "kg"), "g").when(unit != "", "ml")
+
+
+def unit_price(price: Column, value: Column, unit: Column) -> tuple[Column, Column]:
+    """Price of a kilogram or litre of a pack, with the unit; null without a positive size of a known unit."""
+    per = F.when(F.lower(unit).isin("g", "ml"), value / 1000).when(F.lower(unit).isin("kg", "l"), value)
+    kind = F.when(F.lower(unit).isin("g", "kg"), "kg").when(F.lower(unit).isin("ml", "l"), "L")
+    return F.when(per > 0, round_half_up(price / per)), F.when(per > 0, kind)
+
+
 def weights_match_strict(db: Column, other: Column) -> Column:
     return F.when(db.isNull() & other.isNull(), True).when(db.isNull() | other.isNull(), False).otherwise(F.abs(db - other) <= db * 0.1)
 

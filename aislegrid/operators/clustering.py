@@ -36,6 +36,11 @@ def leaders(names: DataFrame, keys: list[str]) -> DataFrame:
     near = candidates(names, names, keys, DICE_BOUND).where((F.col("name_l") != F.col("name_r")) & (T.levenshtein_similarity(F.col("name_l"), F.col("name_r")) > SIMILAR))
     of = lambda side: names.select(*keys, F.col("name").alias(f"name_{side}"), F.col("first").alias(f"first_{side}"))
     edges = settled(near.join(of("l"), [*keys, "name_l"]).join(of("r"), [*keys, "name_r"]).where("first_r < first_l").select(*keys, F.col("name_l").alias("name"), F.col("name_r").alias("earlier"), "first_r"), "edges")
+    return settle_leaders(names, edges, keys)
+
+
+def settle_leaders(names: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name, leader of names (keys, name) and edges (keys, name, earlier, first_r): from a name to each earlier similar one and that one's place."""
     free = names.join(edges.select(*keys, "name").distinct(), [*keys, "name"], "left_anti").select(*keys, "name", F.lit(True).alias("leads"))
     decided = settled(free, "decided")
     while True:

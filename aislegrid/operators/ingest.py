@@ -76,8 +76,8 @@ def resolve(products: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFram
     first = rest.where("code IS NOT NULL").groupBy("code").agg(F.min("seq").alias("holder"))
     rest = rest.join(first, "code", "left").withColumn("holder", F.coalesce("holder", "seq"))
     generic = F.col("brand") == "Generic"
-    alone = (generic & ((F.col("size") == "") | F.col("code").isNull())) | (F.col("name") == "")
-    own = settled(rest.where("holder = seq").withColumn("alone", alone).withColumn("weak", alone & generic), "own")
+    weak = generic & ((F.col("size") == "") | F.col("code").isNull())
+    own = settled(rest.where("holder = seq").withColumn("weak", weak).withColumn("alone", weak | (F.col("name") == "")), "own")
 
     node = F.concat_ws("\u0001", "brand", "size", "name")
     nodes = settled(own.where("NOT alone").groupBy("brand", "size", "name").agg(F.min("seq").alias("first")).withColumn("node", node), "nodes")
@@ -115,12 +115,13 @@ def resolve(products: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def enriched(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """products with what offers (with product_id) add: texts and images only where there is none, from the first offer that has one; the tags of the last offer that has any."""
+    """products with what offers (with product_id) add: texts and images only where there is none, from the first offer that has one; the tags of the last offer that has any. Empty texts, lists and addresses count as none."""
     given = lambda c: F.when(F.length(c) > 0, F.col(c))
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("seq")))
     last = lambda c: F.max_by(c, F.when(F.size(c) > 0, F.col("seq")))
-    typed = lambda kind: F.get("image_urls", F.array_position("image_types", kind).cast("int") - 1)
-    front = F.when(F.size("image_urls") > 0, F.coalesce(typed("front"), F.get("image_urls", F.lit(0))))
+    image = lambda at: F.nullif(F.get("image_urls", at), F.lit(""))
+    typed = lambda kind: image(F.array_position("image_types", kind).cast("int") - 1)
+    front = F.coalesce(typed("front"), image(F.lit(0)))
     its = offers.where("product_id IS NOT NULL").groupBy(F.col("product_id").alias("its_id")).agg(
         first(given("name_ar")).alias("its_name_ar"),
         first(given("description")).alias("its_description_en"),
@@ -129,7 +130,7 @@ def enriched(products: DataFrame, offers: DataFrame) -> DataFrame:
         last(F.col("allergen_tags")).alias("its_allergen_tags"),
         last(F.col("ingredient_tags")).alias("its_ingredient_tags"),
         first(front).alias("its_image_front_url"),
-        first(F.when(F.size("image_urls") > 0, typed("nutrition"))).alias("its_image_nutrition_url"),
+        first(typed("nutrition")).alias("its_image_nutrition_url"),
     )
     rows = products.join(its, F.col("id") == F.col("its_id"), "left")
     texts = ["name_ar", "description_en", "description_ar", "subcategory", "image_front_url", "image_nutrition_url"]

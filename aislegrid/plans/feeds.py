@@ -9,7 +9,7 @@ from aislegrid.functions import markup as H
 from aislegrid.functions import numbers as N
 from aislegrid.functions import text as T
 from aislegrid.sources import feeds as S
-from aislegrid.sources.adapters import view
+from aislegrid.sources.adapters import ADAPTERS, view
 from aislegrid.sources.shared import scratch
 from aislegrid.streaming import control
 from aislegrid.streaming import price_changes as P
@@ -18,27 +18,34 @@ from .functions import DHASH_SQL, pixels
 from .registry import query
 
 
-def feed_lines(spark, d) -> DataFrame:
-    """Product feed lines made of the product view, with one blank and one malformed line for every hundredth product."""
-    p = view(spark, d, "product")
+def feed_lines(spark, d, rows: str = "product", *keep: str) -> DataFrame:
+    """Product feed lines made of the product view, with one blank and one malformed line for every hundredth product; columns to keep are null there."""
+    p = view(spark, d, rows)
     line = F.to_json(
         F.struct(
-            F.coalesce("gtin", F.lit("bad")).alias("code"),
+            F.coalesce("code" if "code" in p.columns else "gtin", F.lit("bad")).alias("code"),
             F.col("name_en").alias("product_name"),
             F.concat_ws(", ", "brand", F.lit("Other")).alias("brands"),
             F.concat(F.col("net_weight_value").cast("int").cast("string"), F.lit("g")).alias("quantity"),
             F.array(F.concat(F.lit("en:"), F.lower("category")), F.lit("en:second")).alias("categories_tags"),
             F.array(F.when(F.col("id") % 3 == 0, "en:saudi-arabia").otherwise("en:france")).alias("countries_tags"),
             F.array(F.lower("brand")).alias("brands_tags"),
-            F.array(F.lit("en:milk")).alias("allergens_tags"),
-            F.create_map(F.lit("energy-kcal_100g"), F.col("id").cast("string"), F.lit("fat_100g"), F.lit("12x"), F.lit("sugars_100g"), F.lit("3.5")).alias("nutriments"),
-            F.lit("water, sugar. salt").alias("ingredients_text"),
+            F.when(F.col("id") % 4 == 1, F.concat(F.lit("اسم "), "plain_name")).alias("product_name_ar"),
+            F.when(F.col("id") % 9 > 0, F.array_compact(F.array(F.when(F.col("id") % 2 == 0, "en:milk"), F.when(F.col("id") % 3 == 0, "nuts"), F.when(F.col("id") % 4 == 0, "en:milk")))).alias("allergens_tags"),
+            F.create_map(
+                F.lit("energy-kcal_100g"), F.when(F.col("id") % 8 > 0, F.col("id").cast("string")), F.lit("fat_100g"), F.when(F.col("id") % 8 > 0, "12x"), F.lit("sugars_100g"), F.when(F.col("id") % 7 > 0, "3.5").otherwise("n/a"),
+                F.lit("proteins_100g"), F.when(F.col("id") % 16 > 8, " .5g"),
+            ).alias("nutriments"),
+            F.when(F.col("id") % 4 != 0, F.concat_ws(", ", F.lit("water"), F.lit(" sugar. "), "plain_name")).alias("ingredients_text"),
+            F.when(F.col("id") % 4 == 3, F.array(F.struct(F.concat(F.lit(" "), "plain_name").alias("text")), F.struct(F.lit("").alias("text")), F.struct(F.lower("category").alias("text")))).when(F.col("id") % 8 == 2, F.array().cast("array<struct<text:string>>")).alias("ingredients"),
+            F.when(F.col("id") % 3 > 0, F.concat(F.lit("https://img.example/"), F.col("id").cast("string"))).alias("image_front_url"),
             F.lower("nutri_score_grade").alias("nutriscore_grade"),
             (F.col("id") % 6).cast("int").alias("nova_group"),
         )
     )
     extra = p.where("id % 100 = 0")
-    return p.select(line.alias("line")).unionAll(extra.select(F.lit("").alias("line"))).unionAll(extra.select(F.lit("{bad json").alias("line")))
+    none = [F.lit(None).alias(c) for c in keep]
+    return p.select(line.alias("line"), *keep).unionAll(extra.select(F.lit("").alias("line"), *none)).unionAll(extra.select(F.lit("{bad json").alias("line"), *none))
 
 
 VALID = "gtin IS NOT NULL AND gtin NOT LIKE 'SCAN-%'"
@@ -61,22 +68,28 @@ def project_canonical(spark, d):
     return S.to_products(S.parse_feed(feed_lines(spark, d))).select("gtin", "name_en", F.col("quantity").alias("weight_raw"))
 
 
-@query(f"SELECT gtin, true AS has_nutrition, true AS has_ingredients, nutri_score_grade IS NOT NULL AS graded FROM product WHERE {VALID}")
+# What the feed's fields above amount to, as SQL.
+_known = "(CASE WHEN id % 8 > 0 THEN 2 ELSE 0 END + CASE WHEN id % 7 > 0 THEN 1 ELSE 0 END + CASE WHEN id % 16 > 8 THEN 1 ELSE 0 END)"
+_parts = "CASE WHEN id % 4 = 3 THEN [plain_name, lower(category)] WHEN id % 8 = 2 OR id % 4 = 0 THEN [] ELSE ['water', 'sugar', plain_name] END"
+_tags = "CASE WHEN id % 9 > 0 THEN list_filter([CASE WHEN id % 2 = 0 THEN 'milk' END, CASE WHEN id % 3 = 0 THEN 'nuts' END, CASE WHEN id % 4 = 0 THEN 'milk' END], lambda t: t IS NOT NULL) END"
+
+
+@query(f"SELECT gtin, {_known} >= 3 AS has_nutrition, len({_parts}) > 0 AS has_ingredients, nutri_score_grade IS NOT NULL AS graded FROM product WHERE {VALID}")
 def project_summary(spark, d):
-    return S.to_products(S.parse_feed(feed_lines(spark, d))).select("gtin", F.col("nutrition_data_complete").alias("has_nutrition"), (F.size("ingredients") > 0).alias("has_ingredients"), F.col("nutri_score_grade").isNotNull().alias("graded"))
+    return S.to_products(S.parse_feed(feed_lines(spark, d))).select("gtin", F.col("nutrition_data_complete").alias("has_nutrition"), (F.coalesce(F.size("ingredients"), F.lit(0)) > 0).alias("has_ingredients"), F.col("nutri_score_grade").isNotNull().alias("graded"))
 
 
-@query(f"SELECT gtin, CAST(id AS DOUBLE) AS energy_kcal, 12.0::DOUBLE AS fat_g, 3.5::DOUBLE AS sugars_g FROM product WHERE {VALID}")
+@query(f"SELECT gtin, CASE WHEN id % 8 > 0 THEN CAST(id AS DOUBLE) END AS energy_kcal, CASE WHEN id % 8 > 0 THEN 12.0::DOUBLE END AS fat_g, CASE WHEN id % 7 > 0 THEN 3.5::DOUBLE END AS sugars_g FROM product WHERE {VALID} AND {_known} > 0")
 def map_nutriments(spark, d):
     return S.children(S.to_products(S.parse_feed(feed_lines(spark, d))))[0].select("gtin", "energy_kcal", "fat_g", "sugars_g")
 
 
-@query(f"SELECT gtin, unnest(['water', 'sugar', 'salt']) AS name_en FROM product WHERE {VALID}")
+@query(f"SELECT gtin, unnest({_parts}) AS name_en FROM product WHERE {VALID}")
 def arr_ingredients(spark, d):
     return S.children(S.to_products(S.parse_feed(feed_lines(spark, d))))[1]
 
 
-@query(f"SELECT gtin, 'milk' AS allergen_key FROM product WHERE {VALID}")
+@query(f"SELECT gtin, unnest(list_distinct({_tags})) AS allergen_key FROM product WHERE {VALID}")
 def arr_explode_children(spark, d):
     return S.children(S.to_products(S.parse_feed(feed_lines(spark, d))))[2]
 
@@ -86,16 +99,50 @@ def arr_first_second(spark, d):
     return S.to_products(S.parse_feed(feed_lines(spark, d))).select("gtin", "category", "subcategory")
 
 
-@query(f"SELECT gtin, 'milk' AS tags FROM product WHERE {VALID}")
+@query(f"SELECT gtin, array_to_string({_tags}, ',') AS tags FROM product WHERE {VALID}")
 def arr_tags_clean(spark, d):
     return S.to_products(S.parse_feed(feed_lines(spark, d))).select("gtin", F.array_join("allergen_tags", ",").alias("tags"))
 
 
-@query("SELECT CASE WHEN pct < 60 THEN 'low' ELSE 'high' END AS bucket, count(*) AS n FROM (SELECT 45 + CASE WHEN nutri_score_grade IS NOT NULL THEN 20 ELSE 0 END AS pct FROM product WHERE id % 3 = 0 AND gtin IS NOT NULL AND gtin NOT LIKE 'SCAN-%') GROUP BY ALL")
+# The feed's rows in order; every tenth product comes once more under its neighbour's code, half of them before the neighbour.
+ADAPTERS["feed_row"] = """SELECT *, gtin AS code, id * 2 AS line_no FROM product
+  UNION ALL SELECT *, concat('628', lpad(cast(id - 1 AS string), 10, '0')), CASE WHEN id % 20 = 3 THEN id * 2 - 3 ELSE id * 2 + 1 END FROM product WHERE id % 10 = 3"""
+IMPORT_CTES = f"""WITH rows_ AS (SELECT *, CAST(15 + CASE WHEN id % 4 = 1 THEN 15 ELSE 0 END + 10 + 5 + CASE WHEN id % 3 > 0 THEN 10 ELSE 0 END + CASE WHEN {_known} >= 3 THEN 20 ELSE 0 END + CASE WHEN len({_parts}) > 0 THEN 10 ELSE 0 END
+  + CASE WHEN len({_tags}) > 0 THEN 5 ELSE 0 END + 5 + CASE WHEN nutri_score_grade IS NOT NULL THEN 5 ELSE 0 END AS INTEGER) AS score FROM feed_row WHERE code IS NOT NULL AND code NOT LIKE 'SCAN-%'),
+firsts AS (SELECT *, row_number() OVER (ORDER BY line_no) AS product_id FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY line_no) AS rn FROM rows_) WHERE rn = 1)"""
+
+
+def _imported(spark, d):
+    return S.import_feed(S.parse_feed(feed_lines(spark, d, "feed_row", "line_no"), keep=("line_no",)), "line_no")
+
+
+@query(f"""{IMPORT_CTES} SELECT CAST(least(ceil(score / 20), 5) * 20 AS INTEGER) AS upto, count(*) AS n FROM rows_ GROUP BY ALL UNION ALL SELECT -1, count(*) FROM feed_row WHERE code IS NULL OR code LIKE 'SCAN-%'""")
 def pipe_off_import(spark, d):
-    feed = S.parse_feed(feed_lines(spark, d)).where(S.SliceFilter(countries=("en:saudi-arabia",)).condition())
-    pct = F.lit(45) + F.when(F.col("nutri_score_grade").isNotNull(), 20).otherwise(0)
-    return S.to_products(feed).groupBy(F.when(pct < 60, "low").otherwise("high").alias("bucket")).agg(F.count("*").alias("n"))
+    """Rows of the feed by class of completeness, and those without a valid code."""
+    return _imported(spark, d)["import_summary"]
+
+
+@query(f"""{IMPORT_CTES} SELECT product_id AS id, code AS gtin, name_en, CASE WHEN id % 4 = 1 THEN 'اسم ' || plain_name END AS name_ar, brand, lower(category) AS category, CASE WHEN nutri_score_grade IS NOT NULL THEN lower(nutri_score_grade) END AS nutri_score_grade,
+  CASE WHEN id % 6 BETWEEN 1 AND 4 THEN CAST(id % 6 AS INTEGER) END AS nova_group, CASE WHEN id % 3 > 0 THEN 'https://img.example/' || id END AS image_front_url, {_known} >= 3 AS nutrition_data_complete, net_weight_value, score AS data_completeness_score FROM firsts""")
+def pipe_off_import_products(spark, d):
+    columns = ["id", "gtin", "name_en", "name_ar", "brand", "category", "nutri_score_grade", "nova_group", "image_front_url", "nutrition_data_complete", "net_weight_value", "data_completeness_score"]
+    return _imported(spark, d)["product"].select(columns)
+
+
+@query(f"""{IMPORT_CTES}, fed AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY line_no) AS place FROM rows_ WHERE {_known} > 0)
+SELECT f.product_id, CASE WHEN r.id % 8 > 0 THEN CAST(r.id AS DOUBLE) END AS energy_kcal, CASE WHEN r.id % 7 > 0 THEN 3.5::DOUBLE END AS sugars_g, CASE WHEN r.id % 16 > 8 THEN 0.5::DOUBLE END AS protein_g FROM fed r JOIN firsts f ON f.code = r.code WHERE r.place = 1""")
+def pipe_off_import_nutrition(spark, d):
+    return _imported(spark, d)["nutrition"].select("product_id", "energy_kcal", "sugars_g", "protein_g")
+
+
+@query(f"{IMPORT_CTES}, parts AS (SELECT code, line_no, {_parts} AS p FROM rows_) SELECT f.product_id, r.line_no, CAST(i AS INTEGER) AS place, r.p[i + 1] AS name_en FROM parts r JOIN firsts f ON f.code = r.code, range(0, 3) t(i) WHERE i < len(r.p)")
+def pipe_off_import_ingredients(spark, d):
+    return _imported(spark, d)["ingredient"]
+
+
+@query(f"{IMPORT_CTES} SELECT DISTINCT f.product_id, r.allergen_key FROM (SELECT code, unnest({_tags}) AS allergen_key FROM rows_) r JOIN firsts f ON f.code = r.code")
+def pipe_off_import_allergens(spark, d):
+    return _imported(spark, d)["allergen"]
 
 
 @query("SELECT count(*) AS n FROM product WHERE id % 3 = 0 OR gtin LIKE '628%'")

@@ -1,10 +1,11 @@
-"""Queries over the ingest of offers. Price rows before SINCE are the stored ones, those from then on are offers of products, two thirds of which are stored."""
+"""Queries over the ingest of offers and upserts by code. Price rows before SINCE are the stored ones, those from then on are offers of products, two thirds of which are stored."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from aislegrid.operators import ingest as I
+from aislegrid.operators import upsert as U
 from aislegrid.sources.adapters import ADAPTERS, view
 
 from .registry import query
@@ -108,3 +109,41 @@ SELECT product_id, url, image_type FROM (SELECT *, row_number() OVER (PARTITION
 def pipe_price_ingest_images(spark, d):
     """Images that products gained."""
     return _ingested(spark, d)["images"]
+
+
+# Upserts: of every third product, under its own code or, if it has none, a new one; a repeated code comes from every sixth.
+ADAPTERS["upsert_row"] = """SELECT id * 2 AS seq, CASE WHEN gtin LIKE '628%' THEN gtin ELSE concat('629', lpad(cast(id AS string), 10, '0')) END AS gtin, CASE WHEN id % 2 = 0 THEN concat(plain_name, ' ', cast(id AS string), 'g new') END AS name_en, CASE WHEN id % 12 = 0 THEN concat('جديد ', plain_name) END AS name_ar,
+  brand, category, net_weight_value, net_unit, CASE WHEN id % 9 = 0 THEN 'soy' WHEN id % 9 = 3 THEN '' END AS allergen FROM product WHERE id % 3 = 0
+  UNION ALL SELECT id * 2 + 1, CASE WHEN gtin LIKE '628%' THEN gtin WHEN id % 4 = 0 THEN 'bad' ELSE concat('629', lpad(cast(id AS string), 10, '0')) END, NULL, concat('أخير ', plain_name), NULL, 'late', NULL, NULL, CASE WHEN id % 18 = 0 THEN 'egg' END FROM product WHERE id % 6 = 0"""
+UPSERT_CTES = """WITH rows_ AS (SELECT * FROM upsert_row WHERE gtin <> 'bad'), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gtin ORDER BY seq) AS rn FROM rows_) WHERE rn = 1),
+new AS (SELECT f.* FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM product p WHERE p.gtin = f.gtin)),
+asked AS (SELECT *, row_number() OVER (PARTITION BY lower(brand), net_weight_value ORDER BY seq) AS place FROM new), twins AS (SELECT *, row_number() OVER (PARTITION BY lower(brand), net_weight_value ORDER BY id) AS place FROM product WHERE gtin LIKE 'SCAN-%'),
+absorbed AS (SELECT a.gtin, a.seq, t.id AS product_id, t.gtin AS twin_gtin FROM asked a JOIN twins t ON lower(a.brand) = lower(t.brand) AND a.net_weight_value = t.net_weight_value AND a.place = t.place),
+made AS (SELECT gtin, seq, (SELECT max(id) FROM product) + row_number() OVER (ORDER BY seq) AS product_id, NULL AS twin_gtin FROM new WHERE gtin NOT IN (SELECT gtin FROM absorbed)),
+targets AS (SELECT f.gtin, f.seq AS first, min(p.id) AS product_id, NULL AS twin_gtin FROM firsts f JOIN product p ON p.gtin = f.gtin GROUP BY f.gtin, f.seq UNION ALL SELECT gtin, seq, product_id, twin_gtin FROM absorbed UNION ALL SELECT * FROM made),
+given AS (SELECT t.product_id, r.gtin, arg_max(name_en, seq) FILTER (name_en IS NOT NULL) AS name_en, arg_max(name_ar, seq) FILTER (name_ar IS NOT NULL) AS name_ar, arg_max(brand, seq) FILTER (brand IS NOT NULL) AS brand, arg_max(category, seq) FILTER (category IS NOT NULL) AS category,
+  arg_max(net_weight_value, seq) FILTER (net_weight_value IS NOT NULL) AS net_weight_value, arg_max(allergen, seq) FILTER (allergen IS NOT NULL) AS allergen FROM rows_ r JOIN targets t ON t.gtin = r.gtin GROUP BY t.product_id, r.gtin)"""
+
+
+def _upserted(spark, d):
+    rows = view(spark, d, "upsert_row").withColumn("allergens", F.when(F.col("allergen") != "", F.array("allergen")).when(F.col("allergen") == "", F.array().cast("array<string>")))
+    products = view(spark, d, "product").select("id", "gtin", "name_en", F.lit(None).cast("string").alias("name_ar"), "brand", "category", "net_weight_value", "net_unit")
+    return U.upsert_by_code(products, rows, "admin-7", allergens=view(spark, d, "product_allergen"))
+
+
+@query(f"""{UPSERT_CTES} SELECT coalesce(p.id, g.product_id) AS id, coalesce(g.gtin, p.gtin) AS gtin, coalesce(g.name_en, p.name_en) AS name_en, g.name_ar, coalesce(g.brand, p.brand) AS brand, coalesce(g.category, p.category) AS category, coalesce(g.net_weight_value, p.net_weight_value) AS net_weight_value,
+  CASE WHEN regexp_matches(coalesce(g.gtin, p.gtin), '^[0-9]{{13}}$') THEN substr(coalesce(g.gtin, p.gtin), 1, 3) END AS gtin_prefix FROM product p FULL JOIN given g ON g.product_id = p.id""")
+def pipe_admin_upsert_products(spark, d):
+    """All products after the upserts, twins absorbed."""
+    return _upserted(spark, d)["product"].select("id", "gtin", "name_en", "name_ar", "brand", "category", "net_weight_value", "gtin_prefix")
+
+
+@query(f"""{UPSERT_CTES} SELECT r.seq, t.product_id AS winner_id, r.gtin AS winner_gtin, CASE WHEN r.seq = t.first AND twin_gtin IS NOT NULL THEN t.product_id END AS loser_id, CASE WHEN r.seq = t.first THEN twin_gtin END AS loser_gtin,
+  CASE WHEN r.seq = t.first AND twin_gtin IS NOT NULL THEN 'scan_twin_merge' ELSE 'admin_upsert' END AS reason, 'admin' AS triggered_by, 'admin-7' AS actor_uid FROM rows_ r JOIN targets t ON t.gtin = r.gtin""")
+def pipe_admin_upsert_log(spark, d):
+    return _upserted(spark, d)["merge_log"]
+
+
+@query(f"{UPSERT_CTES} SELECT product_id, allergen_key FROM product_allergen WHERE product_id NOT IN (SELECT product_id FROM given WHERE allergen IS NOT NULL) UNION ALL SELECT product_id, allergen FROM given WHERE allergen <> ''")
+def pipe_admin_upsert_allergens(spark, d):
+    return _upserted(spark, d)["allergens"]

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from aislegrid.operators import matching as M
 from aislegrid.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +13,20 @@ def test_cosine_takes_all_of_a_label(spark):
     wanted = {(q, v) for q in labels for v in labels if q % 25 == 0 and q != v and labels[q] == labels[v]}
     assert {(r.query_id, r.vec_id) for r in QUERIES["num_cosine"](spark, DATA).collect()} == wanted
     assert "a.label = b.label" in ORACLES["num_cosine"]
+
+
+def test_pool_union_lists_all_codes(spark):
+    scan = [(1, "A", "red bolt", "1110"), (2, "", "blue rod", None), (2, "B", "blue rod", "2220")]
+    pool = [(f"628{i:03d}", "A", "grey nut", "9990") for i in range(60)] + [("7", "C", "red nut", "1119"), ("7", "A", "rod", "2229"), ("8", "C", "red bolt", "3330"), ("9", "D", "nut", "4440")]
+    prefix = lambda c: c[:3] if c else None
+    wanted = {}
+    for i, brand, name, code in scan:
+        for gtin, b, n, c in pool:
+            p = 1 if brand and brand == b else 2 if code and prefix(code) == prefix(c) else 3 if set(name.split()) & set(n.split()) else None
+            if p:
+                wanted[i, gtin] = min(p, wanted.get((i, gtin), 9))
+    pad = lambda c: c and c.ljust(13, "0")
+    a = spark.createDataFrame([(i, b, n, pad(c)) for i, b, n, c in scan], "id long, brand string, name string, code string")
+    b = spark.createDataFrame([(g, b, n, pad(c)) for g, b, n, c in pool], "gtin string, brand string, name string, code string")
+    got = M.pool_union(a, b).collect()
+    assert len(got) == len(wanted) and {(r.scan_id, r.gtin): r.priority for r in got} == wanted

@@ -1,6 +1,7 @@
 """Joins through classes of equal rows: copies, ties and whole results, on small tables against plain Python."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from aislegrid.operators import matching as M
 from aislegrid.plans.catalog import ORACLES, QUERIES
@@ -30,3 +31,23 @@ def test_pool_union_lists_all_codes(spark):
     b = spark.createDataFrame([(g, b, n, pad(c)) for g, b, n, c in pool], "gtin string, brand string, name string, code string")
     got = M.pool_union(a, b).collect()
     assert len(got) == len(wanted) and {(r.scan_id, r.gtin): r.priority for r in got} == wanted
+
+
+def test_best_matches_with_copies(spark):
+    """Copies of the best leave a gap of 0, ties go to the smaller id, null weights are a class of their own; pairs of rows are never listed."""
+    scan = spark.createDataFrame([(i, "A", "small bolt", w) for i, w in [(1, 2.0), (2, 2.0), (3, None)]] + [(4, "B", "red rod", 1.0)], "id long, brand string, name string, weight double")
+    pool = spark.createDataFrame([(9, "9", "A", "small bolts", 2.0), (8, "8", "A", "small bolts", 2.0), (7, "7", "A", "small colt", 2.0), (5, "5", "B", "red rods", 1.0), (6, "6", "B", "red road", 1.0)], "id long, gtin string, brand string, name string, weight double")
+    got = {r.scan_id: (r.pool_id, r.gtin, r.gap) for r in M.best_matches(scan, pool, ["brand"], 0.5).collect()}
+    assert got[1] == got[2] == got[3] == (8, "8", 0.0) and got[4][:2] == (5, "5") and got[4][2] > 0
+    sized = {r.scan_id for r in M.best_matches(scan, pool, ["brand"], 0.5, F.expr("weight_l = weight_r"), weights=True).collect()}
+    assert sized == {1, 2, 4}
+    many = spark.range(4000).selectExpr("id", "'A' brand", "'small bolt' name", "2.0D weight", "cast(id AS string) gtin")
+    assert M.class_pairs(many, many, ["brand"]).select("copies").collect()[0].copies == 4000 and M.best_matches(many, many, ["brand"], 0.5).where("pool_id = 0 AND gap = 0").count() == 4000
+
+
+def test_local_exact_and_hamming_of_copies(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN '' ELSE 'A' END brand", "'small bolt' name", "'00ff00ff00ff00ff' hash")
+    donors = spark.range(10, 3000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'A' ELSE 'B' END brand", "'small bolt' name", "'00ff00ff00ff00fe' hash")
+    assert {(r.brand, r.donor_id) for r in M.local_exact(rows, donors).join(rows, F.expr("id = scan_id")).collect()} == {("", 10), ("A", 10)}
+    got = M.hamming_join(rows, donors).collect()
+    assert len(got) == 2000 and {(r.donor_id, r.bits) for r in got} == {(10, 1)}

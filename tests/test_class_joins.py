@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from aislegrid.operators import enrichment
 from aislegrid.operators import matching as M
 from aislegrid.plans.catalog import ORACLES, QUERIES
 
@@ -51,3 +52,15 @@ def test_local_exact_and_hamming_of_copies(spark):
     assert {(r.brand, r.donor_id) for r in M.local_exact(rows, donors).join(rows, F.expr("id = scan_id")).collect()} == {("", 10), ("A", 10)}
     got = M.hamming_join(rows, donors).collect()
     assert len(got) == 2000 and {(r.donor_id, r.bits) for r in got} == {(10, 1)}
+
+
+def test_donors_of_copies(spark):
+    """Products that share vectors: the row itself is left out, ties go to the smaller id, also where a class holds more rows than are asked for."""
+    vector = {0: [1.0, 0.0], 1: [0.9, 0.1], 2: [0.0, 1.0]}
+    rows = [(i, f"b{i % 2}", str(i % 3), "c" if i % 4 else None, vector[i * i % 7 % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, brand string, prefix string, category string, embedding array<float>")
+    cos = lambda x, y: round((x[0] * y[0] + x[1] * y[1]) / ((x[0] ** 2 + x[1] ** 2) * (y[0] ** 2 + y[1] ** 2)) ** 0.5, 4)
+    met = lambda a, b: a[0] != b[0] and (a[1] == b[1] or a[2] == b[2] or (a[3] is not None and a[3] == b[3]))
+    wanted = {(a[0], j) for a in rows for _, j in sorted((-cos(a[4], b[4]), b[0]) for b in rows if met(a, b) and cos(a[4], b[4]) >= 0.85)[:5]}
+    got = enrichment.donors(df, df).collect()
+    assert len(got) == len(wanted) and {(r.product_id, r.donor_id) for r in got} == wanted

@@ -64,3 +64,17 @@ def test_donors_of_copies(spark):
     wanted = {(a[0], j) for a in rows for _, j in sorted((-cos(a[4], b[4]), b[0]) for b in rows if met(a, b) and cos(a[4], b[4]) >= 0.85)[:5]}
     got = enrichment.donors(df, df).collect()
     assert len(got) == len(wanted) and {(r.product_id, r.donor_id) for r in got} == wanted
+
+
+def test_pairs_of_names_lose_no_text(spark, tmp_path):
+    """The pairs of classes hold just the ordered pairs of texts that the pairs of rows hold, however often rows repeat."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT p.* REPLACE (p_partkey + k * 1000 AS p_partkey) FROM '{DATA}/part.parquet' p, range(4) t(k)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW q AS SELECT p_partkey AS id, p_brand AS brand, p_type AS category, p_name || ' ' || p_size || 'g' AS name FROM '{tmp_path}/part.parquet'")
+    rows = con.execute("SELECT DISTINCT a.brand, a.category, a.name, b.name FROM q a JOIN q b ON a.brand = b.brand AND a.category = b.category AND a.id < b.id").fetchall()
+    names = {i: (b, c, n) for i, b, c, n in con.execute("SELECT id, brand, category, name FROM q").fetchall()}
+    got = [(*names[r.id_a], names[r.id_b][2]) for r in QUERIES["str_verdict_key"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(rows)
+    members = {r.id: r.class_id for r in QUERIES["pair_classes"](spark, str(tmp_path)).collect()}
+    assert members.keys() == names.keys() and all(names[i] == names[c] for i, c in members.items())
+    assert QUERIES["gtin_equal_loose"](spark, str(tmp_path)).count() == len(names)

@@ -78,3 +78,16 @@ def test_pairs_of_names_lose_no_text(spark, tmp_path):
     members = {r.id: r.class_id for r in QUERIES["pair_classes"](spark, str(tmp_path)).collect()}
     assert members.keys() == names.keys() and all(names[i] == names[c] for i, c in members.items())
     assert QUERIES["gtin_equal_loose"](spark, str(tmp_path)).count() == len(names)
+
+
+def test_similar_and_linked_of_copies(spark, tmp_path):
+    """Six copies of each product, so that classes hold more rows than are asked for: equal to SQL over rows."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT p.* REPLACE (p_partkey + k * 1000 AS p_partkey) FROM '{DATA}/part.parquet' p, range(7) t(k)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    for t in ("lineitem", "supplier"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    for t in ("part", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name, key in (("pipe_similar", ("product_id", "similar_id")), ("pipe_price_linker", ("id", "offer_id", "score"))):
+        got = sorted(tuple(r[c] for c in key) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(f"SELECT {', '.join(key)} FROM ({ORACLES[name]})").fetchall())

@@ -12,6 +12,8 @@ Nothing is sampled: anchors only decide where windows meet. Frequent strings cro
 
 An anchor of more than HOT_ANCHOR occurrences in all chunks (a frequent phrase, of which each document may have another context) would bring all its contexts
 to one bucket. Its windows travel one by one instead, each to the bucket of its own hash: equal windows still meet, and need no further comparison.
+
+What crosses an exchange is packed: texts and contexts by zstd, ascending numbers (ids, hashes, anchors) as differences, byte plane by byte plane, by zstd.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_texts, slices
+
 LENGTH, K = 50, 24
 SPAN = LENGTH - K  # a window's anchor starts 0 .. SPAN bytes after it
 CONTEXT = 2 * LENGTH - K  # bytes from SPAN before an anchor to LENGTH after it
@@ -121,7 +125,7 @@ class Chunk:
         bucket = _bucket_of(self.hash, buckets)
         own = (self.hash & np.uint64(0xFFFFFFFF)) | (bucket.astype(np.uint64) << np.uint64(32))
         for column, hot in (("hashes", False), ("hot", True)):
-            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py() or b"", np.uint32).astype(np.uint64) | np.uint64((b or 0) << 32) for b, x in zip(back.column("bucket").to_pylist(), back.column(column), strict=True))]))
+            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_py(), np.uint32).astype(np.uint64) | np.uint64((b or 0) << 32) for b, x in zip(back.column("bucket").to_pylist(), back.column(column), strict=True))]))
             at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own) if len(wanted) else np.zeros(0, np.int64)
             for b, places in _split_by(bucket[at]):
                 number = at[places]
@@ -152,9 +156,28 @@ def _window_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket_of(h ^ (h >> np.uint64(32)), buckets)
 
 
+def _pieces(chunks: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, chunk) packed by chunk, a piece for each Arrow batch and at most RUN_BYTES or one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, out = batch.column("doc_id").to_numpy(), [t or b"" for t in byte_texts(batch.column("text"))], []
+            for number, rows in _split_by(batch.column("chunk").to_numpy()):
+                sizes = [len(texts[i]) for i in rows.tolist()]
+                for a, b in slices(sizes, RUN_BYTES):
+                    out.append((number, _pack(ids[rows[a:b]]), _pack(np.array(sizes[a:b], np.int64)), _zip(b"".join([texts[i] for i in rows[a:b].tolist()]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], ["chunk", "ids", "sizes", "texts"])
+
+    return chunks.select("doc_id", "text", "chunk").mapInArrow(run, "chunk long, ids binary, sizes binary, texts binary")
+
+
 def _load(table: pa.Table) -> Chunk:
-    texts = table.column("text").cast(pa.large_binary()).to_pylist()
-    return Chunk(table.column("doc_id").to_pylist(), [t or b"" for t in texts])
+    ids, texts = [], []
+    for i, n, t in zip(*(table.column(x) for x in ("ids", "sizes", "texts")), strict=True):
+        ids += _unpack(i.as_py(), np.int64).tolist()
+        sizes, raw = _unpack(n.as_py(), np.int64), _unzip(t.as_py())
+        texts += [raw[b - a : b] for a, b in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
+    return Chunk(ids, texts)
 
 
 def _split_by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,8 +188,26 @@ def _split_by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[order[a]]), order[a:b]
 
 
-def _blob(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+def _zip(x: bytes) -> bytes:
+    """zstd of bytes after their number; empty stays empty."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) if x else b""
+
+
+def _unzip(x: bytes | None) -> bytes:
+    return pa.decompress(memoryview(x)[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) if x else b""
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Integers as differences, all lowest bytes first: short where they ascend."""
+    u = np.ascontiguousarray(x).view(f"u{x.itemsize}")
+    steps = np.diff(u, prepend=u.dtype.type(0))
+    return _zip(steps.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unpack(x: bytes | None, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_unzip(x), np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"u{size}").ravel(), dtype=f"u{size}").view(kind)
 
 
 def _send_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -179,11 +220,13 @@ def _send_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         times = np.diff(np.append(first, len(h))).astype(np.uint32)
-        h = h[first]
+        bucket, h = _bucket_of(h[first], buckets), h[first].astype(np.uint32)
+        order = np.argsort(h, kind="stable")
+        bucket, h, several, times = bucket[order], h[order], several[order], times[order]
         out = []
-        for b, at in _split_by(_bucket_of(h, buckets)):
+        for b, at in _split_by(bucket):
             many = at[several[at]]
-            out.append((b, _blob(h[at[~several[at]]].astype(np.uint32)), _blob(h[many].astype(np.uint32)), _blob(times[many])))
+            out.append((b, _pack(h[at[~several[at]]]), _pack(h[many]), _pack(times[many])))
         names = ("once", "often", "times")
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([number] * len(out), pa.int64())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(names, 1)})
 
@@ -194,9 +237,7 @@ def _shared_hashes(sent: DataFrame) -> DataFrame:
     """Back to each chunk: its hashes (32-bit remainders in a bucket) that several documents have, those of hot anchors apart."""
 
     def run(table: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("once")]
-        often = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("often")]
-        times = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("times")]
+        once, often, times = ([_unpack(x.as_py(), np.uint32) for x in table.column(c)] for c in ("once", "often", "times"))
         keys = np.concatenate([*once, *often])
         values, which = np.unique(keys, return_inverse=True)
         weights = np.concatenate([np.ones(sum(map(len, once)), np.int64), *times])
@@ -207,9 +248,9 @@ def _shared_hashes(sent: DataFrame) -> DataFrame:
         hot = shared & (total > HOT_ANCHOR)
         out = []
         for number, a, b in zip(table.column("chunk").to_pylist(), once, often, strict=True):
-            own = np.concatenate([a, b])
+            own = np.sort(np.concatenate([a, b]))
             at = np.searchsorted(values, own)
-            out.append((number, _blob(own[shared[at] & ~hot[at]]), _blob(own[hot[at]])))
+            out.append((number, _pack(own[shared[at] & ~hot[at]]), _pack(own[hot[at]])))
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "bucket": table.column("bucket").combine_chunks(), "hashes": pa.array([x[1] for x in out], pa.binary()), "hot": pa.array([x[2] for x in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, hashes binary, hot binary")
@@ -242,10 +283,10 @@ def _send_contexts(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFr
                     hot_docs.append(c.ids[c.doc[lead[of[distinct]]]])
                     hot_rows.append(c.contexts(lead[of[distinct]], k[distinct]))
                 else:
-                    out.append((b, _blob(number[first].astype(np.int64) * 32), _blob(c.ids[c.doc[number[first]]]), _blob(rows[first])))
+                    out.append((b, _pack(number[first].astype(np.int64) * 32), _pack(c.ids[c.doc[number[first]]]), _zip(rows[first].tobytes())))
             if hot_rows:
                 numbers, docs, rows = np.concatenate(hot_numbers), np.concatenate(hot_docs), np.concatenate(hot_rows)
-                out += [(b, _blob(numbers[at]), _blob(docs[at]), _blob(rows[at])) for b, at in _split_by(_window_bucket(rows, buckets))]
+                out += [(b, _pack(numbers[at]), _pack(docs[at]), _zip(rows[at].tobytes())) for b, at in _split_by(_window_bucket(rows, buckets))]
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64()), "anchors": pa.array([x[1] for x in out], pa.binary()), "docs": pa.array([x[2] for x in out], pa.binary()), "contexts": pa.array([x[3] for x in out], pa.binary())})
 
@@ -283,10 +324,10 @@ def _match(sent: DataFrame) -> DataFrame:
     """For each sent context the windows that start in a smaller document, as bits; sent back to the context's chunk."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = [len(x.as_py()) // 8 for x in table.column("anchors")]
-        whole = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
-        anchors, docs = whole("anchors", np.int64), whole("docs", np.int64)
-        rows = whole("contexts", np.uint8).reshape(-1, CONTEXT + 2)
+        anchors, docs = ([_unpack(x.as_py(), np.int64) for x in table.column(c)] for c in ("anchors", "docs"))
+        sizes = [len(x) for x in anchors]
+        anchors, docs = np.concatenate(anchors), np.concatenate(docs)
+        rows = np.frombuffer(b"".join(_unzip(x.as_py()) for x in table.column("contexts")), np.uint8).reshape(-1, CONTEXT + 2)
         chunk = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), sizes)
         order = np.lexsort((anchors, chunk, docs))
         first, which = _equal_contexts(rows[order])
@@ -321,7 +362,7 @@ def _match(sent: DataFrame) -> DataFrame:
         bits |= np.where(docs[order] == smallest, lead[which], 0).astype(np.uint32)
         hit = np.flatnonzero(bits)
         back_chunk, back_anchor, back_bits = chunk[order[hit]], anchors[order[hit]], bits[hit]
-        out = [(c, _blob(back_anchor[at]), _blob(back_bits[at])) for c, at in _split_by(back_chunk)]
+        out = [(c, _pack(back_anchor[at]), _pack(back_bits[at])) for c, at in _split_by(back_chunk)]
         return pa.table({"match_chunk": pa.array([x[0] for x in out], pa.int64()), "anchors": pa.array([x[1] for x in out], pa.binary()), "bits": pa.array([x[2] for x in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "match_chunk long, anchors binary, bits binary")
@@ -342,7 +383,7 @@ def _cut(chunks: DataFrame, shared: DataFrame, matches: DataFrame, buckets: int,
             bits = np.zeros(len(c.hash), np.uint32)
             answers = back.filter(pa.array(is_answer))
             for x, y in zip(answers.column("anchors"), answers.column("bits"), strict=True):
-                number, got = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.uint32)
+                number, got = _unpack(x.as_py(), np.int64), _unpack(y.as_py(), np.uint32)
                 place = np.maximum(number % 32 - 1, 0)
                 np.bitwise_or.at(bits, number // 32, np.where(number % 32 > 0, (got & np.uint32(1)) << place.astype(np.uint32), got))
             for _, hot, number, first, which, _ in c.sent(back.filter(pa.array(~is_answer)), buckets):
@@ -387,7 +428,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = int(min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 400 * total**0.5)))
     n = max(1, -(-total // size))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    chunks = rows.repartition(n, "chunk")
+    chunks = _pieces(rows).repartition(n, "chunk")
     shared = _shared_hashes(_send_hashes(chunks, n)).where("length(hashes) + length(hot) > 0").withColumnRenamed("chunk", "back_chunk")
     matches = _match(_send_contexts(chunks, shared, n))
     out = _cut(chunks, shared, matches, n, digests)

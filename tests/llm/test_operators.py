@@ -474,6 +474,29 @@ def test_suffix_dedup_odd_tables(spark):
     assert [(r.doc_id, r.n_removed) for r in got] == [(None, 0), (4, 60)]
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size())}
+
+
+def test_suffix_dedup_packs_what_it_exchanges(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 400_000)
+    monkeypatch.setattr(suffix_dedup, "MOST_CHUNK_BYTES", 400_000)
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+    rows = []
+    for i in range(1200):
+        text = [rng.choice(words) for _ in range(400)] if i % 3 else rows[rng.randrange(len(rows))][1].split(" ") if rows else words[:400]
+        text[rng.randrange(len(text))] = f"edit{i}"
+        rows.append((i, " ".join(text)))
+    docs = frame(spark, rows).localCheckpoint()
+    before = shuffle_files(spark)
+    got = Counter(tuple(r)[:4] + (bytes(r.kept),) for r in suffix_dedup.without_repeats(docs).collect())
+    written = sum(n for path, n in shuffle_files(spark).items() if path not in before)
+    assert got == brute_removed(rows)
+    assert 0 < written < 1.6 * sum(len(t) for _, t in rows)
+
+
 def test_suffix_family_finds_earlier_documents():
     rng = random.Random(12)
     family, seen = suffix_dedup.SuffixFamily(), {}

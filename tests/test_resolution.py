@@ -286,6 +286,30 @@ def test_budget_and_ring_go_on_after_a_stop(spark, tmp_path):
     assert {r.event_id: (r.errors, r.degraded) for r in got["ring"]} == {i: (n, n >= control.MOST_ERRORS) for i, n in flags.items()}
 
 
+def test_budget_and_ring_keep_state_by_bucket(spark, tmp_path):
+    rows = [(i, None if i % 1001 == 0 else (i % 1500 - 700) * 2**40, "error" if i % 3 else "ok", 86_400 + i * 30) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    got, state_rows = {}, {}
+    for name, of in (("budget", control.throttled), ("ring", control.degraded)):
+        out, check = str(tmp_path / name), str(tmp_path / f"{name}-check")
+        with control.rocksdb(spark):
+            job = of(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            job.awaitTermination()
+        state_rows[name] = max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress)
+        got[name] = spark.read.parquet(out).collect()
+    used, rings, let, flags = Counter(), {}, set(), {}
+    for i, u, k, t in rows:
+        used[u, t // 86_400] += 1
+        if used[u, t // 86_400] <= control.BUDGET:
+            let.add((i, u))
+        rings.setdefault(u, []).append(k == "error")
+        flags[i] = u, sum(rings[u][-control.RING :])
+    assert set(map(tuple, got["budget"])) == let and len(got["budget"]) == len(let)
+    assert {r.event_id: (r.user_id, r.errors) for r in got["ring"]} == flags
+    assert state_rows["ring"] < 1500 and state_rows["budget"] < 5 * 1500  # not a row a user, nor for each of their days with its timer
+
+
 def test_sync_in_pages_with_overlap_and_children(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, rng.randrange(12), float(rng.randrange(9)), 1000 + 40 * (i // 3)) for i in range(120)]

@@ -45,3 +45,17 @@ def test_link_scores_of_brand_and_weight(spark):
     products = spark.createDataFrame([(1, "b#7", "hot bolt", 100.0), (2, "c#7", "hot bolt", 100.0), (3, "d#7", "hot bolt", 100.0), (4, "e#7", "hot bolt", None), (5, "f#7", "hot bolt", 100.0)], "id long, brand string, name string, weight double")
     results = spark.createDataFrame([("b#7", "hot bolt", 100.0), ("b#7", "hot bolt", 150.0), ("c#7", "c#7", 90.0), ("d#7", "hot bolt", 70.0), ("e#7", "hot bolt", 1.0), ("f#7", "hot bolt", 300.0)], "brand string, title string, weight double")
     assert {r.id: (r.score, r.tier) for r in link_scores(products, results).collect()} == {1: (75.0, "link"), 2: (40.0, "discard"), 3: (55.0, "review"), 4: (55.0, "review"), 5: (50.0, "review")}
+
+
+def test_donors_where_vectors_outweigh_products(spark, products):
+    """With more bytes of vectors than of products Spark broadcast the products, whose join key held a subquery, and failed; many rows of few bytes filled the driver."""
+    from aislegrid.plans.catalog import ORACLES
+
+    d = products([(i, "small bolt", f"b{i % 2}", 1 + i % 3) for i in range(400)])
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT a.vec_id, b.embedding, a.label FROM '/root/testdata/sf0.1/embeddings.parquet' a JOIN '/root/testdata/sf0.1/embeddings.parquet' b ON b.vec_id = a.vec_id - a.vec_id % 8) TO '{d}/embeddings.parquet' (FORMAT parquet)")
+    for t in ("part", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    wanted = con.execute(f"SELECT product_id, donor_id FROM ({ORACLES['join_donor_candidates']})").fetchall()
+    df = QUERIES["join_donor_candidates"](spark, d)
+    assert wanted and sorted((r.product_id, r.donor_id) for r in df.collect()) == sorted(wanted)
